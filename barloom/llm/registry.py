@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe
+from barloom.llm import bpe, pii, quality, secrets
 from barloom.llm.common import read_table
 
 TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -21,8 +21,21 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.contract(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.contract(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe_roundtrip": op6_bpe_roundtrip}
+    found = (op2_quality_rules, op3_pii_spans, op5_secret_scan, op6_bpe_roundtrip)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
