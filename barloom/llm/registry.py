@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, pii, quality, secrets
+from barloom.llm import bpe, pii, quality, repeats, secrets, warc
 from barloom.llm.common import read_table
 
 TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -21,6 +21,10 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -29,12 +33,16 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.contract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op3_pii_spans, op5_secret_scan, op6_bpe_roundtrip)
+    found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip)
     return {f.__name__: f for f in found}
 
 
