@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, pii, quality, repeats, secrets, warc
+from barloom.llm import bpe, jaccard, pii, quality, repeats, secrets, warc
 from barloom.llm.common import read_table
 
 TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -41,8 +41,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip)
+    found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip, op10_jaccard_classes)
     return {f.__name__: f for f in found}
 
 
