@@ -17,8 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker keeps before it starts anew.
-CACHE_CHUNKS = 300_000
+from barloom.llm.common import small_batches
+
+#: Words that a worker keeps before it starts anew, and ids that it hands on at once.
+CACHE_WORDS, BATCH_IDS = 1_000_000, 200_000
+
+#: Bits of an id, and of a place in a word.
+WIDTH, PLACE = 17, 40
 
 #: Fixed values of the vocabulary's format: word pattern and white space.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,54 +49,78 @@ class WordBpe:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"] or ""
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
+        # (left id, right id) as one number: rank and merged id as one number
+        self.merges = {self.ids[x] << WIDTH | self.ids[y]: k << WIDTH | self.ids[x + y] for k, (x, y) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.symbols = byte_symbols()
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        symbols = byte_symbols()
+        self.inner, self.last = ([self.ids[c + end] for c in symbols] for end in ("", self.end))
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(1 + max(*self.ids.values(), *self.special.values())))  # one object for each id, however often it is kept
 
     def word(self, word: str) -> list[int]:
         """Ids of one word, by merges of lowest rank first, leftmost first among equals."""
-        text = [self.symbols[b] for b in word.encode("utf-8")]
-        text[-1] += self.end
-        n = len(text)
+        data, inner, merges = word.encode("utf-8"), self.inner, self.merges
+        n = len(data)
+        ids = [inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if n == 1:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.ranks
-        heap = [(r, i, text[i], text[i + 1]) for i in range(n - 1) if (r := ranks.get((text[i], text[i + 1]))) is not None]
+        due = [0] * n  # the entry that holds for the pair that starts here; any other is stale
+        heap = []
+        for i in range(n - 1):
+            if (m := merges.get(ids[i] << WIDTH | ids[i + 1])) is not None:
+                due[i] = e = (m >> WIDTH) << PLACE | i
+                heap.append(e)
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if text[i] != left or j >= n or text[j] != right:
+            e = pop(heap)
+            i = e & (1 << PLACE) - 1
+            if due[i] != e or ids[i] < 0:
                 continue  # stale
-            text[i], text[j] = left + right, ""
+            j = after[i]
+            ids[i] = merges[ids[i] << WIDTH | ids[j]] & (1 << WIDTH) - 1
+            ids[j] = due[i] = due[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get((text[i], text[k]))) is not None:
-                    heapq.heappush(heap, (r, i, text[i], text[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((text[h], text[i]))) is not None:
-                heapq.heappush(heap, (r, h, text[h], text[i]))
-        return [self.ids[s] for s in text if s]
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for word in WORDS.findall(chunk):
-            out += self.word(word)
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
-        self.chunks[chunk] = found = tuple(out)
+                if (m := merges.get(ids[i] << WIDTH | ids[k])) is not None:
+                    due[i] = e = (m >> WIDTH) << PLACE | i
+                    push(heap, e)
+            if (h := before[i]) >= 0:
+                due[h] = -1
+                if (m := merges.get(ids[h] << WIDTH | ids[i])) is not None:
+                    due[h] = e = (m >> WIDTH) << PLACE | h
+                    push(heap, e)
+        return [x for x in ids if x >= 0]
+
+    def known(self, word: str) -> tuple[int, ...]:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        shared = self.numbers
+        self.words[word] = found = tuple([shared[x] for x in self.word(word)])
         return found
 
+    def chunk(self, chunk: str, out: list[int]) -> None:
+        """Ids of text without white space, word by word."""
+        words = self.words
+        for word in [chunk] if chunk.isalpha() else WORDS.findall(chunk):
+            found = words.get(word)
+            out.extend(self.known(word) if found is None else found)
+
     def plain(self, text: str, out: list[int]) -> None:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: characters are lowered one by one
         text = text.lower()
-        known = self.chunks
+        words, chunk = self.words, self.chunk
         for c in SPACES.split(text) if SEPARATORS.search(text) else text.split():
-            found = known.get(c)
-            out.extend(self.chunk(c) if found is None else found)
+            found = words.get(c)
+            if found is None:
+                chunk(c, out)
+            else:
+                out.extend(found)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -105,9 +134,12 @@ class WordBpe:
             self.plain(text, out)
         return out
 
-    def decode(self, ids) -> str:
-        strings = self.strings
-        return " ".join([strings[i] for i in ids if i in strings])
+
+@lru_cache(maxsize=4)
+def strings_of(path: str) -> dict[int, str]:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: x for x, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
 @lru_cache(maxsize=4)
@@ -115,29 +147,37 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encoded_batches(batches, vocab_path: str):
+    """Batches of (doc_id, ids), of BATCH_IDS ids or one text at least."""
+    bpe = tokenizer(vocab_path)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            ids, offsets, start = [], [0], at
+            while at < batch.num_rows and len(ids) < BATCH_IDS:
+                ids += bpe.encode(batch.column(1)[at].as_py() or "")
+                offsets.append(len(ids))
+                at += 1
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), lists], names=["doc_id", "ids"])
+
+
+def decoded_batch(batch: pa.RecordBatch, strings: dict[int, str]) -> pa.RecordBatch:
+    texts = [" ".join([strings[i] for i in ids or () if i in strings]) for ids in batch.column(1).to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): token ids of every whole text.
 
     Null and empty texts give an empty list; repeated rows and null ids give a row each; other columns are not read.
     """
-
-    def run(batches):
-        bpe = tokenizer(vocab_path)
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # texts of a few MB at a time, so that lists stay small
-                ids, offsets = [], [0]
-                start = at
-                while at < batch.num_rows and len(ids) < 1_000_000:
-                    ids += bpe.encode(batch.column(1)[at].as_py() or "")
-                    offsets.append(len(ids))
-                    at += 1
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), lists], names=["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>"
-    )
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: encoded_batches(batches, vocab_path), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -147,20 +187,27 @@ def bpe_decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """
 
     def run(batches):
-        strings = tokenizer(vocab_path).strings
+        strings = strings_of(vocab_path)
         for batch in batches:
-            lists = batch.column(1)
-            values, offsets = lists.values.to_pylist(), lists.offsets.to_pylist()
-            texts = [" ".join([strings[i] for i in values[a:b] if i in strings]) for a, b in zip(offsets, offsets[1:])]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            yield decoded_batch(batch, strings)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def bpe_roundtrip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): bpe_encode and bpe_decode in one pass of one worker."""
+
+    def run(batches):
+        strings = strings_of(vocab_path)
+        for batch in encoded_batches(batches, vocab_path):
+            yield decoded_batch(batch, strings)
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Per document: n_tokens and the digests of its ids and of the decoded text."""
-    done = bpe_decode(bpe_encode(docs, vocab_path), vocab_path)
-    return done.select(
+    return bpe_roundtrip(docs, vocab_path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

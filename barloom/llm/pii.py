@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import spans as S
+from barloom.llm.common import small_batches
 
 MAX_TOKENS = 5
 #: Tokens on each side of a trigger that are segmented with it.
@@ -270,6 +271,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "base", "spans", "redacted"],
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, base string, spans string, redacted string")
 

@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard, pii, quality, repeats, secrets, warc
+from barloom.llm import bpe, jaccard, licenses, mixing, pii, quality, repeats, search, secrets, warc
 from barloom.llm.common import read_table
 
 TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -41,14 +42,43 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.contract(read_table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(read_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.contract(spark, sf_dir)
+
+
 def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip, op10_jaccard_classes)
+    found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip,
+             op7_source_mix, op8_exact_top_k, op9_license_scan, op10_jaccard_classes)
     return {f.__name__: f for f in found}
 
 
+OP8_SQL = """
+WITH sound AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  GROUP BY 1, 2
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_top_k": OP8_SQL}

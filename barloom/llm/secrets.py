@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import spans as S
-from barloom.llm.common import partitions, scratch
+from barloom.llm.common import partitions, scratch, small_batches
 
 #: Change it with any rule: blobs are then scanned anew.
 RULE_VERSION = "2"
@@ -56,6 +56,7 @@ def blobs(versions: DataFrame, text_col: str) -> DataFrame:
                     bodies.append(press(body))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["blob", "body"])
 
+    small_batches(versions.sparkSession)
     return versions.select(F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t")).mapInArrow(run, "blob string, body binary")
 
 
