@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD_BREAKS = "\t\n\x0b\x0c\r "
 
 #: Groups that one shuffle partition takes when rows are grouped by block.
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -242,7 +242,8 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, per
 def _documents(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, first, grams, prefix): steps 1 and 2. first: the least doc_id of the block with an equal set;
     grams and prefix only where the document can have a partner elsewhere."""
-    blocks = buckets = partitions(docs.sparkSession) * BLOCKS_PER_PARTITION
+    buckets = partitions(docs.sparkSession)
+    blocks = buckets * BLOCKS_PER_PARTITION
     text = blocked(docs, id_col, text_col, blocks)
 
     def firsts(block: Block):
@@ -321,7 +322,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
 def _candidate_edges(survivors: DataFrame) -> DataFrame:
     """(u, v): a document and the least one that shares a prefix gram with it."""
-    buckets = partitions(survivors.sparkSession) * BLOCKS_PER_PARTITION
+    buckets = partitions(survivors.sparkSession)
 
     def spread(batches):
         for batch in batches:

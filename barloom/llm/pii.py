@@ -16,6 +16,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm import spans as S
 from barloom.llm.common import small_batches
@@ -246,11 +247,12 @@ def added(text: str, model: SemiMarkov, base: list[S.Span]) -> list[S.Span]:
     return [s for s in out if not any(x < s[1] and s[0] < y for x, y in held)]
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, spans, redacted): listed base spans, all spans, and the text with each span replaced by its kind.
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, base, spans, redacted, and the columns in keep): listed base spans, all spans, and the text with each span replaced by its kind.
 
     Null and empty texts have no spans (and a null or empty redacted text). Overlapping spans of several kinds are all
-    listed, and redacted as one. Repeated rows and null ids give a row each; other columns are not read. Narrow.
+    listed, and redacted as one. Repeated rows and null ids give a row each; columns
+    beside those in keep are not read. Narrow.
     """
     weights = trained().weights
 
@@ -267,13 +269,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 every.append(S.listed(found + more, S.PERSONAL))
                 clean.append(redact(text, found + more))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, pa.string()), pa.array(every, pa.string()), pa.array(clean, pa.string())],
-                names=["doc_id", "base", "spans", "redacted"],
+                [batch.column(0), pa.array(base, pa.string()), pa.array(every, pa.string()), pa.array(clean, pa.string()), *batch.columns[2:]],
+                names=["doc_id", "base", "spans", "redacted", *keep],
             )
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, base string, spans string, redacted string")
+    kept = docs.select(*keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    found = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("base", "spans", "redacted")])
+    return rows.mapInArrow(run, T.StructType(found.fields + kept.schema.fields))
 
 
 def redact(text: str | None, found: list[S.Span]) -> str | None:

@@ -263,7 +263,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others. kept is binary: a cut can fall within a character. Other columns are not read.
     """
     spark = docs.sparkSession
-    blocks = buckets = partitions(spark) * BLOCKS_PER_PARTITION
+    buckets = partitions(spark)
+    blocks = buckets * BLOCKS_PER_PARTITION
     text = blocked(docs, id_col, text_col, blocks)
 
     def cells(name: str, rows: list[tuple]) -> pa.Table:

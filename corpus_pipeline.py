@@ -1,15 +1,68 @@
-"""From documents to token ids, stage by stage."""
+"""From documents to token ids: quality rules, one document of each near-duplicate class, personal data masked, sources mixed,
+BPE. Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Stages are written and read back between one another, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.llm import bpe, jaccard, mixing, pii, quality
+from barloom.llm.common import read_table, through_table
+from barloom.llm.registry import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep; the decision list is learned from the labels."""
+    judged = quality.quality_rules(docs, read_table(spark, sf_dir, "labels"), keep=COLUMNS[1:])
+    return judged.where("kept").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each class; of rows with one doc_id that with the least text. Null ids stay."""
+    classes = jaccard.jaccard_classes(docs)
+    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in COLUMNS[1:]])
+    left = docs.select(*COLUMNS).join(others, "doc_id", "left_anti").withColumn("turn", F.row_number().over(first))
+    return left.where("turn = 1 OR doc_id IS NULL").select(*COLUMNS)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every span of personal data replaced by its kind."""
+    found = pii.find_personal_data(docs, keep=COLUMNS[2:4])
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix."""
+    return mixing.in_order(mixing.mix(docs.select(*COLUMNS)), list(COLUMNS))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the digest of the text that the ids decode to."""
+    done = bpe.bpe_roundtrip(docs, vocabulary())
+    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", personal_data_stage),
+    ("source_mix", mixing_stage),
+    ("bpe_tokens", token_stage),
+]
+#: Learned rules, the random field and BPE have no SQL form; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = through_table(docs, f"pipeline-{name}")
     return docs
