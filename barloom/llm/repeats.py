@@ -7,9 +7,10 @@ least hash. Equal windows have equal anchors, so
 2. anchors meet by hash, and those that occur once are forgotten: their windows have no equal;
 3. blocks cut the segments of the others; a segment that a block has already cut is a repeat as it stands (so one hot passage
    sends one segment per block, however often it occurs);
-4. segments meet by anchor; equal ones become one, with the first of them, and the distinct ones are laid out in order of
-   doc_id and place in texts of bounded size. Each text is transformed, and a breadth-first backward extension derives the places in the suffix order where the common prefix is 0, 1, 2 ... bytes,
-   stopping at `length`. Windows between which no such place lies are equal; all but the first are repeats;
+4. segments meet by anchor; equal ones become one, with the first of them, and the distinct ones of anchors that have several
+   are laid out in order of doc_id and place in texts of bounded size. Each text is transformed, and a breadth-first backward
+   extension derives the places in the suffix order where the common prefix is 0, 1, 2 ... bytes, stopping at `length`.
+   Windows between which no such place lies are equal; all but the first are repeats;
 5. blocks join the repeats back to their documents.
 
 The text is dealt by block of doc_id once; that exchange serves steps 1, 3 and 5.
@@ -348,6 +349,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append((block[i], starts[i].astype(np.int64), starts[i] + counts[i].astype(np.int64) + length - 1))
             by_hash = np.array(new)
             by_hash = by_hash[np.argsort(low[by_hash], kind="stable")]
+            alike = low[by_hash][1:] == low[by_hash][:-1]  # windows of one segment differ, so an anchor with one distinct segment has no more repeats
+            by_hash = by_hash[np.append(False, alike) | np.append(alike, False)] if len(by_hash) > 1 else by_hash[:0]
             sizes = np.cumsum(counts[by_hash].astype(np.int64) + length)
             fresh = np.flatnonzero(np.concatenate(([True], low[by_hash][1:] != low[by_hash][:-1])))
             at = 0
