@@ -1,6 +1,6 @@
 """Web archives of Zstandard frames: one frame per record, after a skippable frame that holds the dictionary.
 
-Writing: pages are dealt to archives by page_id; each task trains a dictionary on a bounded sample of its own payloads, and
+Writing: each task fills archives of bounded size, trains the dictionary of each on a bounded sample of its payloads, and
 Spark's text writer puts the frames into one file per task. Its line separator is an empty skippable frame, so a file is a plain
 sequence of Zstandard frames that any reader of the format opens. Reading: Spark's binaryFile source hands over each archive
 whole, wherever it is stored; the dictionary is loaded from the leading frame and records are decoded one by one.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, scratch, small_batches
+from barloom.llm.common import scratch, small_batches
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -115,8 +115,7 @@ def write_archives(rows: DataFrame, path: str) -> None:
             yield archive(held)
 
     small_batches(rows.sparkSession)
-    n = partitions(rows.sparkSession)
-    frames = rows.repartition(n, "page_id").mapInArrow(run, "frames binary")
+    frames = rows.mapInArrow(run, "frames binary")  # payloads stay where the join of revisits() put them
     writer = frames.select(F.col("frames").cast("string").alias("value")).write
     writer.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
