@@ -227,8 +227,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds base_failed and kept."""
-    return stats.withColumns({"base_failed": base_failed(), "verdict": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("verdict")).drop("verdict")
+    """Adds base_failed and kept.
+
+    kept goes through a row number, which is never negative: a filter on it is then not pushed below the statistics, where every
+    condition would carry a copy of the expressions that count.
+    """
+    judged = stats.withColumns({"base_failed": base_failed(), "verdict": verdict(rules)})
+    return judged.withColumn("kept", (F.monotonically_increasing_id() >= 0) & ~F.col("base_failed") & F.col("verdict")).drop("verdict")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
