@@ -8,7 +8,9 @@ Spark finds which documents can link at all, without loss:
    others list a prefix of their grams in order of class: with (1 - j) n + 1 grams, partners share one of them. Common passages
    have high classes, so prefixes hardly hold them;
 3. documents whose prefixes meet form candidate groups (connected components); no link leaves a group. Large groups are split
-   into nodes by size band and hash, and only nodes of equal or adjacent bands are paired;
+   into nodes by size band and hash, and only nodes of equal or adjacent bands are paired: first each node alone and with the
+   first of its band and of the band below; then what lies outside the largest class of the group with all nodes. A group of
+   near copies of one text so costs its size, not its square;
 4. each pair of nodes is joined by signature trees: hierarchical nodes with OR-combined bitmaps and size ranges, traversed
    together and pruned by the largest overlap that they allow, or where all members are connected already. What is left is
    compared exactly;
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BLOCKS_PER_PARTITION, blocked, pack, partitions, small_batches, split_by, through_table, unpack
@@ -29,6 +31,8 @@ from barloom.llm.repeats import Block
 WORDS, PERCENT = 5, 80
 #: Members of a node that crosses the network, and of a leaf; children of an inner node; bits of a signature.
 NODE, LEAF, FANOUT, BITS = 1024, 16, 8, 1024
+#: Places where the members of one group meet the facts about it.
+SALTS = 64
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 
@@ -347,28 +351,85 @@ def _candidate_edges(survivors: DataFrame) -> DataFrame:
     return cells.groupBy("bucket").applyInArrow(met, "u long, v long")
 
 
-def _links(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _band(name: str, percent: int) -> Column:
+    """Sizes of partners differ by a factor of 100 / percent at most: equal or adjacent bands."""
+    return F.floor(F.log(F.col(name).cast("double")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
+
+
+def _salted(facts: DataFrame) -> DataFrame:
+    """Few facts about large groups, once per salt, so that a group's members meet them in SALTS places."""
+    return facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _placed(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(component, doc_id, salt, band, parts, ahead, behind): the members of candidate groups. parts: the number of nodes of the
+    member's size band, null in groups of one node; ahead, behind: those of the adjacent bands."""
+    members = survivors.join(groups, F.col("doc_id") == F.col("node")).select("component", "doc_id", _band("n_shingles", percent).alias("band"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    bands = members.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"))
+    large = bands.groupBy("component").agg(F.sum("n").alias("size")).where(F.col("size") > NODE).select("component")
+    facts = bands.join(large, "component").select("component", "band", F.ceil(F.col("n") / NODE).cast("int").alias("parts"))
+    return members.join(_salted(_with_neighbours(facts, "parts")), ["component", "band", "salt"], "left")
+
+
+def _with_neighbours(facts: DataFrame, name: str) -> DataFrame:
+    """ahead and behind: the named number of the bands above and below, 0 where there are none."""
+    ahead = facts.select("component", (F.col("band") - 1).alias("band"), F.col(name).alias("ahead"))
+    behind = facts.select("component", (F.col("band") + 1).alias("band"), F.col(name).alias("behind"))
+    return facts.join(ahead, ["component", "band"], "left").join(behind, ["component", "band"], "left").na.fill(0, ["ahead", "behind"])
+
+
+def _turns(kind: str, side: int, count: Column, *names: Column) -> Column:
+    """Pairs `names` with k for k below count, and the side on which the member takes part."""
+    upto = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(upto, lambda k: F.struct(F.xxhash64(F.lit(kind), F.col("component"), *names, k).alias("pair"), F.lit(side).alias("side")))
+
+
+def _first_pairs(placed: DataFrame) -> DataFrame:
+    """(doc_id, pair, side): each node alone, and each with the first node of its band and of the band below."""
+    band, part = F.col("band"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")
+    one, none = F.lit(1), F.lit(0)
+    large, hub = F.col("parts").isNotNull(), F.col("part") == 0
+    alone = F.struct(F.when(large, F.xxhash64(F.lit("alone"), "component", band, "part")).otherwise(F.xxhash64(F.lit("alone"), "component")).alias("pair"), F.lit(-1).alias("side"))
+    sides = F.concat(
+        F.array(alone),
+        _turns("level", 0, F.when(hub & large, F.col("parts")).otherwise(none), band),
+        F.transform(F.when(large & ~hub, F.array(one)).otherwise(F.array().cast("array<int>")), lambda _: F.struct(F.xxhash64(F.lit("level"), "component", band, "part").alias("pair"), one.alias("side"))),
+        _turns("step", 0, F.when(hub & large, F.col("ahead")).otherwise(none), band + 1),
+        F.transform(F.when(large & (F.col("behind") > 0), F.array(one)).otherwise(F.array().cast("array<int>")), lambda _: F.struct(F.xxhash64(F.lit("step"), "component", band, "part").alias("pair"), one.alias("side"))),
+    )
+    return placed.withColumn("part", part).select("doc_id", F.explode(sides).alias("s")).select("doc_id", "s.*")
+
+
+def _other_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, pair, side): the members outside the largest class of their group, in nodes, each with every node of the same or
+    an adjacent band. Two members of one class need no comparison."""
+    named = large.join(classes, F.col("doc_id") == F.col("node_"), "left").select(*large.columns, F.coalesce("class_", "doc_id").alias("class"))
+    tally = named.groupBy("component", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = tally.groupBy("component").agg(F.max(F.struct("n", "class"))["class"].alias("class"))
+    rest = named.join(_salted(largest), ["component", "class", "salt"], "left_anti")
+    few = rest.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / NODE).cast("int").alias("few"))
+    facts = _salted(few).select("component", "band", "salt", "few")
+    part, band = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.col("band")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("few")).cast("int")
+
+    def named_pairs(side: int, k: Column, upto: Column, other: Column, flip: bool) -> Column:
+        # a pair is (band and part of the rest, band and part of all)
+        upto = F.when(upto > 0, F.sequence(F.lit(0), upto - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(upto, lambda j: F.struct((F.xxhash64(F.lit("rest"), "component", other, j, band, k) if flip else F.xxhash64(F.lit("rest"), "component", band, k, other, j)).alias("pair"), F.lit(side).alias("side")))
+
+    ours = rest.join(facts, ["component", "band", "salt"]).withColumn("k", mine)
+    left = ours.select("doc_id", F.explode(F.concat(*[named_pairs(0, F.col("k"), F.col(n), band + d, False) for d, n in ((-1, "behind"), (0, "parts"), (1, "ahead"))])).alias("s"))
+    # the bands next to a band of the rest meet it too
+    around = few.select("component", F.explode(F.array(*[F.struct((band + d).alias("band"), F.when(F.lit(d == -1), F.col("few")).otherwise(0).alias("over"), F.when(F.lit(d == 0), F.col("few")).otherwise(0).alias("same"), F.when(F.lit(d == 1), F.col("few")).otherwise(0).alias("under")) for d in (-1, 0, 1)])).alias("f"))
+    around = around.select("component", "f.*").groupBy("component", "band").agg(*[F.max(n).alias(n) for n in ("over", "same", "under")])
+    all_of = large.select("component", "doc_id", "band", "salt", part.alias("k")).join(_salted(around), ["component", "band", "salt"])
+    right = all_of.select("doc_id", F.explode(F.concat(*[named_pairs(1, F.col("k"), F.col(n), band + d, True) for d, n in ((1, "over"), (0, "same"), (-1, "under"))])).alias("s"))
+    return left.unionByName(right).select("doc_id", "s.*")
+
+
+def _linked(dealt: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     """(u, v): exact links that span the classes of each pair of nodes."""
-    spark = survivors.sparkSession
-    tasks = partitions(spark) * BLOCKS_PER_PARTITION
-    members = survivors.join(groups, F.col("doc_id") == F.col("node")).select("component", "doc_id", F.col("n_shingles").alias("n"))
-    # sizes of partners differ by a factor of 100 / percent at most: equal or adjacent bands
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
-    small = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    banded = members.join(small, "component").withColumn("band", F.when(F.col("size") <= NODE, 0).otherwise(band))
-    filled = banded.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n_band"))
-    nodes = filled.select("component", "band", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_band") / NODE).cast("int") - 1)).alias("part"))
-    placed = banded.join(filled, ["component", "band"]).select("component", "doc_id", "band", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_band") / NODE)).cast("int").alias("part"))
-    a, b = (nodes.select("component", F.col("band").alias(f"band_{x}"), F.col("part").alias(f"part_{x}")) for x in "ab")
-    later = (F.col("band_b") > F.col("band_a")) | (F.col("part_b") >= F.col("part_a"))
-    pairs = a.join(b, "component").where((F.col("band_b") - F.col("band_a")).between(0, 1) & later)
-    pairs = pairs.withColumn("pair", F.xxhash64("component", "band_a", "part_a", "band_b", "part_b"))
-    alone = (F.col("band_a") == F.col("band_b")) & (F.col("part_a") == F.col("part_b"))
-    sides = pairs.select("component", "pair", F.explode(F.when(alone, F.array(F.struct(F.col("band_a").alias("band"), F.col("part_a").alias("part"), F.lit(-1).alias("side")))).otherwise(F.array(
-        F.struct(F.col("band_a").alias("band"), F.col("part_a").alias("part"), F.lit(0).alias("side")),
-        F.struct(F.col("band_b").alias("band"), F.col("part_b").alias("part"), F.lit(1).alias("side")),
-    ))).alias("s")).select("component", "pair", "s.*")
-    dealt = placed.join(sides, ["component", "band", "part"]).select("doc_id", "pair", "side")
+    tasks = partitions(survivors.sparkSession) * BLOCKS_PER_PARTITION
     rows = dealt.join(survivors.select("doc_id", "grams"), "doc_id").withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)).cast("int"))
 
     def joined(key, table):
@@ -386,6 +447,18 @@ def _links(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return rows.select("task", "doc_id", "pair", "side", "grams").groupBy("task").applyInArrow(joined, "u long, v long")
 
 
+def _links(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v): steps 3 and 4. What the nodes and the first node of each band connect needs no further pairs."""
+    placed = through_table(_placed(survivors, groups, percent), "members")
+    first = through_table(_linked(_first_pairs(placed), survivors, percent), "links")
+    large = placed.where("parts IS NOT NULL")
+    if large.isEmpty():
+        return first
+    of_large = first.join(large.select(F.col("doc_id").alias("u")).distinct(), "u", "left_semi")
+    classes = components(of_large).select(F.col("node").alias("node_"), F.col("component").alias("class_"))
+    return first.unionByName(_linked(_other_pairs(large, classes), survivors, percent))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the class of each document under links at Jaccard >= percent / 100.
 

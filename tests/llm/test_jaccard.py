@@ -73,6 +73,32 @@ def test_groups_of_many_nodes(spark, monkeypatch):
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
+def families(sizes=(44, 30, 17)):
+    """Families of near copies, unlike one another, whose members share a rare tail with one of another family: one candidate group."""
+    rng, rows = random.Random(31), []
+    word = lambda: "".join(rng.choice("ijklmnop") for _ in range(5))
+    tails = [" ".join(word() for _ in range(6)) for _ in range(max(sizes))]
+    for n in sizes:
+        base = [word() for _ in range(70)]
+        for k in range(n):
+            text = list(base)
+            text[rng.randrange(70)] = word()
+            rows.append((len(rows), " ".join([*text[: 70 - k % 9], tails[k]])))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_links_outside_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "NODE", 3)
+    docs = spark.createDataFrame(families(), "doc_id long, text string")
+    want = brute(families())
+    assert len({c for _, _, c in want}) >= 3
+    assert run(docs) == want
+    other_pairs = jaccard._other_pairs
+    monkeypatch.setattr(jaccard, "_other_pairs", lambda *a: other_pairs(*a).limit(0))
+    assert run(docs) != want  # the case does need the second round
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_trees_lose_no_link(seed):
     rng = np.random.default_rng(seed)
