@@ -79,6 +79,73 @@ WITH sound AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP1_SQL = """
+WITH bodies AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), starts AS (
+  SELECT doc_id, x, unnest(range(n - 99)) AS p FROM bodies WHERE n >= 100
+), windows AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS w FROM starts
+), numbered AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM windows
+), later AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM numbered WHERE k > 1
+), runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM later
+), gone AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY doc_id, run
+), cuts AS (
+  SELECT doc_id, a, b FROM gone UNION ALL SELECT doc_id, n, n FROM bodies
+), kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS a, a AS b FROM cuts
+), joined AS (
+  SELECT k.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS rest FROM kept k JOIN bodies USING (doc_id) GROUP BY k.doc_id
+), counted AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(rest)) AS kept_sha256
+FROM bodies LEFT JOIN joined USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+OP4_SQL = """
+WITH records AS (
+  SELECT page_id, url, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), judged AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS target FROM records
+)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest, CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN target <> page_id THEN target END AS refers_to, url
+FROM judged
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words
+), sized AS (
+  SELECT doc_id, len(s) AS n, s FROM sets
+), grams AS MATERIALIZED (
+  SELECT doc_id, n, unnest(s) AS g FROM sized
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT u, v FROM pairs WHERE 100 * shared >= 80 * (total - shared)
+), reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (
+  SELECT u, min(v) AS v FROM reach GROUP BY u
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(v, doc_id)) AS component_id
+FROM sized LEFT JOIN least ON doc_id = u
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op1_repeated_strings": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op10_jaccard_classes": OP10_SQL}
