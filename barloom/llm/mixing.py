@@ -1,34 +1,47 @@
-"""Mixing of sources to target weights, by Pfair schedules. DataFrame operations throughout.
+"""Mixing of sources to target weights, by Pfair schedules.
 
 A source of weight w is a periodic task: its block j (from 0) is released at slot floor(j / w) and due by slot ceil((j + 1) / w).
-Every slot takes one released block, that with the earliest deadline. Weights are whole numbers of slots in a period; over a
-period every source gets its number of slots exactly, so the schedule of one period is that of all. Within it each source is
-always less than one block away from its weight.
+Every slot takes one released block, that with the earliest deadline. Weights are the targets themselves, as ratios of whole
+numbers without rounding, so at every slot each source is less than one block away from its target, however long the mix is.
 
-The period (a parameter of fixed size) is scheduled on the driver; blocks then take their slots by a join with it. Ranks within a
-source are counted by salt: a source with a third of all rows is counted in many tasks.
+The schedule depends on what came before, so one task runs it, slot by slot: it holds a few numbers for each source, reads their
+block counts and writes a row for each block. Rows take their slots in the exchange that ranks them, where the schedule's rows
+meet them by source and salt. Ranks within a source are counted by salt: a source with a third of all rows is counted in many
+tasks. No source and no block passes through the driver.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BLOCKS_PER_PARTITION, partitions
 
-#: Slots of a period, and rows of a block.
-PERIOD, BLOCK_ROWS = 1024, 8
+#: Rows of a block, and scheduled blocks that are handed on at a time.
+BLOCK_ROWS, BATCH = 8, 1 << 16
 
 
-def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Slots of each source in a period, by largest remainders; every source with a positive weight gets one at least.
+def whole_weights(weights: dict[str | None, float], period: int | None = None) -> dict[str | None, int]:
+    """Whole numbers in exactly the ratios of the positive weights: each source's slots in as many slots as their sum.
 
-    With more sources than slots the period is as long as there are sources."""
+    With a period they are rounded to that many slots, by largest remainders; every source gets one at least, and with more
+    sources than slots the period is as long as there are sources."""
     some = {s: w for s, w in weights.items() if w > 0}
     if not some:
         return {}
+    if period is None:
+        ratios = {s: Fraction(w) for s, w in some.items()}
+        scale = math.lcm(*(r.denominator for r in ratios.values()))
+        whole = {s: r.numerator * (scale // r.denominator) for s, r in ratios.items()}
+        least = math.gcd(*whole.values())
+        return {s: x // least for s, x in whole.items()}
     period, total = max(period, len(some)), sum(some.values())
     exact = {s: w * period / total for s, w in some.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
@@ -43,63 +56,86 @@ def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dic
     return slots
 
 
-def schedule(slots: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, slot, release, deadline) over one period, earliest deadline first; ties by source."""
-    period = sum(slots.values())
+def schedule(slots: dict[str | None, int], blocks: dict[str | None, int] | None = None) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, slot, release, deadline), earliest deadline first; ties by source.
+
+    Ends when each source has its `blocks`, or after one period. Sources that have theirs still take their slots, which are left
+    out."""
+    period, blocks = sum(slots.values()), slots if blocks is None else blocks
     names = sorted(slots, key=lambda s: (s is not None, s or ""))
+    rates, wanted = [slots[s] for s in names], [blocks.get(s, 0) for s in names]
     waiting = [(0, i, 0) for i in range(len(names))]  # (release, source, block)
     ready: list[tuple[int, int, int, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(period):
+    slot, left = 0, sum(wanted)
+    while left:
         while waiting and waiting[0][0] <= slot:
             release, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[i]]), i, j, release))
+            heapq.heappush(ready, (-(-(j + 1) * period // rates[i]), i, j, release))
         deadline, i, j, release = heapq.heappop(ready)
-        out.append((names[i], j, slot, release, deadline))
-        if j + 1 < slots[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[names[i]], i, j + 1))
-    return out
+        if j < wanted[i]:
+            yield names[i], j, slot, release, deadline
+            left -= 1
+        heapq.heappush(waiting, ((j + 1) * period // rates[i], i, j + 1))
+        slot += 1
+
+
+def root_weight(rows: int) -> float:
+    """The default target: the square root of a source's number of rows."""
+    return float(rows) ** 0.5
 
 
 def root_weights(docs: DataFrame, source_col: str = "source") -> dict[str | None, float]:
-    """The default target: the square root of each source's number of rows. One row for each source comes to the driver."""
-    return {r[0]: float(r[1]) ** 0.5 for r in docs.groupBy(F.col(source_col).cast("string")).agg(F.count(F.lit(1))).collect()}
+    """The default target of each source. One row for each source comes to the driver; mix() doesn't need it."""
+    return {r[0]: root_weight(r[1]) for r in docs.groupBy(F.col(source_col).cast("string")).agg(F.count(F.lit(1))).collect()}
+
+
+def scheduled(totals: DataFrame, weights: dict[str | None, float] | None, period: int | None, block_rows: int) -> DataFrame:
+    """(s, j, slot, release, due) of each block of the weighted sources, from totals (source, rows). One task: it holds a few
+    numbers for each source, and takes time for each slot up to the last block."""
 
+    def run(batches):
+        rows = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+        targets = {s: root_weight(n) for s, n in rows.items()} if weights is None else weights
+        blocks = {s: -(-n // block_rows) for s, n in rows.items() if targets.get(s, 0) > 0}
+        plan = schedule(whole_weights(targets, period), blocks)
+        while part := list(itertools.islice(plan, BATCH)):
+            columns = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["s", "j", "slot", "release", "due"])
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return totals.repartition(1).mapInArrow(run, "s string, j long, slot long, release long, due long")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", period: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs with mix_block, mix_release, mix_deadline, mix_slot and mix_place: order by mix_slot, mix_place to read the mix.
 
     Every row stays. While all sources last, any start of the order holds each source to its weight within one block; when one
     is used up, its slots stay empty. Sources without a weight (or with none above 0) come after all others, in slot null. A null
     source is a source. Rows with equal ids are told apart by a hash of all their columns; rows that are equal in all are
-    interchangeable.
+    interchangeable. Only with a period are weights rounded, to whole slots of it.
     """
     spark = docs.sparkSession
-    slots = whole_weights(root_weights(docs, source_col) if weights is None else weights, period)
-    length = sum(slots.values())
     names = [c for c in docs.columns if not c.startswith("mix_")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    source = F.col(source_col).cast("string")
     spread = F.xxhash64(F.col(id_col))
     salts = partitions(spark) * BLOCKS_PER_PARTITION
-    salted = rows.withColumns({"mix_source": source, "mix_salt": F.pmod(spread, F.lit(salts)).cast("int")})
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    salted = rows.withColumns({"mix_source": F.col(source_col).cast("string"), "mix_salt": F.pmod(spread, F.lit(salts)).cast("int")})
     # rows of a source in smaller salts: one row for each source and salt
     counted = salted.groupBy("mix_source", "mix_salt").agg(F.count(F.lit(1)).alias("n"))
-    before = counted.selectExpr("mix_source AS s", "mix_salt AS t", "sum(n) OVER (PARTITION BY mix_source ORDER BY mix_salt) - n AS mix_before")
-    offset = salted.join(before, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_salt") == F.col("t")), "left").drop("s", "t")
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    within = Window.partitionBy("mix_source", "mix_salt").orderBy(spread, id_col, hashed)
-    ranked = offset.withColumn("mix_rank", F.col("mix_before") + F.row_number().over(within) - 1)
-    table = [(s, slots[s], j, slot, release, deadline) for s, j, slot, release, deadline in schedule(slots)]
-    plan = spark.createDataFrame(table, "s string, per int, j long, slot long, release long, due long")  # `length` rows
-    rates = spark.createDataFrame(list(slots.items()), "rs string, rate int")
-    block = F.floor(F.col("mix_rank") / block_rows)
-    rated = ranked.join(F.broadcast(rates), F.col("mix_source").eqNullSafe(F.col("rs")), "left").withColumn("mix_block", block)
-    on = F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") % F.col("rate") == F.col("j"))
-    start = F.floor(F.col("mix_block") / F.col("per")) * length
-    timed = rated.join(F.broadcast(plan), on, "left").withColumns({"mix_slot": start + F.col("slot"), "mix_release": start + F.col("release"), "mix_deadline": start + F.col("due"), "mix_place": (F.col("mix_rank") % block_rows).cast("int")})
-    return timed.select(*[F.col(f"`{c}`") for c in names], "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+    before = counted.selectExpr("mix_source", "mix_salt", "n", "sum(n) OVER (PARTITION BY mix_source ORDER BY mix_salt) - n AS mix_before")
+    plan = scheduled(counted.groupBy("mix_source").agg(F.sum("n").alias("n")), weights, period, block_rows)
+    # the blocks that a salt has rows of, with their slots
+    spans = before.selectExpr("mix_source", "mix_salt", "mix_before", f"explode(sequence(mix_before div {block_rows}, (mix_before + n - 1) div {block_rows})) AS mix_block")
+    on = F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("j"))
+    heads = spans.join(plan, on, "left").select("mix_source", "mix_salt", "mix_before", "mix_block", F.col("slot").alias("mix_slot"), F.col("release").alias("mix_release"), F.col("due").alias("mix_deadline"), F.lit(True).alias("mix_head"))
+    both = salted.withColumns({"mix_spread": spread, "mix_hash": hashed, "mix_head": F.lit(False)}).unionByName(heads, allowMissingColumns=True)
+    within = Window.partitionBy("mix_source", "mix_salt").orderBy(F.desc("mix_head"), "mix_spread", id_col, "mix_hash").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.max("mix_before").over(within) + F.count(F.when(~F.col("mix_head"), 1)).over(within) - 1
+    ranked = both.withColumn("mix_rank", rank).withColumn("mix_block", F.when(F.col("mix_head"), F.col("mix_block")).otherwise(F.floor(F.col("mix_rank") / block_rows)))
+    block = Window.partitionBy("mix_source", "mix_salt", "mix_block")  # dealt as before: its rows are together
+    taken = ranked.withColumns({c: F.max(c).over(block) for c in ("mix_slot", "mix_release", "mix_deadline")})
+    done = taken.where("NOT mix_head").withColumn("mix_place", (F.col("mix_rank") % block_rows).cast("int"))
+    return done.select(*[F.col(f"`{c}`") for c in names], "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
 
 
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -76,3 +76,39 @@ def test_odd_tables(spark):
     twice = [(1, "a", "s", 0), (1, "a", "s", 0), (1, "b", "s", 0), (None, None, None, None)]
     got = rows_of(spark, twice, block_rows=1)[1]
     assert len(got) == 4 and len({r.mix_slot for r in got}) == 4
+
+
+def test_targets_are_not_rounded(spark):
+    """One hot source and 19 small ones over 100,000 slots: less than one block from the unrounded targets at every slot."""
+    weights = {f"s{k:02}": (700.0 if k == 0 else 1.0 + k) ** 0.5 for k in range(20)}
+    slots = mixing.whole_weights(weights)
+    total = sum(map(Fraction, weights.values()))
+    got = Counter()
+    for k, (s, _, slot, release, deadline) in enumerate(mixing.schedule(slots, {s: 10**6 for s in weights})):
+        if k == 100_000:
+            break
+        assert slot == k and release <= slot < deadline
+        got[s] += 1
+        if k % 97 == 0:
+            assert all(abs(Fraction(w) / total * (k + 1) - got[n]) < 1 for n, w in weights.items())
+    n = 12_000  # many times 1024 blocks, through mix()
+    rows = [(i, "", "hot" if i % 3 else f"s{i % 7}", 0) for i in range(n)]
+    done = rows_of(spark, rows, block_rows=1)[1]
+    counts = Counter(r[2] for r in rows)
+    targets = {s: Fraction(float(c) ** 0.5) for s, c in counts.items()}
+    total = sum(targets.values())
+    assert len({r.mix_slot for r in done}) == len(done) == n and max(r.mix_slot for r in done) > 1024 * 4
+    for r in done:
+        w = targets[r.source] / total
+        assert (r.mix_release, r.mix_deadline) == (r.mix_block // w, -(-(r.mix_block + 1) // w))
+        assert r.mix_release <= r.mix_slot < r.mix_deadline
+
+
+def test_more_sources_than_a_thousand(spark):
+    """A source with a third of the rows keeps its weight among 1,500."""
+    rows = [(i, "", "hot", 0) for i in range(1500)] + [(10_000 + i, "", f"s{i % 1499}", 0) for i in range(2998)]
+    done = rows_of(spark, rows, block_rows=1)[1]
+    w = Fraction(1500**0.5) / (Fraction(1500**0.5) + 1499 * Fraction(2**0.5))
+    hot = sorted((r.mix_slot, r.mix_block) for r in done if r.source == "hot")
+    assert len(done) == len(rows) and [b for _, b in hot] == list(range(1500))
+    assert all(b // w <= slot < -(-(b + 1) // w) for slot, b in hot)
