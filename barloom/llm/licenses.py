@@ -1,8 +1,10 @@
-"""License scans: sparse TF-IDF cosine of lines to notice templates, and inheritance from the nearest directory above.
+"""License scans: sparse TF-IDF cosine of texts to notice templates, and inheritance from the nearest directory above.
 
-Terms are those of the templates; their document frequencies are counted over all texts. A line's vector is compared with every
-template that can reach the threshold: one of the template's heaviest terms must occur (without all of them the cosine is below
-it, so nothing is lost). Files without a notice take that of the licence file in the nearest directory above, by a join of paths.
+Terms are those of the templates; their document frequencies are counted over all texts. Compared are lines, headers (blocks of
+consecutive lines between those without a term, whatever the comment marks), whole licence files, and for each template every run
+of as many terms as it has, over all the text regardless of lines: a notice is found wrapped over lines, and within a paragraph.
+A vector is compared with every template that can reach the threshold: one of the template's heaviest terms must occur (without
+all of them the cosine is below it, so nothing is lost). Files without a notice take that of the licence file in the nearest directory above, by a join of paths.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,39 +58,92 @@ class Matcher:
         self.threshold = threshold
         vocabulary = sorted({t for _, text in TEMPLATES for t in terms(text)})
         self.idf = {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
-        self.vectors = [(name, self.vector(text)) for name, text in TEMPLATES]
-        self.heavy: set[str] = set()
-        for _, v in self.vectors:
+        self.vectors = [(name, self.vector(terms(text))) for name, text in TEMPLATES]
+        self.lengths = [len(terms(text)) for _, text in TEMPLATES]
+        #: Positions in TEMPLATES by heavy term.
+        self.heavy: dict[str, list[int]] = {}
+        for k, (_, v) in enumerate(self.vectors):
             rest = 1.0
             for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
                 if rest < threshold**2:
                     break
-                self.heavy.add(t)
+                self.heavy.setdefault(t, []).append(k)
                 rest -= w * w
 
-    def vector(self, text: str) -> dict[str, float]:
-        counts = Counter(t for t in terms(text) if t in self.idf)
+    def vector(self, words: list[str]) -> dict[str, float]:
+        counts = Counter(t for t in words if t in self.idf)
         weighted = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
         norm = math.sqrt(sum(w * w for w in weighted.values()))
         return {t: w / norm for t, w in weighted.items()} if norm else {}
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """License and score of the best line; an SPDX tag counts as 1."""
+    def best(self, text: str, whole: bool = False) -> tuple[str | None, float]:
+        """License and score of the best line, header or run of terms, and of the text if `whole`; an SPDX tag counts as 1."""
         if tag := _TAG.search(text):
             return tag[1], 1.0
-        if self.heavy.isdisjoint(terms(text)):
+        everything = terms(text)
+        if self.heavy.keys().isdisjoint(everything):
             return None, 0.0
         top: tuple[float, str] | None = None
-        for line in text.split("\n"):
-            v = self.vector(line)
-            if self.heavy.isdisjoint(v):
-                continue
-            for name, template in self.vectors:
+
+        def compare(words: list[str], templates) -> None:
+            nonlocal top
+            v = self.vector(words)
+            for name, template in templates:
                 score = sum(w * template[t] for t, w in v.items() if t in template)
                 if score >= self.threshold and (top is None or (score, name) > top):
                     top = score, name
+
+        header: list[str] = []
+        lines = 0
+        for line in [*text.split("\n"), ""]:
+            words = terms(line)
+            if words:
+                header += words
+                lines += 1
+                if not self.heavy.keys().isdisjoint(words):
+                    compare(words, self.vectors)
+                continue
+            if lines > 1 and not self.heavy.keys().isdisjoint(header):
+                compare(header, self.vectors)
+            header, lines = [], 0
+        if whole:
+            compare(everything, self.vectors)
+        for k, start in self.runs(everything):
+            compare(everything[start : start + self.lengths[k]], self.vectors[k : k + 1])
         return (top[1], round(top[0], 6)) if top else (None, 0.0)
 
+    def runs(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(template, start) of the runs of the template's length that reach the threshold, about. Only runs with a heavy term of
+        it are looked at; from one to the next, counts change by the term that leaves and the one that comes."""
+        near: dict[int, list[int]] = {}
+        for p, t in enumerate(words):
+            for k in self.heavy.get(t, ()):
+                near.setdefault(k, []).append(p)
+        for k, places in near.items():
+            size, template = self.lengths[k], self.vectors[k][1]
+            most = max(len(words) - size, 0)
+            at = 0
+            while at < len(places):
+                first, last = max(places[at] - size + 1, 0), places[at]
+                at += 1
+                while at < len(places) and places[at] - size + 1 <= last + 1:
+                    last = places[at]
+                    at += 1
+                counts: Counter[str] = Counter()
+                dot = square = 0.0
+                first, last = min(first, most), min(last, most)
+                for p in range(first, last + size):
+                    for t, step in ((words[p] if p < len(words) else "", 1), (words[p - size] if p - size >= first else "", -1)):
+                        if (idf := self.idf.get(t)) is None:
+                            continue
+                        c = counts[t]
+                        counts[t] = c + step
+                        old, new = (1 + math.log(x) if x else 0.0 for x in (c, c + step))
+                        dot += (new - old) * idf * template.get(t, 0.0)
+                        square += (new * new - old * old) * idf * idf
+                    if p - first >= size - 1 and square > 0 and dot > 0 and dot * dot >= (self.threshold**2 - 1e-6) * square:
+                        yield k, p - size + 1
+
 
 def frequencies(files: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Texts, and texts with each template term: one count per term and task comes back, and one per term to the driver."""
@@ -108,7 +164,8 @@ def frequencies(files: DataFrame, text_col: str = "text") -> tuple[int, dict[str
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, score): the notice in each whole text, null where none reaches the threshold.
+    """(path, license, score): the best notice in each text, null where none reaches the threshold. Licence files are also compared
+    as a whole.
 
     Null and empty texts have none; equal scores go to the later name. Repeated rows and null paths give a row each; other
     columns are not read.
@@ -118,7 +175,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     def run(batches):
         matcher = Matcher(n, found, threshold)
         for batch in batches:
-            got = [matcher.best(cell.as_py() or "") for cell in batch.column(1)]
+            cells = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+            got = [matcher.best(cell.as_py() or "", re.search(LICENCE_FILE, (path or "").rpartition("/")[2]) is not None) for path, cell in cells]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["path", "license", "score"])
 
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))

@@ -1,4 +1,6 @@
 import math
+import random
+import textwrap
 from collections import Counter
 
 from barloom.llm import licenses as L
@@ -75,3 +77,54 @@ def test_documents(spark, sf):
         there = [r for r in got if phrase in text[r[0]]]
         assert there and all(r[1] == name for r in there)
     assert all(r[1] is None or "icense" in text[r[0]] for r in got)
+
+
+def wrapped(text, mark, width=76):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_and_mid_paragraph_notices(spark):
+    of = lambda name, start: next(t for n, t in L.TEMPLATES if n == name and start in t)
+    mit = of("MIT", "Permission") + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+    gpl = "This program is free software: " + of("GPL-3.0", "redistribute") + ", or (at your option) any later version."
+    bsd = of("BSD-3-Clause", "Redistribution") + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    files = {
+        "m/LICENSE": ("Copyright (c) 2020 Someone\n\n" + wrapped(mit, ""), "MIT"),
+        "m/x.py": ("import os", None),
+        "g.py": (wrapped(gpl, "# ") + "\n\nimport os\n", "GPL-3.0"),
+        "b.c": ("/*\n" + wrapped(bsd, " * ", 50) + "\n */\nint x;\n", "BSD-3-Clause"),
+        "p.md": ("The tool reads a table and writes another. Released under the MIT License. Bug reports and patches of every kind are welcome in the tracker, as is help with the manual.", "MIT"),
+        "s/COPYING": ("Released\n\nSomeone here 2020\n\nunder the\n\nwell known good old\n\nMIT\n\nsort\n\nLicense", "MIT"),
+        "s/plain.txt": ("Released\n\nSomeone here 2020\n\nunder the\n\nwell known good old\n\nMIT\n\nsort\n\nLicense", None),
+        "n.txt": ("A permission was granted to any person in the file, and the software is free to use under conditions that are met.", None),
+    }
+    got = {r[0]: r for r in run(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"))}
+    assert {p: r[1] for p, r in got.items()} == {p: name for p, (_, name) in files.items()}
+    assert got["m/x.py"][3:] == ("MIT", "m") and got["s/plain.txt"][3:] == ("MIT", "s")
+
+
+def test_every_run_of_terms():
+    """Against all runs of each template's length, without the prefilter."""
+    rng = random.Random(5)
+    vocabulary = sorted({t for _, text in L.TEMPLATES for t in L.terms(text)})
+    matcher = L.Matcher(1000, {t: rng.choice([0, 3, 50, 900]) for t in vocabulary})
+    some = 0
+    for _ in range(200):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            part = L.terms(rng.choice(L.TEMPLATES)[1])
+            for _ in range(rng.randint(0, 3)):
+                part[rng.randrange(len(part))] = rng.choice(vocabulary)
+            words += part[: rng.randint(1, 60)] + [rng.choice([*vocabulary, "other", "word"]) for _ in range(rng.randint(0, 9))]
+        want = set()
+        for k, (_, template) in enumerate(matcher.vectors):
+            size = matcher.lengths[k]
+            for s in range(max(len(words) - size, 0) + 1):
+                v = matcher.vector(words[s : s + size])
+                if sum(w * template.get(t, 0) for t, w in v.items()) >= L.THRESHOLD:
+                    want.add((k, s))
+        assert want <= set(matcher.runs(words))
+        name, score = matcher.best("\n".join(words))
+        assert (name is not None) == bool(want) or score >= L.THRESHOLD
+        some += len(want) > 0
+    assert 50 < some < 200
