@@ -13,11 +13,17 @@ least hash. Equal windows have equal anchors, so
    Windows between which no such place lies are equal; all but the first are repeats;
 5. blocks join the repeats back to their documents.
 
+An anchor whose segments together are longer than a text (a phrase shorter than a window, in ever differing contexts) is counted
+as such in step 2. Its windows don't go to one text: blocks keep the first of each distinct one, and deal these by a 128-bit
+digest of the whole window. Equal windows meet by it, at most one from each block; all but the first are repeats.
+
 The text is dealt by block of doc_id once; that exchange serves steps 1, 3 and 5.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -284,23 +290,29 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def met(key, table):
         of, parts = table.column("block").to_pylist(), [unpack(c, "u4", "u4", "u2") for c in table.column("cell").to_pylist()]
         low = np.concatenate([p[0] for p in parts])
-        ordered = np.sort(low)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        size = np.concatenate([p[2] for p in parts]).astype(np.int64) + length
+        by_hash, fresh = np.argsort(low, kind="stable"), np.empty(len(low), bool)
+        ordered = low[by_hash]
+        fresh[:1], fresh[1:] = True, ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(fresh)
+        often = np.diff(np.append(first, len(low))) > 1
+        twice = ordered[first][often]
+        hot = (np.add.reduceat(size[by_hash], first) if len(first) else size)[often] > TEXT
         rows = []
         for b, (h, starts, counts) in zip(of, parts, strict=True):
             at = np.searchsorted(twice, h)
             hit = twice[np.minimum(at, len(twice) - 1)] == h if len(twice) else np.zeros(len(h), bool)
             if hit.any():
-                rows.append((key[0].as_py(), b, pack(h[hit], starts[hit], counts[hit])))
+                rows.append((key[0].as_py(), b, pack(h[hit], starts[hit], counts[hit], hot[at[hit]])))
         return cells("cell", rows)
 
     def cut(key, left, right):
         block, name = Block(left), key[0].as_py()
         if not right.num_rows:
             return cells("cell", [])
-        parts = [unpack(c, "u4", "u4", "u2") for c in right.column("cell").to_pylist()]
+        parts = [unpack(c, "u4", "u4", "u2", "?") for c in right.column("cell").to_pylist()]
         bucket = np.repeat(np.array(right.column("bucket").to_pylist()), [len(p[0]) for p in parts])
-        low, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        low, starts, counts, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(starts, kind="stable")
         data, seen, new, old = block.data.tobytes(), set(), [], []
         for i, s, n in zip(order.tolist(), starts[order].tolist(), counts[order].tolist(), strict=True):
@@ -310,13 +322,22 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             else:
                 seen.add(body)
                 new.append(i)
+        at, old = np.array(new, np.int64), np.array(old, np.int64)
+        ends = (starts + counts + np.uint32(length - 1)).astype(np.uint32)
+        again, digests, places = hot_windows(data, starts[at[hot[at]]], counts[at[hot[at]]], length)
+        at = at[~hot[at]]
         rows = []
-        if old:
-            at = np.array(old)
-            rows.append((name % buckets, name, b"S" + pack(starts[at], (starts[at] + counts[at] + np.uint32(length - 1)).astype(np.uint32))))
-        at = np.array(new, np.int64)
-        where = np.searchsorted(block.ends, starts[at], side="right")
-        ids = np.array([order_key(d) for d in block.ids], np.int64)[where] if len(block.ids) else np.empty(0, np.int64)
+        if len(old) or len(again):
+            start, end = np.concatenate((starts[old], again)), np.concatenate((ends[old], again + np.uint32(length)))
+            rows.append((name % buckets, name, b"S" + pack(start, end)))
+        numbers = np.array([order_key(d) for d in block.ids], np.int64)
+        id_of = lambda place: numbers[np.searchsorted(block.ends, place, side="right")] if len(numbers) else np.empty(0, np.int64)
+        by, bounds = split_by(digests["high"] % np.uint64(buckets), buckets)
+        digests, places = digests[by], places[by]
+        for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if y > x:
+                rows.append((b, name, b"W" + pack(np.ascontiguousarray(digests["high"][x:y]), np.ascontiguousarray(digests["low"][x:y]), id_of(places[x:y]), places[x:y])))
+        ids = id_of(starts[at])
         by, bounds = split_by(bucket[at], buckets)
         at, ids = at[by], ids[by]
         for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -327,12 +348,23 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return cells("cell", rows)
 
     def transformed(key, table):
-        rows, parts = [], []
+        rows, parts, windows = [], [], []
         for b, c in zip(table.column("block").to_pylist(), table.column("cell").to_pylist(), strict=True):
             if c[:1] == b"S":
                 rows.append((0, b, c[1:]))
+            elif c[:1] == b"W":
+                windows.append((b, *unpack(c[1:], "u8", "u8", "i8", "u4")))
             else:
                 parts.append((b, *unpacked_segments(c[1:], length)))
+        if windows:
+            block = np.repeat(np.array([w[0] for w in windows]), [len(w[1]) for w in windows])
+            high, low, ids, starts = (np.concatenate([w[k] for w in windows]) for k in (1, 2, 3, 4))
+            order = np.lexsort((starts, block, ids, low, high))
+            again = order[1:][(high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])]
+            of, again = block[again], starts[again]
+            for k in np.unique(of).tolist():
+                start = again[of == k]
+                rows.append((0, k, pack(start, start + np.uint32(length))))
         if parts:
             block = np.repeat(np.array([p[0] for p in parts]), [len(p[1]) for p in parts])
             low, ids, starts, counts = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
@@ -401,6 +433,24 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return text.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(removed, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def hot_windows(data: bytes, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's segments in order of place: the places of windows that an earlier one equals; and the digests and the places
+    of the first of each distinct window."""
+    n = int(counts.sum(dtype=np.int64))
+    shift = np.repeat(starts.astype(np.int64) - np.concatenate(([0], np.cumsum(counts, dtype=np.int64)[:-1])) if n else starts, counts)
+    places = (np.arange(n) + shift).astype(np.uint32)
+    digests = np.empty(n, [("high", "<u8"), ("low", "<u8")])
+    for x in range(0, n, SLICE):
+        some = places[x : x + SLICE].tolist()
+        digests[x : x + len(some)] = np.frombuffer(b"".join(blake2b(data[s : s + length], digest_size=16).digest() for s in some), digests.dtype)
+    order = np.lexsort((places, digests["low"], digests["high"]))
+    ordered = digests[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = order[new]
+    return places[order[~new]], digests[first], places[first]
+
+
 def packed_segments(low, ids, starts, counts, body: bytes) -> bytes:
     import zstandard
 

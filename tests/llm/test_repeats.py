@@ -73,3 +73,21 @@ def test_slices_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(repeats, "TEXT", 3000)
     assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert run(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_one_phrase_in_many_contexts(spark, monkeypatch):
+    """An anchor with many distinct segments: no transformed text is longer than the bound, and nothing is lost."""
+    rng = random.Random(3)
+    phrase, passage = "the seventy bytes of one phrase that all of the documents here share, x", "a passage of more than a hundred bytes, which stands in half of them; " * 2
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, make(60) + phrase + make(rng.choice([3, 60])) + (passage if i % 2 else "") + make(20)) for i in range(300)]
+    rows += [(1000, rows[7][1]), (None, rows[9][1]), (1001, phrase + make(5) + phrase + make(40) + phrase)]
+    bound, whole = 4000, repeats.repeated_windows
+
+    def guarded(segments, counts, length):
+        assert sum(len(s) + 1 for s in segments) <= bound
+        return whole(segments, counts, length)
+
+    monkeypatch.setattr(repeats, "TEXT", bound)
+    monkeypatch.setattr(repeats, "repeated_windows", guarded)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
