@@ -17,7 +17,8 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (u, v): the least node that is reachable. Loops and repeated edges don't matter.
 
-    Each round is written to the shared folder; rounds end when a round changes nothing.
+    Each round is written to the shared folder; rounds end when a round changes nothing. Raises when `most` rounds don't get there,
+    as components may not be final then.
     """
     now = through_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
@@ -31,4 +32,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not final after {most} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -126,3 +126,10 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (500, 499), (499, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {499: 499, 500: 499}
+
+
+def test_components_end_or_raise(spark):
+    chain = spark.range(1, 60).selectExpr("id AS u", "id - 1 AS v")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(k, 0) for k in range(60)}
+    with pytest.raises(RuntimeError):
+        components.components(chain, most=1)
