@@ -9,11 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule: space, and tab to carriage return.
-WORD_BREAKS = "\t\n\x0b\x0c\r "
-
 #: Groups that one shuffle partition takes when rows are grouped by block.
 BLOCKS_PER_PARTITION = 2
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 1 << 26
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +20,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (as in tests);
+    on a cluster it raises, as a folder of one machine would lose what the others write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if context.master.partition("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -44,24 +46,33 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long rows: a batch of Spark's default 10,000 of them would fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def small(batches, rows: int = 500):
+    """Texts are long rows: slices of few of them, so that what a worker makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, blocks: int, as_binary: bool = True) -> DataFrame:
-    """(block, doc_id, body): block follows from doc_id, so every pass over the same documents makes the same blocks."""
+def block_count(docs: DataFrame, column: str, size: int = BLOCK_BYTES) -> int:
+    """Blocks of about `size` bytes of a column of texts or bytes, and at least two for each shuffle partition: a worker holds one
+    block at a time, so blocks become more with the input, not larger."""
+    kind = docs.schema[column].dataType.typeName()
+    n = docs.agg(F.sum(F.octet_length(F.col(column) if kind == "binary" else F.col(column).cast("string")))).first()[0] or 0
+    return max(partitions(docs.sparkSession) * BLOCKS_PER_PARTITION, -(-n // size))
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """(block, doc_id, body): block follows from doc_id, or from the text where that is null, so every pass over the same documents
+    makes the same blocks. Rows of one doc_id share a block."""
     text = F.col(text_col).cast("string")
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.coalesce(F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"))), F.xxhash64(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("doc_id"),
-        (F.encode(text, "UTF-8") if as_binary else text).alias("body"),
+        F.encode(text, "UTF-8").alias("body"),
     )
 
 
@@ -91,14 +102,6 @@ def unpack(cell: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(cells, *dtypes: str) -> list[np.ndarray]:
-    """The same columns of many cells, one after the other."""
-    parts = [unpack(c, *dtypes) for c in cells]
-    if not parts:
-        return [np.empty(0, d) for d in dtypes]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-
 def split_by(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts rows by key (stable), and the n + 1 bounds of the keys in it."""
     order = np.argsort(keys, kind="stable")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLOCKS_PER_PARTITION, blocked, pack, partitions, small_batches, split_by, through_table, unpack
+from barloom.llm.common import block_count, blocked, pack, small, split_by, through_table, unpack
 from barloom.llm.components import components
 from barloom.llm.repeats import Block
 
@@ -33,8 +33,8 @@ WORDS, PERCENT = 5, 80
 NODE, LEAF, FANOUT, BITS = 1024, 16, 8, 1024
 #: Places where the members of one group meet the facts about it.
 SALTS = 64
-#: Bytes of text hashed at a time.
-SLICE = 1 << 20
+#: Bytes of text hashed at a time, and bytes of sets that a comparing group gets, about, where each is dealt once.
+SLICE, GROUP_BYTES = 1 << 20, 1 << 24
 
 _RANDOM = np.random.default_rng(23).integers(1, 1 << 63, 300, dtype=np.uint64)
 _BASE = int(_RANDOM[256]) | 1
@@ -246,8 +246,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, per
 def _documents(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, first, grams, prefix): steps 1 and 2. first: the least doc_id of the block with an equal set;
     grams and prefix only where the document can have a partner elsewhere."""
-    buckets = partitions(docs.sparkSession)
-    blocks = buckets * BLOCKS_PER_PARTITION
+    buckets = blocks = block_count(docs, text_col)
     text = blocked(docs, id_col, text_col, blocks)
 
     def firsts(block: Block):
@@ -326,10 +325,10 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
 def _candidate_edges(survivors: DataFrame) -> DataFrame:
     """(u, v): a document and the least one that shares a prefix gram with it."""
-    buckets = partitions(survivors.sparkSession)
+    buckets = block_count(survivors, "prefix")
 
     def spread(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, prefixes = batch.column(0).to_pylist(), [np.frombuffer(p, "<u8") for p in batch.column(1).to_pylist()]
             grams = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
             owner = np.repeat(np.array(ids, np.int64), [len(p) for p in prefixes])
@@ -429,7 +428,7 @@ def _other_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _linked(dealt: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
     """(u, v): exact links that span the classes of each pair of nodes."""
-    tasks = partitions(survivors.sparkSession) * BLOCKS_PER_PARTITION
+    tasks = block_count(survivors, "grams", GROUP_BYTES)
     rows = dealt.join(survivors.select("doc_id", "grams"), "doc_id").withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)).cast("int"))
 
     def joined(key, table):
@@ -465,7 +464,6 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts and texts without words have no grams and stand alone. Rows with a null id stand alone with a null component. Rows
     with the same doc_id are one node: links of any of them count for all. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     table = through_table(_documents(docs, id_col, text_col, words, percent), "gram-sets")
     survivors = table.where("grams IS NOT NULL").select("doc_id", "n_shingles", "grams", "prefix")
     groups = components(_candidate_edges(survivors))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLOCKS_PER_PARTITION, blocked, pack, partitions, split_by, unpack
+from barloom.llm.common import block_count, blocked, pack, split_by, unpack
 
 LENGTH = 100
 GRAM = 50
@@ -266,12 +266,11 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, kept, n_bytes, n_removed, n_spans): each text's bytes without those that a window of `length` bytes covers which
     also starts earlier: in a smaller doc_id, or in the same text further left.
 
-    Null and short texts lose nothing. Rows with the same doc_id are ordered by their text, and null ids come before all
-    others. kept is binary: a cut can fall within a character. Other columns are not read.
+    Null and short texts lose nothing. Rows with the same doc_id are ordered by their text; null ids come before all others, in an
+    order of their own. kept is binary: a cut can fall within a character. Other columns are not read. Blocks become more with the
+    input; one of 4 GiB or more (rows of one doc_id share a block) raises.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    blocks = buckets * BLOCKS_PER_PARTITION
+    buckets = blocks = block_count(docs, text_col)
     text = blocked(docs, id_col, text_col, blocks)
 
     def cells(name: str, rows: list[tuple]) -> pa.Table:
@@ -280,6 +279,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def listed(key, table):
         block = Block(table)
+        if len(block.data) >> 32:
+            raise ValueError(f"a block of {len(block.data)} bytes: places in it have 32 bits")
         hashes, starts, counts = anchors(block.data, block.ends, length, gram)
         order, bounds = split_by((hashes >> np.uint64(32)) % np.uint64(buckets), buckets)
         low = hashes.astype(np.uint32)[order]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import scratch, small_batches
+from barloom.llm.common import scratch, small
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -104,7 +104,7 @@ def write_archives(rows: DataFrame, path: str) -> None:
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in small(batches):
             for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 held.append(r)
                 size += len(r[2])
@@ -114,7 +114,6 @@ def write_archives(rows: DataFrame, path: str) -> None:
         if held:
             yield archive(held)
 
-    small_batches(rows.sparkSession)
     frames = rows.mapInArrow(run, "frames binary")  # payloads stay where the join of revisits() put them
     writer = frames.select(F.col("frames").cast("string").alias("value")).write
     writer.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).option("compression", "none").text(path)

@@ -58,7 +58,7 @@ def test_both_suffix_orders_agree():
 def test_documents_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     long = "é🙂 lorem " * 30
-    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "a" * 5000), (10**6 + 3, "a" * 99), (10**6 + 4, "a" * 100), (None, long), (None, long + "b"), (10**6 + 5, "x" + long), (10**6 + 6, long), (10**6 + 6, long), (10**6 + 7, ("ab" * 50 + "c") * 40)]
+    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "a" * 5000), (10**6 + 3, "a" * 99), (10**6 + 4, "a" * 100), (None, long), (None, long), (None, "null " * 40), (10**6 + 5, "x" + long), (10**6 + 6, long), (10**6 + 6, long), (10**6 + 7, ("ab" * 50 + "c") * 40)]
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, block int, cell string")
     assert run(docs) == brute(rows)
 
