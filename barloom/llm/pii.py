@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that scores whole spans.
 
-The field segments the tokens around digits and at-signs into entities of at most MAX_TOKENS tokens and single other
-tokens. A segment's score is a weighted sum of features of the whole span (shape, digits, separators, check digit, the words
+The field segments the tokens around digits and at-signs into entities of at most MAX_TOKENS tokens (and LONGEST characters, on
+one line) and single other tokens. What holds neither a digit nor an at-sign, written as such or in brackets, is no entity. A segment's score is a weighted sum of features of the whole span (shape, digits, separators, check digit, the words
 before it) for its type; dynamic programming over segment ends finds the best segmentation, and its log-sum form gives the
 likelihood gradient that the weights are trained with, on generated sentences with known segments.
 """
@@ -19,16 +19,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm import spans as S
-from barloom.llm.common import small_batches
+from barloom.llm.common import small
 
-MAX_TOKENS = 5
-#: Tokens on each side of a trigger that are segmented with it.
-CONTEXT = 4
+#: Bounds of an entity: "+33 6 12 34 56 78" and "ann dot lee (at) mail dot org" have up to seven tokens; an address has at most 320
+#: characters (64 before the at-sign, 255 after it).
+MAX_TOKENS, LONGEST = 7, 320
+#: Characters on each side of a trigger that are segmented with it, up to the next white space.
+CONTEXT = 60
 #: A span counts only if it beats reading its tokens as ordinary words by this log-odds.
 MARGIN = 1.0
 
 _TOKEN = re.compile(r"[^\s,;:!?\"<>|]+")
-_TRIGGER = re.compile(r"[0-9@]|(?<=[(\[])at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|(?<=[(\[{])at[)\]}]")
+_SPACE = re.compile(r"\s")
+_DIALLED = re.compile(r"[+(]*[0-9][0-9 ()/.-]*[0-9]")
 
 #: Fixed words that point at a kind.
 CUES = {
@@ -37,7 +41,8 @@ CUES = {
     "card": frozenset("card visa mastercard credit payment cc".split()),
     "phone": frozenset("phone call tel telephone mobile fax cell dial".split()),
 }
-_OBFUSCATED = re.compile(r"[\w.%+-]+\s*(?:\(at\)|\[at\])\s*[\w-]+(?:\s*(?:\.|\(dot\)|\[dot\])\s*[\w-]+)+", re.ASCII)
+_OBFUSCATED = re.compile(r"[\w.%+-]+(?: dot [\w%+-]+)*\s*[(\[{]at[)\]}]\s*[\w-]+(?:\s*(?:\.|[(\[{]dot[)\]}]|\bdot\b)\s*[\w-]+)+", re.ASCII)
+_QUAD = re.compile(r"([0-9]{1,3})(?:\.|\[\.\]|\(\.\))([0-9]{1,3})(?:\.|\[\.\]|\(\.\))([0-9]{1,3})(?:\.|\[\.\]|\(\.\))([0-9]{1,3})")
 
 
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, cues: list[str]) -> list[str]:
@@ -46,30 +51,41 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, cues: lis
     body = text[start:end]
     digits = [c for c in body if "0" <= c <= "9"]
     n, letters = len(digits), sum(c.isalpha() for c in body)
-    parts = body.split(".")
     shape = re.sub(r"d+", "d", re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "d", body)))[:12]
     dense = n >= 0.6 * len(body)
+    before = {text[a:b].lower().strip(".()") for a, b in tokens[max(0, i - 2) : i]}
+    pointed = [k for k in cues if before & CUES[k]]
     out = [
         f"digits={n if n < 20 else 20}",
         f"shape={shape}" if len(shape) <= 6 else "shape=long",
         f"letters={min(letters, 3)}",
         f"tokens={j - i}",
         f"dense={dense}",
+        *[f"cue={k}" for k in pointed],
     ]
     if body[0] == "(" and n >= 10:
         out.append("opens")
     if body[0] == "+":
         out.append(f"plus={10 <= n <= 15}")
-    if not letters and 9 <= n <= 15 and re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", body):
-        out.append("grouped")
-    if len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) < 256 for p in parts):
+    if not letters and 9 <= n <= 15 and _DIALLED.fullmatch(body):
+        groups = re.findall(r"[0-9]+", body)
+        lengths = ",".join(str(len(g)) for g in groups)
+        home = body.lstrip("(")[0] == "0"
+        out += [f"dialled={home}", f"groups={lengths}", f"home={home},{min(n, 12)},{len(groups) > 1}", f"asked={'phone' in pointed},{home}"]
+        if re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", body):
+            out.append("grouped")
+    if (quad := _QUAD.fullmatch(body)) and all(int(p) < 256 for p in quad.groups()):
         out.append("quad")
     if not letters and 14 <= n <= 19:
         out.append(f"luhn={S.luhn(''.join(digits))}")
     if _OBFUSCATED.fullmatch(body) or (body.count("@") == 1 and "." in body.partition("@")[2] and body[0] != "@"):
         out.append("mailbox")
-    before = {text[a:b].lower().strip(".()") for a, b in tokens[max(0, i - 2) : i]}
-    out += [f"cue={k}" for k in cues if before & CUES[k]]
+    if any(not ("0" <= text[a] <= "9" or text[a] in "+(") for a, _ in (tokens[i], tokens[j - 1])):
+        out.append("worded")  # a word at an end
+    if j < len(tokens) and not letters and text[tokens[j][0]].isdigit() and text[end : tokens[j][0]] in " -":
+        out.append("goes on")
+    if i and not letters and text[tokens[i - 1][1] - 1].isdigit() and text[tokens[i - 1][1] : start] in " -":
+        out.append("came on")
     return out
 
 
@@ -89,7 +105,7 @@ class SemiMarkov:
         for j in range(1, len(tokens) + 1):
             ends = []
             for size in range(1, min(MAX_TOKENS, j) + 1):
-                if any(hot[j - size : j]) and tokens[j - 1][1] - tokens[j - size][0] <= 120 and "\n" not in text[tokens[j - size][0] : tokens[j - 1][1]]:
+                if any(hot[j - size : j]) and tokens[j - 1][1] - tokens[j - size][0] <= LONGEST and "\n" not in text[tokens[j - size][0] : tokens[j - 1][1]]:
                     ends.append((size, features(text, tokens, j - size, j, cues)))
             out.append(ends)
         return out
@@ -157,18 +173,29 @@ def generated(n: int, seed: int) -> list[tuple[str, list[S.Span]]]:
     def card() -> str:
         body = rng.choice("3456") + number(rng.choice([13, 14, 15, 15, 15, 17]))
         body += next(d for d in "0123456789" if S.luhn(body + d))
-        gap = rng.choice(["", " ", "-"])
+        gap = rng.choice(["", " ", "-", "."])
+        if gap and len(body) == 15 and rng.random() < 0.5:
+            return gap.join((body[:4], body[4:10], body[10:]))
         return gap.join(body[k : k + 4] for k in range(0, len(body), 4)) if gap else body
 
     def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
-        return rng.choice([f"+1 ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
+        a, b, c, pair = number(3), number(3), number(4), lambda: number(2)
+        return rng.choice([
+            f"+1 ({a}) {b}-{c}", f"+{rng.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}",
+            f"0{c} {a}{b}", f"0{pair()} {c} {number(4)}", f"0{a} {b} {c}", f"(0{a}) {b} {c}", f"0{a}/{b}{c}", f"0{a}-{b}{c}",
+            f"0{number(1)} {pair()} {pair()} {pair()} {pair()}", f"+{rng.randint(30, 59)} {number(1)} {pair()} {pair()} {pair()} {pair()}",
+            f"00{rng.randint(30, 59)} {pair()} {c} {number(4)}", f"00{rng.randint(30, 59)} {a} {b}{c}", f"0{c}{a}{b}",
+        ])
 
     def email() -> str:
         host = word() + rng.choice(["", str(rng.randint(1, 9))])
-        return rng.choice([f"{word()}.{number(2)}@{host}.example.com", f"{word()}@{host}.org", f"{word()} (at) {host}.com", f"{word()}[at]{host}[dot]net"])
+        return rng.choice([
+            f"{word()}.{number(2)}@{host}.example.com", f"{word()}@{host}.org", f"{word()}_{word()}@{host}.co.net", f"{word()} (at) {host}.com", f"{word()}[at]{host}[dot]net",
+            f"{word()}.{word()} {{at}} {host}.org", f"{word()} dot {word()} (at) {host} dot org", f"{word()} [at] {host} dot com", f"{word()}(at){host}(dot)de",
+        ])
 
-    makers = {"card": card, "phone": phone, "email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))}
+    makers = {"card": card, "phone": phone, "email": email, "ip": lambda: rng.choice([".", ".", "[.]", "(.)"]).join(str(rng.randint(0, 255)) for _ in range(4))}
+    digits = lambda *sizes: " ".join(number(k) for k in sizes)
     plain = [
         lambda: str(rng.randint(0, 9999)),
         lambda: f"{rng.randint(1, 999)}.{rng.randint(0, 99):02d}",
@@ -176,12 +203,28 @@ def generated(n: int, seed: int) -> list[tuple[str, list[S.Span]]]:
         lambda: f"{rng.randint(0, 23)}.{rng.randint(0, 59):02d}",
         lambda: f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
         lambda: f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{rng.randint(256, 999)}.{rng.randint(0, 999)}",
-        lambda: number(rng.randint(5, 24)),
+        lambda: number(rng.choice([5, 6, 7, 8, 12, 16, 20, 22, 24])),
         lambda: f"{number(4)} {number(4)} {number(4)} {number(4)}",
         lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 16, 32, 40]))),
         lambda: f"{word()}{rng.randint(0, 99)}",
         lambda: f"{number(3)} {number(3)} {number(2)}",
         lambda: f"@{word()}",
+        lambda: f"978-{number(1)}-{number(2)}-{number(6)}-{number(1)}",
+        lambda: f"978{number(10)}",
+        lambda: f"{rng.randint(1, 12):02d} {rng.randint(1, 28):02d} {rng.randint(1900, 2030)}",
+        lambda: f"{rng.randint(1900, 2030)} {rng.randint(1, 12):02d} {rng.randint(1, 28):02d}",
+        lambda: digits(2, 2, 2, 2),
+        lambda: digits(1, 1, 2, 3, 1),
+        lambda: digits(4, 4),
+        lambda: digits(5, 5),
+        lambda: digits(6, 6),
+        lambda: f"0.{number(rng.randint(6, 12))}",
+        lambda: f"{number(4)}-{number(4)}-{number(4)}",
+        lambda: f"{rng.choice(['no', 'order', 'id', 'item', 'ref', 'version'])} {number(rng.randint(4, 12))}",
+        lambda: f"{rng.choice(['no', 'order', 'id', 'item', 'ref'])} {rng.choice('123456789')}{number(rng.randint(8, 11))}",
+        lambda: f"{rng.randint(1, 99)} (at) {word()}",
+        lambda: f"{word()} (at) {word()} {word()}",
+        lambda: f"{rng.randint(1, 999)},{number(3)},{number(3)}",
     ]
     out = []
     for _ in range(n):
@@ -214,7 +257,7 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
 
 
 @lru_cache(maxsize=1)
-def trained(sentences: int = 600, rounds: int = 4) -> SemiMarkov:
+def trained(sentences: int = 900, rounds: int = 3) -> SemiMarkov:
     """The field, trained here on generated sentences (bounded by the parameters); the same on every call."""
     model = SemiMarkov()
     data = generated(sentences, seed=5)
@@ -228,22 +271,26 @@ def trained(sentences: int = 600, rounds: int = 4) -> SemiMarkov:
 
 
 def added(text: str, model: SemiMarkov, base: list[S.Span]) -> list[S.Span]:
-    """Spans that the field finds beside the base spans, in the whole text."""
+    """Spans that the field finds beside the base spans, in the whole text: triggers whose contexts touch are segmented together,
+    in whole tokens, and each stretch of text once."""
     hits = [m.start() for m in _TRIGGER.finditer(text)]
-    if not hits:
-        return []
-    out, k, held = [], 0, sorted((a, b) for a, b, _ in base)
+    out, k, done = [], 0, 0
     while k < len(hits):
         start = end = hits[k]
-        while k < len(hits) and hits[k] - end <= 60:
+        while k < len(hits) and hits[k] - end <= 2 * CONTEXT:
             end = hits[k]
             k += 1
-        a, b = max(0, start - 60), min(len(text), end + 60)
-        while a > 0 and not text[a - 1].isspace() and start - a < 200:
+        a, b = max(done, start - CONTEXT), end + CONTEXT
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - end < 200:
-            b += 1
+        found = _SPACE.search(text, b)
+        done = b = found.start() if found else len(text)
+        while k < len(hits) and hits[k] < b:
+            k += 1
         out += model.best(text, tokens_of(text, a, b))
+    if not out:
+        return out
+    held = sorted((a, b) for a, b, _ in base)
     return [s for s in out if not any(x < s[1] and s[0] < y for x, y in held)]
 
 
@@ -259,7 +306,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches):
         model = SemiMarkov()
         model.weights = weights
-        for batch in batches:
+        for batch in small(batches):
             base, every, clean = [], [], []
             for cell in batch.column(1):
                 text = cell.as_py()
@@ -273,7 +320,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "base", "spans", "redacted", *keep],
             )
 
-    small_batches(docs.sparkSession)
     kept = docs.select(*keep)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     found = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("base", "spans", "redacted")])
