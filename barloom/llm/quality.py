@@ -34,6 +34,8 @@ FEATURES = {
     "words_per_line": "n_words / greatest(n_lines, 1)",
 }
 BINS = 24
+#: Counts of the base rule, and those that only conditions are about.
+COUNTS, MORE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), ("n_marks", "n_distinct_words", "n_lines")
 
 
 def _occurrences(text: Column, characters: str) -> Column:
@@ -91,7 +93,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).select(
         "doc_id",
         *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
-        *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_distinct_words", "n_lines"],
+        *COUNTS,
+        *MORE_COUNTS,
     )
 
 
@@ -237,6 +240,12 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics of every document with base_failed and kept, by a list learned from the labels."""
+    """(doc_id, the columns in keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the counts that
+    rules may also use): every document, judged by a list learned from the labels.
+
+    Null and empty texts have no words and fail the base rule. Repeated rows and null ids give a row each. Without labels, or with
+    labels of one class, the list is empty and the base rule alone decides. Columns of docs beside those in keep are not read.
+    """
     stats = through_table(labelled(docs, labels), "quality-labelled")
-    return judge(statistics(docs, keep=keep), learn(stats))
+    judged = judge(statistics(docs, keep=keep), learn(stats))
+    return judged.select("doc_id", *keep, *COUNTS, "base_failed", "kept", *MORE_COUNTS)
