@@ -84,14 +84,11 @@ def root_weight(rows: int) -> float:
     return float(rows) ** 0.5
 
 
-def root_weights(docs: DataFrame, source_col: str = "source") -> dict[str | None, float]:
-    """The default target of each source. One row for each source comes to the driver; mix() doesn't need it."""
-    return {r[0]: root_weight(r[1]) for r in docs.groupBy(F.col(source_col).cast("string")).agg(F.count(F.lit(1))).collect()}
-
-
 def scheduled(totals: DataFrame, weights: dict[str | None, float] | None, period: int | None, block_rows: int) -> DataFrame:
-    """(s, j, slot, release, due) of each block of the weighted sources, from totals (source, rows). One task: it holds a few
-    numbers for each source, and takes time for each slot up to the last block."""
+    """(mix_s, mix_j, mix_slot, mix_release, mix_deadline) of each block of the weighted sources, from totals (source, rows). One task: it
+    holds a few numbers for each source, and takes time for each slot up to the last block."""
+
+    names = ["mix_s", "mix_j", "mix_slot", "mix_release", "mix_deadline"]
 
     def run(batches):
         rows = {s: n for batch in batches for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
@@ -100,36 +97,38 @@ def scheduled(totals: DataFrame, weights: dict[str | None, float] | None, period
         plan = schedule(whole_weights(targets, period), blocks)
         while part := list(itertools.islice(plan, BATCH)):
             columns = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["s", "j", "slot", "release", "due"])
+            yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-    return totals.repartition(1).mapInArrow(run, "s string, j long, slot long, release long, due long")
+    return totals.repartition(1).mapInArrow(run, "mix_s string, mix_j long, mix_slot long, mix_release long, mix_deadline long")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", period: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs with mix_block, mix_release, mix_deadline, mix_slot and mix_place: order by mix_slot, mix_place to read the mix.
 
-    Every row stays. While all sources last, any start of the order holds each source to its weight within one block; when one
-    is used up, its slots stay empty. Sources without a weight (or with none above 0) come after all others, in slot null. A null
-    source is a source. Rows with equal ids are told apart by a hash of all their columns; rows that are equal in all are
-    interchangeable. Only with a period are weights rounded, to whole slots of it.
+    Every row stays, and every column; names that start with mix_ raise. While all sources last, any start of the order holds each
+    source to its weight within one block; when one is used up, its slots stay empty. Sources without a weight (or with none above
+    0) come after all others, in slot null. A null source is a source. Rows with equal ids are told apart by a hash of all their
+    columns; rows that are equal in all are interchangeable. Only with a period are weights rounded, to whole slots of it.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if not c.startswith("mix_")]
+    names = docs.columns
+    if clash := [c for c in names if c.lower().startswith("mix_")]:
+        raise ValueError(f"columns named like those of the mix: {clash}")
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    spread = F.xxhash64(F.col(id_col))
-    salts = partitions(spark) * BLOCKS_PER_PARTITION
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    spread = F.when(F.col(f"`{id_col}`").isNull(), hashed).otherwise(F.xxhash64(F.col(f"`{id_col}`")))
+    salts = partitions(spark) * BLOCKS_PER_PARTITION
     salted = rows.withColumns({"mix_source": F.col(source_col).cast("string"), "mix_salt": F.pmod(spread, F.lit(salts)).cast("int")})
     # rows of a source in smaller salts: one row for each source and salt
-    counted = salted.groupBy("mix_source", "mix_salt").agg(F.count(F.lit(1)).alias("n"))
-    before = counted.selectExpr("mix_source", "mix_salt", "n", "sum(n) OVER (PARTITION BY mix_source ORDER BY mix_salt) - n AS mix_before")
-    plan = scheduled(counted.groupBy("mix_source").agg(F.sum("n").alias("n")), weights, period, block_rows)
+    counted = salted.groupBy("mix_source", "mix_salt").agg(F.count(F.lit(1)).alias("mix_n"))
+    before = counted.selectExpr("mix_source", "mix_salt", "mix_n", "sum(mix_n) OVER (PARTITION BY mix_source ORDER BY mix_salt) - mix_n AS mix_before")
+    plan = scheduled(counted.groupBy("mix_source").agg(F.sum("mix_n").alias("mix_n")), weights, period, block_rows)
     # the blocks that a salt has rows of, with their slots
-    spans = before.selectExpr("mix_source", "mix_salt", "mix_before", f"explode(sequence(mix_before div {block_rows}, (mix_before + n - 1) div {block_rows})) AS mix_block")
-    on = F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("j"))
-    heads = spans.join(plan, on, "left").select("mix_source", "mix_salt", "mix_before", "mix_block", F.col("slot").alias("mix_slot"), F.col("release").alias("mix_release"), F.col("due").alias("mix_deadline"), F.lit(True).alias("mix_head"))
+    spans = before.selectExpr("mix_source", "mix_salt", "mix_before", f"explode(sequence(mix_before div {block_rows}, (mix_before + mix_n - 1) div {block_rows})) AS mix_block")
+    on = F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_block") == F.col("mix_j"))
+    heads = spans.join(plan, on, "left").select("mix_source", "mix_salt", "mix_before", "mix_block", "mix_slot", "mix_release", "mix_deadline", F.lit(True).alias("mix_head"))
     both = salted.withColumns({"mix_spread": spread, "mix_hash": hashed, "mix_head": F.lit(False)}).unionByName(heads, allowMissingColumns=True)
-    within = Window.partitionBy("mix_source", "mix_salt").orderBy(F.desc("mix_head"), "mix_spread", id_col, "mix_hash").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("mix_source", "mix_salt").orderBy(F.desc("mix_head"), "mix_spread", F.col(f"`{id_col}`"), "mix_hash").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.max("mix_before").over(within) + F.count(F.when(~F.col("mix_head"), 1)).over(within) - 1
     ranked = both.withColumn("mix_rank", rank).withColumn("mix_block", F.when(F.col("mix_head"), F.col("mix_block")).otherwise(F.floor(F.col("mix_rank") / block_rows)))
     block = Window.partitionBy("mix_source", "mix_salt", "mix_block")  # dealt as before: its rows are together

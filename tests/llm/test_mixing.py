@@ -23,7 +23,7 @@ def test_schedules_keep_every_window(seed):
 
 
 def rows_of(spark, rows, **how):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
     return docs, mixing.mix(docs, **how).collect()
 
 
@@ -54,7 +54,7 @@ def test_mix_holds_targets_and_all_rows(spark):
 def test_against_a_plain_simulation(spark, sf):
     """Every row's slot from a slot-by-slot run over whole sources, without periods."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    slots = mixing.whole_weights(mixing.root_weights(docs))
+    slots = mixing.whole_weights({r[0]: mixing.root_weight(r[1]) for r in docs.groupBy("source").count().collect()})
     period = sum(slots.values())
     got = mixing.contract(docs).collect()
     assert len(got) == docs.count()
@@ -112,3 +112,19 @@ def test_more_sources_than_a_thousand(spark):
     hot = sorted((r.mix_slot, r.mix_block) for r in done if r.source == "hot")
     assert len(done) == len(rows) and [b for _, b in hot] == list(range(1500))
     assert all(b // w <= slot < -(-(b + 1) // w) for slot, b in hot)
+
+
+def test_names_that_clash(spark):
+    names = ["s", "j", "n", "slot", "rate", "release", "due", "t", "a b", "x.y"]
+    docs = spark.createDataFrame([(i, "z", f"s{i % 3}", *range(10)) for i in range(30)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mix(docs, block_rows=2)
+    assert got.columns[:13] == docs.columns and {tuple(r[3:13]) for r in got.collect()} == {tuple(range(10))} and got.count() == 30
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("Mix_Slot", docs.s))
+
+
+def test_null_ids_are_spread(spark):
+    rows = [(None, f"t{i}", "hot", 0) for i in range(400)]
+    got = rows_of(spark, rows, block_rows=4)[1]
+    assert sorted(r.text for r in got) == sorted(r[1] for r in rows)
+    assert sorted((r.mix_slot, r.mix_place) for r in got) == [(k // 4, k % 4) for k in range(400)]
