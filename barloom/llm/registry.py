@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from barloom.llm import bpe, jaccard, licenses, mixing, pii, quality, repeats, search, secrets, warc
 from barloom.llm.common import read_table
 
-TOKENIZERS = os.environ.get("BARLOOM_TOKENIZERS", "/opt/tokenizers")
-
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    """The file of a public vocabulary: below BARLOOM_TOKENIZERS where that is set, else where the installed package has it."""
+    folder = os.environ.get("BARLOOM_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
