@@ -47,8 +47,10 @@ def test_stages_against_brute_force(spark, sf):
 def test_empty_and_odd_documents(spark, sf, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     fine = " ".join(f"word{i}" for i in range(40))
+    other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("other", "third"))
     odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, fine, "en", "a", 1), (3, fine, "en", "a", 1), (4, fine, "en", None, 1), (None, fine + " x", "en", "b", 1)]
-    for rows, want in ((odd, [3, None]), ([], [])):
+    odd += [(3, other, "en", "a", 1), (None, third, "en", "b", 1), (None, third, None, None, None)]  # one id or none, and nothing in common
+    for rows, want in ((odd, [3, 3, None]), ([], [])):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
