@@ -12,15 +12,16 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import small_batches
+from barloom.llm.common import small
 
-#: Words that a worker keeps before it starts anew, and ids that it hands on at once.
-CACHE_WORDS, BATCH_IDS = 1_000_000, 200_000
+#: Words and chunks that a worker keeps before it starts anew, the longest of them, and ids that it hands on at once.
+CACHE_WORDS, CACHE_LENGTH, BATCH_IDS = 1_000_000, 64, 200_000
 
 #: Bits of an id, and of a place in a word.
 WIDTH, PLACE = 17, 40
@@ -46,6 +47,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) >> WIDTH:
+            raise ValueError(f"ids of more than {WIDTH} bits: {path}")
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"] or ""
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
@@ -96,19 +99,25 @@ class WordBpe:
                     push(heap, e)
         return [x for x in ids if x >= 0]
 
-    def known(self, word: str) -> tuple[int, ...]:
+    def keep(self, text: str, ids: list[int]) -> tuple[int, ...]:
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
         shared = self.numbers
-        self.words[word] = found = tuple([shared[x] for x in self.word(word)])
+        found = tuple([shared[x] for x in ids])
+        if len(text) <= CACHE_LENGTH:
+            self.words[text] = found
         return found
 
-    def chunk(self, chunk: str, out: list[int]) -> None:
+    def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of text without white space, word by word."""
-        words = self.words
-        for word in [chunk] if chunk.isalpha() else WORDS.findall(chunk):
-            found = words.get(word)
-            out.extend(self.known(word) if found is None else found)
+        words = [chunk] if chunk.isalpha() else WORDS.findall(chunk)
+        if len(words) == 1:
+            return self.keep(chunk, self.word(chunk))
+        out: list[int] = []
+        for word in words:
+            found = self.words.get(word)
+            out.extend(self.keep(word, self.word(word)) if found is None else found)
+        return self.keep(chunk, out)
 
     def plain(self, text: str, out: list[int]) -> None:
         if not text.isascii():
@@ -118,9 +127,8 @@ class WordBpe:
         for c in SPACES.split(text) if SEPARATORS.search(text) else text.split():
             found = words.get(c)
             if found is None:
-                chunk(c, out)
-            else:
-                out.extend(found)
+                found = chunk(c)
+            out += found
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -136,10 +144,12 @@ class WordBpe:
 
 
 @lru_cache(maxsize=4)
-def strings_of(path: str) -> dict[int, str]:
+def strings_of(path: str) -> np.ndarray:
+    """Strings by id; None where there is no such id."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    return {i: x for x, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    found = {i: x for x, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return np.array([found.get(i) for i in range(max(found) + 1)], object)
 
 
 @lru_cache(maxsize=4)
@@ -148,14 +158,13 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def encoded_batches(batches, vocab_path: str):
     """Batches of (doc_id, ids), of BATCH_IDS ids or one text at least."""
     bpe = tokenizer(vocab_path)
-    for batch in batches:
+    for batch in small(batches):
         at = 0
         while at < batch.num_rows:
             ids, offsets, start = [], [0], at
@@ -167,9 +176,15 @@ def encoded_batches(batches, vocab_path: str):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), lists], names=["doc_id", "ids"])
 
 
-def decoded_batch(batch: pa.RecordBatch, strings: dict[int, str]) -> pa.RecordBatch:
-    texts = [" ".join([strings[i] for i in ids or () if i in strings]) for ids in batch.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+def decoded_batch(batch: pa.RecordBatch, strings: np.ndarray) -> pa.RecordBatch:
+    lists, texts = batch.column(1), []
+    for cell in lists:
+        ids = cell.values.drop_null().to_numpy() if cell.is_valid else np.empty(0, np.int32)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(strings):
+            ids = ids[(ids >= 0) & (ids < len(strings))]
+        found = strings[ids].tolist()
+        texts.append(" ".join([x for x in found if x is not None] if None in found else found))
+    return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
 
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +203,7 @@ def bpe_decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches):
         strings = strings_of(vocab_path)
-        for batch in batches:
+        for batch in small(batches):
             yield decoded_batch(batch, strings)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
