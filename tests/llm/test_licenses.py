@@ -68,7 +68,7 @@ def test_trees_of_files(spark):
 
 
 def test_documents(spark, sf):
-    files = L.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    files = L.document_paths(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("doc_id")
     rows = [tuple(r) for r in files.collect()]
     got = run(files)
     same(got, brute(rows))
@@ -87,12 +87,31 @@ def test_wrapped_and_mid_paragraph_notices(spark):
     of = lambda name, start: next(t for n, t in L.TEMPLATES if n == name and start in t)
     mit = of("MIT", "Permission") + ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
     gpl = "This program is free software: " + of("GPL-3.0", "redistribute") + ", or (at your option) any later version."
-    bsd = of("BSD-3-Clause", "Redistribution") + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    bsd = of("BSD-2-Clause", "Redistribution") + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = " 3. " + of("BSD-3-Clause", "Neither") + "."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS'
+    head = "Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble"
     files = {
         "m/LICENSE": ("Copyright (c) 2020 Someone\n\n" + wrapped(mit, ""), "MIT"),
         "m/x.py": ("import os", None),
         "g.py": (wrapped(gpl, "# ") + "\n\nimport os\n", "GPL-3.0"),
-        "b.c": ("/*\n" + wrapped(bsd, " * ", 50) + "\n */\nint x;\n", "BSD-3-Clause"),
+        "b2.c": ("/*\n" + wrapped(bsd, " * ", 50) + "\n */\nint x;\n", "BSD-2-Clause"),
+        "b3.c": ("/*\n" + wrapped(bsd + third, " * ", 50) + "\n */\nint x;\n", "BSD-3-Clause"),
+        "i.c": (wrapped("Copyright (c) Someone. " + of("ISC", "Permission") + ".", "// ", 60) + "\nint y;\n", "ISC"),
+        "a.go": (wrapped(apache, "// ", 70) + "\n\npackage main\n", "Apache-2.0"),
+        "g2.py": (wrapped(gpl.replace("version 3", "version 2"), "# ", 60), "GPL-2.0"),
+        "lg.py": (wrapped(gpl.replace("General", "Lesser General"), "# ", 60), "LGPL-3.0"),
+        "mp.js": ("/* " + wrapped(of("MPL-2.0", "Source Code") + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", " * ", 55) + " */", "MPL-2.0"),
+        "h1/LICENSE": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n " + wrapped(head, " "), "GPL-3.0"),
+        "h1/x.c": ("int main() { return 0; }", None),
+        "h2/COPYING": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n " + wrapped(head, " "), "GPL-2.0"),
+        "h3/COPYING": ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n " + wrapped(head, " "), "LGPL-3.0"),
+        "h4/COPYING": ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n " + wrapped(head, " "), "AGPL-3.0"),
+        "h5/LICENSE": ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.", "Apache-2.0"),
+        "h6/LICENSE": ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n", "MPL-2.0"),
+        "t1.rs": ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main() {}", "MIT"),
+        "t2.rs": ("// SPDX-License-Identifier: whatever you like\nfn main() {}", None),
+        "t3.rs": ("// SPDX-License-Identifier: LicenseRef-Own\nfn main() {}", "LicenseRef-Own"),
         "p.md": ("The tool reads a table and writes another. Released under the MIT License. Bug reports and patches of every kind are welcome in the tracker, as is help with the manual.", "MIT"),
         "s/COPYING": ("Released\n\nSomeone here 2020\n\nunder the\n\nwell known good old\n\nMIT\n\nsort\n\nLicense", "MIT"),
         "s/plain.txt": ("Released\n\nSomeone here 2020\n\nunder the\n\nwell known good old\n\nMIT\n\nsort\n\nLicense", None),
@@ -100,7 +119,7 @@ def test_wrapped_and_mid_paragraph_notices(spark):
     }
     got = {r[0]: r for r in run(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"))}
     assert {p: r[1] for p, r in got.items()} == {p: name for p, (_, name) in files.items()}
-    assert got["m/x.py"][3:] == ("MIT", "m") and got["s/plain.txt"][3:] == ("MIT", "s")
+    assert got["m/x.py"][3:] == ("MIT", "m") and got["h1/x.c"][3:] == ("GPL-3.0", "h1") and got["s/plain.txt"][3:] == ("MIT", "s")
 
 
 def test_every_run_of_terms():
@@ -128,3 +147,17 @@ def test_every_run_of_terms():
         assert (name is not None) == bool(want) or score >= L.THRESHOLD
         some += len(want) > 0
     assert 50 < some < 200
+
+
+def test_ids_of_the_query_are_those_of_the_rows(spark, tmp_path):
+    rows = [(None, "x", "site-5"), (5, "x", "site-5"), (None, "x", None), (500, "Released under the MIT License.", "site-5"), (500, "Released under the MIT License.", "site-5")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.license, r.effective_license) for r in L.contract(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, None, None), (None, None, None), (5, None, None), (500, "MIT", "MIT"), (500, "MIT", "MIT")], key=str)
+
+
+def test_own_templates(spark):
+    own = (("House", "This table may be read by members of the house."),)
+    files = spark.createDataFrame([("a", "Note: this table may be\nread by members of the house.", 7), ("b", "Released under the MIT License.", 8)], "path string, text string, n int")
+    got = {r.path: (r.license, r.n) for r in L.scan(files, templates=own, keep=("n",)).collect()}
+    assert got == {"a": ("House", 7), "b": (None, 8)}
