@@ -4,11 +4,15 @@ For vectors q and v cut into segments of length L, the squared distance is at le
 (dev q - dev v)^2). With q.v = (|q|^2 + |v|^2 - distance^2) / 2 that bounds the inner product from above. Candidates are
 bounded with few segments, then with more, and what can still enter the k best is multiplied out exactly.
 
-Tasks pack candidates and queries into cells of bounded size; each cell of queries meets each cell of candidates once.
+Tasks pack candidates and queries into cells of bounded size; each cell of queries meets each cell of candidates once. What a task
+has found for a query, in whatever cell, is its bar for the cells that come after: a cell whose outline (the range of its members'
+outlines) can't reach the bar of any query is passed over whole, and in others the bounds prune by the best bar so far.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,12 +39,19 @@ def outline(body: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((mean, spread), 1) * np.sqrt(np.concatenate((length, length)))
 
 
-def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, body: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of each query, by score and then smaller id; its own id left out."""
+def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, body: np.ndarray, k: int, bars: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best candidates of each query, by score and then smaller id; its own id left out.
+
+    bars: per query a score that k others reach already (-inf at first). Candidates below it may be left out, and it is raised
+    to what k candidates reach here."""
+    bars = np.full(len(query_ids), -np.inf) if bars is None else bars
     if len(np.unique(ids)) < len(ids):  # rows of one id would take several of the k places: all are scored, in as many rounds
         order = np.argsort(ids, kind="stable")
         turn = np.arange(len(ids)) - np.searchsorted(ids[order], ids[order])
-        return [x for t in range(int(turn.max()) + 1) for x in top_pairs(query_ids, queries, ids[order[turn == t]], body[order[turn == t]], k)]
+        rounds = [order[turn == t] for t in range(int(turn.max()) + 1)]
+        # only the first round's ids differ from one another: it alone may raise the bars
+        out = top_pairs(query_ids, queries, ids[rounds[0]], body[rounds[0]], k, bars)
+        return out + [x for some in rounds[1:] for x in top_pairs(query_ids, queries, ids[some], body[some], k, bars.copy())]
     n, d = body.shape
     out: list[tuple[int, int, int]] = []
     if not d:
@@ -53,6 +64,8 @@ def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, body:
             out += [(q, i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]]
         return out
     levels = [(outline(queries, s), outline(body, s)) for s in SEGMENTS if s < d]
+    if levels and not may_reach(levels[0][0], levels[0][1], bars):
+        return out
     slack = 1e-9 * np.linalg.norm(queries, axis=1)[:, None] * max(float(np.linalg.norm(body, axis=1).max()), 1.0) + 1e-6
     for a in range(0, len(queries), ROWS):
         rows = np.arange(a, min(a + ROWS, len(queries)))
@@ -63,7 +76,7 @@ def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, body:
         first = np.argpartition(-coarse, m - 1, 1)[:, :m]
         seed = np.einsum("rkd,rd->rk", body[first], queries[rows])
         seed[np.take_along_axis(own, first, 1)] = -np.inf
-        bar = seed.min(1) if m == k else np.full(len(rows), -np.inf)  # k candidates are at least that good
+        bar = np.maximum(seed.min(1), bars[rows]) if m == k else bars[rows]  # k candidates are at least that good
         i, j = np.nonzero(~own & (coarse + slack[rows] >= bar[:, None]))
         for mine, theirs in levels[1:]:
             if len(i) < 0.05 * own.size:
@@ -77,10 +90,19 @@ def top_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, body:
         i, j, score = i[order], j[order], score[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         best = place < k
+        full = place == k - 1
+        bars[rows[i[full]]] = np.maximum(bars[rows[i[full]]], score[full])
         out += zip(query_ids[rows[i[best]]].tolist(), ids[j[best]].tolist(), score[best].astype(np.int64).tolist(), strict=True)
     return out
 
 
+def may_reach(queries: np.ndarray, candidates: np.ndarray, bars: np.ndarray) -> bool:
+    """Whether some query may reach its bar with some candidate, by the range of the candidates' outlines."""
+    low, high = candidates.min(0), candidates.max(0)
+    bound = np.maximum(queries * low, queries * high).sum(1)
+    return bool((bound + 1e-6 * (1 + np.abs(bound)) >= bars).any())
+
+
 def _cells(vectors: DataFrame, size: int, tasks: int) -> DataFrame:
     """Vectors of one dimension by up to `size`; a task is named by the cell's first id."""
 
@@ -127,9 +149,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     down = F.transform(raw, lambda x: F.rint(x * scale) - F.when(F.rint(x * scale) > x * scale, 1.0).otherwise(0.0))
     sound = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(fine, F.lit(False)))
     rows = sound.select(F.col(id_col).cast("long").alias("id"), down.alias("v"), is_query.alias("asks"))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > CANDIDATES:
-        spark.conf.set(key, CANDIDATES)
     candidates = _cells(rows.select("id", "v"), CANDIDATES, tasks)
     queries = _cells(rows.where("asks").select("id", "v"), QUERIES, tasks).select(
         F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("t"), F.col("dim").alias("d"), F.col("ids").alias("query_ids"), F.col("body").alias("queries")
@@ -137,12 +156,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     met = candidates.join(queries, (F.col("task") == F.col("t")) & (F.col("dim") == F.col("d"))).select("dim", "query_ids", "queries", "ids", "body")
 
     def run(batches):
+        bars: dict[tuple[int, bytes], np.ndarray] = {}  # of each cell of queries that this task has met: a number per query
         for batch in batches:
             for r in range(batch.num_rows):
                 d, *cells = (batch.column(c)[r].as_py() for c in range(5))
                 query_ids, ids = np.frombuffer(cells[0], "<i8"), np.frombuffer(cells[2], "<i8")
                 asked, body = np.frombuffer(cells[1], "<f8").reshape(len(query_ids), d), np.frombuffer(cells[3], "<f8").reshape(len(ids), d)
-                out = top_pairs(query_ids, asked, ids, body, k)
+                name = (d, md5(cells[0] + cells[1]).digest())
+                out = top_pairs(query_ids, asked, ids, body, k, bars.setdefault(name, np.full(len(query_ids), -np.inf)))
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 

@@ -53,3 +53,37 @@ def test_bounds_hold_and_prune():
     got = search.top_pairs(ids[:9], body[:9], ids, body, 5)
     want = [(int(q), int(i), int(s)) for q, v in zip(ids[:9], body[:9], strict=True) for s, i in sorted(((-float(v @ b), int(i)) for i, b in zip(ids, body, strict=True) if i != q))[:5] for s in [-s]]
     assert sorted(got) == sorted(want)
+
+
+def test_bars_carry_over_and_skip_cells(monkeypatch):
+    """Cells one after the other with shared bars give the rows of all at once; far cells are never multiplied out."""
+    rng = np.random.default_rng(9)
+    near, far = np.floor(rng.normal(300, 40, (400, 64))), np.floor(rng.normal(-300, 40, (400, 64)))
+    ids = np.arange(800)
+    queries, cells = near[:7], [(ids[:400], near), (ids[400:600], far[:200]), (ids[600:], far[200:])]
+    bars, out, passed = np.full(7, -np.inf), [], []
+    reach = search.may_reach
+    monkeypatch.setattr(search, "may_reach", lambda *a: passed.append(reach(*a)) or passed[-1])
+    for i, body in cells:
+        out += search.top_pairs(ids[:7], queries, i, body, 5, bars)
+    assert passed == [True, False, False]
+    want = search.top_pairs(ids[:7], queries, ids, np.concatenate((near, far)), 5)
+    assert sorted(out) == sorted(want)
+
+
+def test_bars_with_repeated_ids():
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 60, 300)
+    body = rng.integers(-3, 4, (300, 8)).astype(float)
+    bars, out = np.full(5, -np.inf), {}
+    for a in range(0, 300, 50):
+        for q, i, s in search.top_pairs(np.arange(5), body[:5], ids[a : a + 50], body[a : a + 50], 3, bars):
+            out[q, i] = max(s, out.get((q, i), s))
+    for q in range(5):
+        best = {}
+        for i, v in zip(ids.tolist(), body, strict=True):
+            if i != q:
+                best[i] = max(int(v @ body[q]), best.get(i, -(10**9)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]
+        got = sorted(((i, s) for (p, i), s in out.items() if p == q), key=lambda x: (-x[1], x[0]))[:3]
+        assert got == want
