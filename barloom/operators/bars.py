@@ -10,19 +10,23 @@ OPTIONAL = ("quote_volume", "num_trades")
 NUMBERS = ("open", "high", "low", "close", "volume", "quote_volume")
 
 
-def from_events(events: DataFrame, symbol: str, time: str, price: str, tie: str, every: str = "1 hour") -> DataFrame:
-    """Bars of point events: open and close are the first and last price by (time, tie), volume their sum. One shuffle, with
-    partial aggregation before it."""
-    at = F.struct(time, tie)
-    value = F.col(price).cast("double")
-    grouped = events.groupBy(F.col(symbol).alias("symbol"), F.window(F.col(time).cast("timestamp_ntz"), every).alias("bucket")).agg(
+def event_sums(time: str, price: str, tie: str) -> list[Column]:
+    """The aggregates of a bar of point events, of a batch or a stream."""
+    at, value = F.struct(time, tie), F.col(price).cast("double")
+    return [
         F.min_by(value, at).alias("open"),
         F.max(value).alias("high"),
         F.min(value).alias("low"),
         F.max_by(value, at).alias("close"),
         F.sum(value).alias("volume"),
         F.count(F.lit(1)).alias("num_trades"),
-    )
+    ]
+
+
+def from_events(events: DataFrame, symbol: str, time: str, price: str, tie: str, every: str = "1 hour") -> DataFrame:
+    """Bars of point events: open and close are the first and last price by (time, tie), volume their sum. One shuffle, with
+    partial aggregation before it."""
+    grouped = events.groupBy(F.col(symbol).alias("symbol"), F.window(F.col(time).cast("timestamp_ntz"), every).alias("bucket")).agg(*event_sums(time, price, tie))
     return grouped.select("symbol", F.col("bucket.start").alias("timestamp"), "open", "high", "low", "close", "volume", "num_trades")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time, log
+from barloom.operators import chunks
 from barloom.operators.bars import CORE, OPTIONAL
+from barloom.sources.staging import staged
 
 ISSUE = "check_name string, severity string, passed boolean, count long, message string"
 #: Rules on values: what a broken row looks like. Comparisons with null break nothing.
@@ -44,14 +46,6 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], columns, "column", "null_count").orderBy(F.desc("null_count"), "column")
 
 
-def null_issues(df: DataFrame) -> DataFrame:
-    counts = null_counts(df)
-    core = F.coalesce(F.sum(F.when(F.col("column").isin(*CORE), F.col("null_count"))), F.lit(0))
-    a = counts.agg(core.alias("count")).select(F.lit("core_null_values").alias("check_name"), F.lit("ERROR").alias("severity"), (F.col("count") == 0).alias("passed"), "count")
-    b = counts.agg(F.sum("null_count").alias("count")).select(F.lit("total_null_values_counted").alias("check_name"), F.lit("INFO").alias("severity"), F.lit(True).alias("passed"), "count")
-    return a.unionByName(b).withColumn("message", F.concat(F.col("count").cast("string"), F.lit(" null values")))
-
-
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     """All rows whose key occurs more than once (nulls are equal to one another)."""
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("_n > 1").drop("_n")
@@ -65,12 +59,12 @@ def unsorted_symbols(df: DataFrame, order: str = "_ingest_order") -> DataFrame:
 
 def globally_sorted(df: DataFrame, order: str = "_ingest_order") -> DataFrame:
     """One row: whether no row of the whole table, in the order it came in, steps back in time. Partitions by ranges of the
-    order; each range hands on its bounds, so no window spans the table."""
+    order; each range hands on its bounds, so no window spans the table. An empty table is sorted."""
     ranged = df.select(F.col(order).alias("o"), "timestamp").repartitionByRange("o").withColumn("p", F.spark_partition_id())
     inner = ranged.withColumn("b", F.lag("timestamp").over(Window.partitionBy("p").orderBy("o")))
     bounds = inner.groupBy("p").agg(F.count_if(F.col("timestamp") < F.col("b")).alias("bad"), F.min_by("timestamp", "o").alias("first"), F.max_by("timestamp", "o").alias("last"), F.min("o").alias("o"))
     after = bounds.withColumn("prior", F.lag("last").over(Window.orderBy("o")))  # a row per partition
-    return after.agg((F.sum("bad") + F.count_if(F.col("first") < F.col("prior")) == 0).alias("is_sorted"))
+    return after.agg((F.coalesce(F.sum("bad"), F.lit(0)) + F.count_if(F.col("first") < F.col("prior")) == 0).alias("is_sorted"))
 
 
 def irregular_gaps(df: DataFrame, seconds: int) -> DataFrame:
@@ -109,41 +103,87 @@ def extreme_returns(df: DataFrame, limit: float = 0.10) -> DataFrame:
     return df.withColumn("log_return", r).where(F.abs("log_return") > limit)
 
 
-def _count_issue(df: DataFrame, name: str, kind: str, value: Column | None = None) -> DataFrame:
-    total = F.count(F.lit(1)) if value is None else F.coalesce(F.sum(value), F.lit(0))
-    return df.agg(total.cast("long").alias("count")).select(F.lit(name).alias("check_name"), F.lit(kind).alias("severity"), (F.col("count") == 0).alias("passed"), "count", F.concat(F.col("count").cast("string"), F.lit(f" for {name}")).alias("message"))
+def extreme_returns_chunked(df: DataFrame, rows: int, limit: float = 0.10) -> DataFrame:
+    """extreme_returns() for few symbols with very many rows, `rows` rows at a time."""
+    return chunks.in_chunks(df, 1, 0, rows, lambda part: extreme_returns(part, limit))
 
 
-def time_issues(df: DataFrame, seconds: int) -> DataFrame:
-    """Checks of timestamps; where some are null the rest is skipped."""
-    for c in ("timestamp", "symbol"):
-        if c not in df.columns:
-            return _issues(df, [(f"{c}_column_exists", "ERROR", False, 1, f"{c} is missing")])
-    bad = df.agg(F.count_if(F.col("timestamp").isNull())).first()[0]
-    out = _issues(df, [("timestamps_parse_as_utc", "ERROR", None, bad, f"{bad} null timestamps")])
-    if bad:
-        return out
-    out = out.unionByName(_count_issue(duplicates(df.select("symbol", "timestamp"), ["symbol", "timestamp"]), "timestamps_unique_within_symbol", "ERROR"))
-    if "_ingest_order" in df.columns:
-        out = out.unionByName(_count_issue(unsorted_symbols(df), "timestamps_sorted_within_symbol", "ERROR"))
-    else:
-        out = out.unionByName(_issues(df, [("timestamps_sorted_within_symbol", "ERROR", True, 0, "no order of arrival is known")]))
-    out = out.unionByName(_count_issue(irregular_gaps(df, seconds), "expected_interval_consistent", "WARNING", F.col("irregular")))
-    return out.unionByName(_count_issue(missing_bars(df, seconds), "missing_intervals_counted", "WARNING"))
+def irregular_gaps_chunked(df: DataFrame, seconds: int, rows: int) -> DataFrame:
+    """irregular_gaps() for few symbols with very many rows: each distinct time with the one before it, `rows` rows at a time."""
+    step = F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lag("timestamp").over(by_time()).cast("timestamp"))
+    made = chunks.in_chunks(df.select("symbol", "timestamp").distinct(), 1, 0, rows, lambda part: part.withColumn("_s", step))
+    return made.groupBy("symbol").agg(F.count_if(F.col("_s") != seconds * 1_000_000).alias("irregular"))
+
+
+def unsorted_symbols_ranged(df: DataFrame, order: str = "_ingest_order") -> DataFrame:
+    """unsorted_symbols() by ranges of the order of arrival: each hands on the last row of each symbol to the next."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.select("symbol", "timestamp", F.col(order).alias("_o")).repartitionByRange(n, "_o").withColumn("_p", F.spark_partition_id()), "arrival")
+    inner = ranged.withColumn("_b", F.lag("timestamp").over(Window.partitionBy("symbol", "_p").orderBy("_o")))
+    ends = inner.groupBy("symbol", "_p").agg(F.count_if(F.col("timestamp") < F.col("_b")).alias("bad"), F.min_by("timestamp", "_o").alias("first"), F.max_by("timestamp", "_o").alias("last"))
+    after = ends.withColumn("prior", F.lag("last").over(Window.partitionBy("symbol").orderBy("_p")))  # a row per range
+    return after.where((F.col("bad") > 0) | (F.col("first") < F.col("prior"))).select("symbol").distinct()
+
+
+def _time_counts(df: DataFrame, seconds: int, extreme: float) -> dict[str, int]:
+    """One pass by symbol and time: rows of repeated keys, uneven steps, missing bars and extreme returns."""
+    w, each = by_time(), Window.partitionBy("symbol")
+    t = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    step = seconds * 1_000_000
+    close = log(F.col("close").cast("double")) if "close" in df.columns else F.lit(None).cast("double")
+    seen = df.select("symbol", "timestamp", t.alias("_t"), close.alias("_c"))
+    near = seen.withColumns({"_before": F.lag("_t").over(w), "_after": F.lead("_t").over(w), "_first": F.min("_t").over(each), "_move": F.col("_c") - F.lag("_c").over(w)})
+    fresh = F.col("_before").isNull() | (F.col("_t") != F.col("_before"))
+    rows = near.where("_t IS NOT NULL").groupBy("symbol").agg(
+        F.count_if(F.coalesce(F.col("_t") == F.col("_before"), F.lit(False)) | F.coalesce(F.col("_t") == F.col("_after"), F.lit(False))).alias("repeated"),
+        F.count_if(fresh & (F.col("_t") - F.col("_before") != step)).alias("uneven"),
+        F.count_if(fresh & ((F.col("_t") - F.col("_first")) % step == 0)).alias("on_grid"),
+        (F.floor((F.max("_t") - F.min("_t")) / step) + 1).alias("grid"),
+    )
+    moves = near.agg(F.count_if(F.abs("_move") > extreme).alias("extreme"))
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("repeated", "uneven", "on_grid", "grid")])
+    return sums.crossJoin(F.broadcast(moves)).first().asDict()  # one row each
 
 
 def validate(df: DataFrame, seconds: int, extreme: float = 0.10) -> DataFrame:
-    """All issues of a table of bars. Columns that a check needs and that are missing give an issue in its place."""
-    out = schema_issues(df).unionByName(null_issues(df)).unionByName(time_issues(df, seconds))
+    """All issues of a table of bars. Columns that a check needs and that are missing give an issue in its place; where some times are
+    null the other checks of time are skipped.
+
+    The table is written once and read by one aggregate (nulls and rules), one window by time, one by arrival, and one count of
+    equal rows. Each hands one row to the driver.
+    """
+    df = staged(df, "checked")
     plain = [c for c in df.columns if not c.startswith("_")]
-    out = out.unionByName(_count_issue(duplicates(df.select(*plain), plain), "no_duplicate_rows", "ERROR"))
-    if missing := [c for c in ("open", "high", "low", "close", "volume") if c not in df.columns]:
-        return out.unionByName(_issues(df, [("ohlcv_columns_exist", "ERROR", False, len(missing), f"missing: {missing}")]))
-    counts = rule_counts(df).select("check_name", F.lit("ERROR").alias("severity"), (F.col("violations") == 0).alias("passed"), F.col("violations").alias("count"), F.concat(F.col("violations").cast("string"), F.lit(" rows")).alias("message"))
-    out = out.unionByName(counts)
-    if missing := [c for c in ("symbol", "timestamp") if c not in df.columns]:
-        return out.unionByName(_issues(df, [("extreme_return_required_columns_exist", "ERROR", False, len(missing), f"missing: {missing}")]))
-    return out.unionByName(_count_issue(extreme_returns(df, extreme), "extreme_returns_flagged", "WARNING"))
+    prices = [c for c in ("open", "high", "low", "close", "volume") if c not in df.columns]
+    rules = {} if prices else RULES
+    sums = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{k}") for k, c in enumerate(plain)], *[F.count_if(F.expr(r)).alias(k) for k, r in rules.items()]).first()
+    nulls = {c: sums[f"null_{k}"] for k, c in enumerate(plain)}
+    rows = [
+        ("core_null_values", "ERROR", None, sum(n for c, n in nulls.items() if c in CORE)),
+        ("total_null_values_counted", "INFO", True, sum(nulls.values())),
+    ]
+    keyed = not {"symbol", "timestamp"} - set(df.columns)
+    times = _time_counts(df, seconds, extreme) if keyed else {}
+    if not keyed:
+        rows += [(f"{c}_column_exists", "ERROR", False, 1) for c in ("timestamp", "symbol") if c not in df.columns][:1]
+    else:
+        rows.append(("timestamps_parse_as_utc", "ERROR", None, nulls["timestamp"]))
+        if not nulls["timestamp"]:
+            back = unsorted_symbols_ranged(df).count() if "_ingest_order" in df.columns else 0
+            rows += [
+                ("timestamps_unique_within_symbol", "ERROR", None, times["repeated"]),
+                ("timestamps_sorted_within_symbol", "ERROR", None, back),
+                ("expected_interval_consistent", "WARNING", None, times["uneven"]),
+                ("missing_intervals_counted", "WARNING", None, times["grid"] - times["on_grid"]),
+            ]
+    again = df.groupBy(*[f"`{c}`" for c in plain]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    rows.append(("no_duplicate_rows", "ERROR", None, again))
+    if prices:
+        rows.append(("ohlcv_columns_exist", "ERROR", False, len(prices)))
+    else:
+        rows += [(k, "ERROR", None, sums[k]) for k in RULES]
+        rows.append(("extreme_returns_flagged", "WARNING", None, times["extreme"]) if keyed else ("extreme_return_required_columns_exist", "ERROR", False, 1))
+    return schema_issues(df).unionByName(_issues(df, [(*r, f"{r[3]} for {r[0]}") for r in rows]))
 
 
 def summarize(issues: DataFrame) -> DataFrame:

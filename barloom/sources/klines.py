@@ -6,18 +6,25 @@ There is no network here: archives are read from where they are staged, and page
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime, timedelta
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clean, interval_seconds
-from barloom.operators.bars import keep_first
+from barloom.operators.bars import CORE, OPTIONAL, keep_first
+from barloom.operators.quality import globally_sorted
+from barloom.sources import tables
+from barloom.sources.staging import staged
 
-#: Columns of the archives, by position.
+#: Columns of the archives, by position, and where a host keeps them.
 RAW = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_asset_volume", "number_of_trades", "taker_buy_base_volume", "taker_buy_quote_volume", "ignore")
+ARCHIVES = "data/spot/monthly/klines"
 RAW_SCHEMA = ", ".join(f"{c} string" for c in RAW) + ", _ingest_order long"
 #: A median above this is in microseconds.
 MICROSECONDS_FROM = 1e14
@@ -36,13 +43,18 @@ def months(start: str | datetime, end: str | datetime) -> list[tuple[int, int]]:
 
 
 def month_table(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """(month): the first of each month that [start, end) touches."""
     a, b = (F.lit(parse_utc(x).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz") for x in (start, end))
     last = F.date_trunc("month", b - F.make_dt_interval(secs=F.lit(0.000001)))
     return spark.range(1).select(F.explode(F.sequence(F.date_trunc("month", a), last, F.make_ym_interval(months=F.lit(1)))).alias("month"))
 
 
 def archive_url(base: str, symbol: str, interval: str, year: int, month: int) -> str:
-    return f"{base.rstrip('/')}/{symbol}/{interval}/{symbol}-{interval}-{year}-{month:02d}.zip"
+    return f"{base.rstrip('/')}/{ARCHIVES}/{symbol}/{interval}/{archive_name(symbol, interval, year, month)}"
+
+
+def archive_name(symbol: str, interval: str, year: int, month: int) -> str:
+    return f"{symbol}-{interval}-{year}-{month:02d}.zip"
 
 
 def unzip_rows(content: bytes) -> list[list[str]]:
@@ -60,8 +72,15 @@ def unzip_rows(content: bytes) -> list[list[str]]:
     return rows
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of every ZIP below path: one archive at a time in a task, wherever they are stored."""
+def read_archives(spark: SparkSession, path: str, symbol: str, interval: str, start: str, end: str) -> DataFrame:
+    """Raw rows of the symbol's months that [start, end) touches, wherever below path they are staged: other files are not opened.
+    A month that isn't there raises. A task reads one archive at a time; rows come in order of month, then of their file."""
+    wanted = [archive_name(symbol, interval, y, m) for y, m in months(start, end)]
+    plain = [re.sub(r"([\\*?{}\[\],])", r"\\\1", n) for n in wanted]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(plain) + "}").option("recursiveFileLookup", True).load(path)
+    there = {unquote(f).rsplit("/", 1)[-1] for f in files.inputFiles()}  # one name per month
+    if gone := [n for n in wanted if n not in there]:
+        raise FileNotFoundError(f"archives that are not below {path}: {gone}")
 
     def run(batches):
         import pyarrow as pa
@@ -70,15 +89,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = unzip_rows(content)
                 columns = list(zip(*rows, strict=True)) or [()] * len(RAW)
-                order = pa.array([abs(hash_of(name)) + k for k in range(len(rows))], pa.int64())
+                year, month = re.search(r"-(\d{4})-(\d\d)\.zip$", name).groups()
+                order = pa.array([(int(year) * 12 + int(month) << 32) + k for k in range(len(rows))], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), order], names=[*RAW, "_ingest_order"])
 
-    def hash_of(name: str) -> int:
-        """A start for a file's rows that grows with its name's digits (year and month), so months stay in order."""
-        digits = "".join(c for c in name.rsplit("/", 1)[-1] if c.isdigit())[-8:] or "0"
-        return int(digits) << 32
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, RAW_SCHEMA)
 
 
@@ -98,53 +112,119 @@ def pages(fetch: Callable[[int, int, int], list[list]], interval: str, start: st
 
 
 def raw_table(spark: SparkSession, rows: list[list]) -> DataFrame:
-    """Rows of pages as a table: pages are small, and come through the driver as they are fetched."""
+    """Rows that are at hand as a table, in their order."""
     return spark.createDataFrame([(*map(str, r), k) for k, r in enumerate(rows)], RAW_SCHEMA)
 
 
+def read_pages(spark: SparkSession, fetch: Callable[[int, int, int], list[list]], interval: str, start: str, end: str, limit: int = 1000) -> DataFrame:
+    """Raw rows of [start, end) from pages: each month is fetched by a task of its own, and nothing passes through the driver.
+    A bar that opens exactly where a month ends can come twice; canonical() keeps the first."""
+    a, b = (parse_utc(x).replace(tzinfo=None).isoformat(sep=" ") for x in (start, end))
+    bounds = month_table(spark, start, end).select(
+        F.greatest("month", F.lit(a).cast("timestamp_ntz")).cast("string").alias("a"),
+        F.least(F.col("month") + F.make_ym_interval(months=F.lit(1)), F.lit(b).cast("timestamp_ntz")).cast("string").alias("b"),
+    )
+    n = len(months(start, end))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, last in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = parse_utc(first)
+                rows = [[str(x) for x in r] for r in pages(fetch, interval, first, last, limit)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(RAW)
+                order = pa.array([(at.year * 12 + at.month << 32) + k for k in range(len(rows))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), order], names=[*RAW, "_ingest_order"])
+
+    return bounds.repartition(max(n, 1)).mapInArrow(run, RAW_SCHEMA)
+
+
 def canonical(raw: DataFrame, symbol: str, per_row_unit: bool = False) -> DataFrame:
-    """Nine columns, the first of each (symbol, timestamp) in order of arrival. The unit of time follows from the median of the
-    whole table, or with per_row_unit from each row."""
+    """Nine columns, the first of each (symbol, timestamp) in order of arrival. A symbol column of the raw table stays; where it is
+    missing or null, `symbol` is taken. The unit of time follows from the median of the whole table, or with per_row_unit from
+    each row. The order of arrival, _ingest_order, is taken at the scan: without it this raises."""
+    if "_ingest_order" not in raw.columns:
+        raise ValueError("the raw table has no _ingest_order: add it at the scan, by with_arrival()")
     opened = F.col("open_time").cast("string").try_cast("double").try_cast("long")
     rows = raw.withColumn("_t", opened)
-    micro = F.col("_t") > MICROSECONDS_FROM if per_row_unit else F.col("_m") > MICROSECONDS_FROM
+    micro = F.col("_t") > MICROSECONDS_FROM if per_row_unit else F.col("_micro")
     if not per_row_unit:
-        rows = rows.crossJoin(F.broadcast(rows.agg(F.percentile("_t", F.lit(0.5)).alias("_m"))))  # an aggregate: one row
+        # whether the median is above, from counts; halfway it is the mean of the two values in the middle
+        late = F.col("_t") > MICROSECONDS_FROM
+        sums = rows.agg(F.count("_t").alias("n"), F.count_if(late).alias("late"), F.max(F.when(~late, F.col("_t"))).alias("low"), F.min(F.when(late, F.col("_t"))).alias("high"))
+        above = F.when(2 * F.col("late") == F.col("n"), (F.col("low") + F.col("high")) / 2 > MICROSECONDS_FROM).otherwise(2 * F.col("late") > F.col("n"))
+        rows = rows.crossJoin(F.broadcast(sums.select(F.coalesce(above, F.lit(False)).alias("_micro"))))  # an aggregate: one row
     number = lambda c: clean(F.col(c).cast("string").try_cast("double"))
-    order = F.col("_ingest_order") if "_ingest_order" in raw.columns else F.monotonically_increasing_id()
+    own = F.coalesce(F.col("symbol").cast("string"), F.lit(symbol)) if "symbol" in raw.columns else F.lit(symbol)
     made = rows.select(
-        F.lit(symbol).alias("symbol"),
+        own.alias("symbol"),
         F.when(micro, F.timestamp_micros("_t")).otherwise(F.timestamp_millis("_t")).cast("timestamp_ntz").alias("timestamp"),
         *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")],
         number("quote_asset_volume").alias("quote_volume"),
         number("number_of_trades").try_cast("long").alias("num_trades"),
-        order.alias("_ingest_order"),
+        "_ingest_order",
     )
-    return keep_first(made, ("symbol", "timestamp"), [F.col("_ingest_order")])
+    return keep_first(made, ("symbol", "timestamp"), [F.col("_ingest_order")]).drop("_ingest_order")
 
 
-def ingestion_checks(bars: DataFrame) -> None:
-    """Raises on an empty table, nulls in core columns, prices at or below 0, negative volumes, or repeated keys."""
-    core = ("symbol", "timestamp", "open", "high", "low", "close", "volume")
-    if missing := [c for c in core if c not in bars.columns]:
+def ingestion_checks(bars: DataFrame, order: str | None = None) -> None:
+    """Raises on missing columns, an empty table, nulls in core columns, prices at or below 0, negative volumes, repeated keys, and
+    where a column of order is named on a row that is earlier than the one before it."""
+    if missing := [c for c in (*CORE, *OPTIONAL) if c not in bars.columns]:
         raise ValueError(f"missing columns: {missing}")
     prices = F.least("open", "high", "low", "close")
-    row = bars.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.greatest(*[F.col(c).isNull().cast("int") for c in core]) == 1).alias("nulls"), F.count_if(prices <= 0).alias("low"), F.count_if(F.col("volume") < 0).alias("negative")).first()
+    row = bars.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.greatest(*[F.col(c).isNull().cast("int") for c in CORE]) == 1).alias("nulls"), F.count_if(prices <= 0).alias("low"), F.count_if(F.col("volume") < 0).alias("negative")).first()
     if not row.n or row.nulls or row.low or row.negative:
         raise ValueError(f"{row.n} rows, {row.nulls} with nulls, {row.low} with prices at or below 0, {row.negative} with negative volumes")
     if not bars.groupBy("symbol", "timestamp").count().where("count > 1").isEmpty():
         raise ValueError("repeated keys")
+    if order is not None and not globally_sorted(bars, order).first()[0]:
+        raise ValueError("rows are not in order of time")
 
 
-def ingest(spark: SparkSession, symbol: str, interval: str, start: str, end: str, archives: str | None, fetch=None) -> DataFrame:
-    """Canonical bars of [start, end): from staged archives where there are any, else from pages, else it raises."""
-    from barloom.operators.bars import in_range
-
-    a, b = (parse_utc(x).replace(tzinfo=None).isoformat(sep=" ") for x in (start, end))
+def raw_bars(spark: SparkSession, symbol: str, interval: str, start: str, end: str, archives: str | None, fetch=None) -> tuple[DataFrame, str]:
+    """Raw rows of [start, end) with their symbol, and their source: from staged archives where all months are there and have rows in
+    the range, else from pages, else it raises."""
+    a, b = (parse_utc(x).timestamp() for x in (start, end))
+    why = "no archives"
     if archives is not None:
-        bars = in_range(canonical(read_archives(spark, archives), symbol), a, b, closed=False)
-        if not bars.isEmpty():
-            return bars
+        try:
+            raw = read_archives(spark, archives, symbol, interval, start, end)
+        except (FileNotFoundError, AnalysisException) as e:
+            why = str(e)
+        else:
+            t = F.col("open_time").try_cast("double").try_cast("long")
+            seconds = t / F.when(t > MICROSECONDS_FROM, 1e6).otherwise(1e3)
+            raw = raw.where((seconds >= a) & (seconds < b)).withColumn("symbol", F.lit(symbol))
+            if not raw.isEmpty():
+                return raw, "archives"
+            why = "no rows in the range"
     if fetch is None:
-        raise ValueError("no archives and no pages")
-    return canonical(raw_table(spark, list(pages(fetch, interval, start, end))), symbol)
+        raise ValueError(f"{why}, and no pages")
+    return read_pages(spark, fetch, interval, start, end).withColumn("symbol", F.lit(symbol)), "pages"
+
+
+def ingest(spark: SparkSession, symbol: str, interval: str, start: str, end: str, archives: str | None, fetch=None) -> DataFrame:
+    """Canonical bars of [start, end)."""
+    return canonical(raw_bars(spark, symbol, interval, start, end, archives, fetch)[0], symbol)
+
+
+def run_ingestion(spark: SparkSession, config: dict, fetch=None) -> dict:
+    """Raw rows as CSV, canonical bars in order of time as Parquet after the checks, and a summary. config: symbol, interval,
+    start_utc, end_utc, raw_dir, processed_dir, archives (where they are staged), use_pages."""
+    symbol, interval, start, end = (str(config[k]) for k in ("symbol", "interval", "start_utc", "end_utc"))
+    raw, source = raw_bars(spark, symbol, interval, start, end, config.get("archives"), fetch if config.get("use_pages", True) else None)
+    processed = tables.processed_path(symbol, interval, start, end, str(config["processed_dir"]))
+    raw_path = f"{str(config['raw_dir']).rstrip('/')}/{symbol}_{interval}_{start[:10]}_{end[:10]}_raw.csv"
+    tables.write(raw, raw_path)
+    # what was written is read: archives and pages are opened once
+    kept = tables.read(spark, raw_path, RAW_SCHEMA + ", symbol string", header=True)
+    bars = staged(canonical(kept, symbol), "canonical")
+    ingestion_checks(bars)
+    tables.write(bars.repartitionByRange("timestamp").sortWithinPartitions("timestamp"), processed)
+    row = bars.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    return {
+        "data_source": source, "symbol": symbol, "interval": interval, "raw_path": raw_path, "processed_path": processed,
+        "num_rows": row.n, "start_timestamp": str(row.a), "end_timestamp": str(row.b), "columns": bars.columns,
+    }

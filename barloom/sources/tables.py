@@ -10,10 +10,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _place(spark: SparkSession, path: str):
+    """The path, and the file system that it belongs to, local or not."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Asks the file system that the path belongs to, local or not."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(str(path))
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small side file, on whatever file system the path names."""
+    place, system = _place(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str, missing: str | None = None) -> str | None:
+    if not path or not _exists(spark, path):
+        return missing
+    place, system = _place(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern, sorted."""
+    place, system = _place(spark, pattern)
+    return sorted(str(f.getPath().toString()) for f in system.globStatus(place) or [])
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -38,6 +70,27 @@ def read_or_empty(spark: SparkSession, path: str | None, schema: T.StructType |
     return read(spark, path)
 
 
+def with_times(df: DataFrame, strict: bool = False, column: str = "timestamp") -> DataFrame:
+    """Times as UTC timestamps. What doesn't parse is null, or with strict raises when it is read."""
+    if column not in df.columns:
+        return df
+    parsed = F.col(column).cast("timestamp_ntz") if dict(df.dtypes)[column].startswith("timestamp") else F.try_to_timestamp(F.col(column).cast("string")).cast("timestamp_ntz")
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not a time: "), F.col(column).cast("string"))).cast("timestamp_ntz")
+        parsed = F.when(parsed.isNull() & F.col(column).isNotNull(), bad).otherwise(parsed)
+    return df.withColumn(column, parsed)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """A table of splits; times that don't parse are null."""
+    return with_times(read(spark, path))
+
+
+def read_candles(spark: SparkSession, path: str) -> DataFrame:
+    """Bars for prediction; times that don't parse raise."""
+    return with_times(read(spark, path), strict=True)
+
+
 def with_arrival(df: DataFrame) -> DataFrame:
     """Adds _ingest_order: file order, then order within the file. Taken at the scan, before any shuffle."""
     return df.withColumn("_ingest_order", F.monotonically_increasing_id())
@@ -105,6 +158,20 @@ def processed_path(symbol: str, interval: str, start: str, end: str, folder: str
     return f"{folder}/{symbol}_{interval}_{start[:10]}_{end[:10]}_processed.parquet"
 
 
+def report(title: str, sections: dict[str, DataFrame | dict | str], most: int = 50) -> str:
+    """A Markdown report: tables are cut at `most` rows with a note, mappings become lists."""
+    lines = [f"# {title}", ""]
+    for name, body in sections.items():
+        if isinstance(body, DataFrame):
+            text = to_markdown(body, most)
+        elif isinstance(body, dict):
+            text = "\n".join(f"- {k}: {v}" for k, v in plain(body).items()) or "None."
+        else:
+            text = str(body)
+        lines += [f"## {name}", "", text, ""]
+    return "\n".join(lines)
+
+
 def to_markdown(df: DataFrame, most: int = 50) -> str:
     """The first rows as a Markdown table, with a note where more were left out."""
     rows = df.limit(most + 1).collect()

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.bars import event_sums
+
 
 def bars(events: DataFrame, symbol: str, time: str, price: str, tie: str, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The bars of barloom.operators.bars.from_events for a streaming table; events later than the watermark allows are left out."""
-    at, value = F.struct(time, tie), F.col(price).cast("double")
     timed = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    made = timed.groupBy(F.col(symbol).alias("symbol"), F.window(time, every).alias("bucket")).agg(
-        F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.sum(value).alias("volume"), F.count(F.lit(1)).alias("num_trades")
-    )
+    made = timed.groupBy(F.col(symbol).alias("symbol"), F.window(time, every).alias("bucket")).agg(*event_sums(time, price, tie))
     return made.select("symbol", F.col("bucket.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "volume", "num_trades")
