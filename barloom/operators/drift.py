@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import severity
+from barloom.functions.ranged import quantile_arrays
 from barloom.operators import quality
+from barloom.sources.staging import staged
 
 EPSILON = 1e-6
 
@@ -22,35 +24,37 @@ def long_form(df: DataFrame, features: list[str], side: str) -> DataFrame:
 
 
 def numeric_summary(long: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
-    return made.select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
+    """(by, n, mean, std, min, p25, median, p75, max); the quantiles by ranges of the values."""
+    made = long.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantile_arrays(long, "value", [0.25, 0.5, 0.75], by)
+    return made.join(q, list(by), "left").select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
 
 
 def bin_edges(long: DataFrame, bins: int) -> DataFrame:
     """(feature, edges): the distinct inner quantiles of the reference; the outer edges are open."""
-    at = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    quantiles = long.where("side = 'reference'").groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", at))).alias("q"))
+    quantiles = quantile_arrays(long.where("side = 'reference'"), "value", [k / bins for k in range(bins + 1)], ("feature",))
+    distinct = quantiles.select("feature", F.array_sort(F.array_distinct("q")).alias("q"))
     inner = F.when(F.size("q") > 2, F.slice("q", F.lit(2), F.size("q") - 2)).otherwise(F.array().cast("array<double>"))
-    return quantiles.select("feature", inner.alias("edges"))
+    return distinct.select("feature", inner.alias("edges"))
 
 
 def stability(long: DataFrame, bins: int, epsilon: float = EPSILON) -> DataFrame:
-    """(feature, psi): over half-open bins of the reference's quantiles; null where a side is empty."""
+    """(feature, psi): over half-open bins of the reference's quantiles; null where a side is empty. `long` is read for the edges
+    and once for the counts, which also give the totals."""
     edges = bin_edges(long, bins)  # a row per feature
     place = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    counted = long.join(F.broadcast(edges), "feature").groupBy("feature", place.alias("bin")).agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "current").alias("c"))
-    every = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    totals = long.groupBy("feature").agg(F.count_if(F.col("side") == "reference").alias("rn"), F.count_if(F.col("side") == "current").alias("cn"))
-    share = lambda k, n: F.greatest(F.try_divide(F.coalesce(F.col(k), F.lit(0)), F.col(n)), F.lit(epsilon))
-    shares = every.join(counted, ["feature", "bin"], "left").join(totals, "feature").select("feature", "cn", "rn", share("r", "rn").alias("a"), share("c", "cn").alias("b"))
+    counted = long.join(F.broadcast(edges), "feature").groupBy("feature", "edges", place.alias("bin")).agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "current").alias("c"))
+    bars = counted.groupBy("feature", F.size("edges").alias("last")).agg(F.sum("r").alias("rn"), F.sum("c").alias("cn"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c")))).alias("held"))  # a few bins
+    share = lambda k, n: F.greatest(F.try_divide(F.coalesce(k, F.lit(0)), F.col(n)), F.lit(epsilon))
+    shares = bars.select("feature", "rn", "cn", "held", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bin")).withColumn("h", F.try_element_at("held", F.col("bin")))
+    shares = shares.select("feature", "rn", "cn", share(F.col("h.r"), "rn").alias("a"), share(F.col("h.c"), "cn").alias("b"))
     psi = F.sum((F.col("b") - F.col("a")) * F.ln(F.col("b") / F.col("a")))
     return shares.groupBy("feature").agg(F.when((F.max("cn") > 0) & (F.max("rn") > 0), psi).alias("psi"))
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10, warning: float = 0.1, alert: float = 0.25) -> DataFrame:
     """A row per feature: psi, severity and both summaries. The reader sorts by severity, then psi downwards."""
-    long = long_form(reference, features, "reference").unionByName(long_form(current, features, "current"))
+    long = staged(long_form(reference, features, "reference").unionByName(long_form(current, features, "current")), "long")
     names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     out = names.join(stability(long, bins), "feature", "left").withColumn("severity", severity(F.col("psi"), warning, alert))
     sums = numeric_summary(long, ("feature", "side"))
@@ -76,11 +80,14 @@ def severity_counts(drift: DataFrame) -> DataFrame:
 def freshness(df: DataFrame, seconds: int, mode: str = "historical", most_minutes: float = 15, reference: str | None = None, preview: int = 10) -> DataFrame:
     """A row per symbol (ALL where there is none): rows, bounds, missing bars, the first few of them, delay and is_fresh.
 
-    historical: fresh without missing bars. live: fresh if the last bar is at most most_minutes before the reference (now)."""
+    historical: coverage is reported, and old data are fresh. live: fresh if the last bar is at most most_minutes before the
+    reference (now). Null times raise when the rows are read."""
     if mode not in ("historical", "live"):
         raise ValueError(f"unknown mode {mode!r}")
     if "symbol" not in df.columns:
         df = df.withColumn("symbol", F.lit("ALL"))
+    timed = F.when(F.col("timestamp").isNull(), F.raise_error(F.lit("a null time")).cast("timestamp_ntz")).otherwise(F.col("timestamp"))
+    df = df.withColumn("timestamp", timed)
     rows = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"))
     gone = quality.missing_bars(df, seconds)
     first = gone.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy("missing_timestamp")))
@@ -88,4 +95,9 @@ def freshness(df: DataFrame, seconds: int, mode: str = "historical", most_minute
     now: Column = F.lit(reference).cast("timestamp_ntz") if reference else F.localtimestamp()
     delay = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("latest").cast("timestamp"))) / 60e6 if mode == "live" else F.lit(None).cast("double")
     out = rows.join(holes, "symbol", "left").select("symbol", "n_rows", "earliest", "latest", F.coalesce("m", F.lit(0)).cast("long").alias("missing_count"), "missing_preview", delay.alias("delay_minutes"))
-    return out.withColumn("is_fresh", F.col("delay_minutes") <= most_minutes if mode == "live" else F.col("missing_count") == 0)
+    return out.withColumn("is_fresh", F.col("delay_minutes") <= most_minutes if mode == "live" else F.lit(True))
+
+
+def freshness_overall(fresh: DataFrame) -> DataFrame:
+    """One row over the rows of freshness(): passed (all symbols are fresh) and total_missing."""
+    return fresh.agg(F.coalesce(F.bool_and("is_fresh"), F.lit(True)).alias("passed"), F.coalesce(F.sum("missing_count"), F.lit(0)).alias("total_missing"))

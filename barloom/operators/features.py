@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time, change, least_periods, log, ratio, trailing
+from barloom.operators import chunks
 from barloom.operators.bars import CORE, OPTIONAL, require
 
 #: Name starts of columns that look ahead.
@@ -64,23 +67,9 @@ def build(bars: DataFrame, windows: list[int], policy: str = "full_window") -> D
 
 
 def build_chunked(bars: DataFrame, windows: list[int], chunk_rows: int, policy: str = "full_window") -> DataFrame:
-    """The same for few symbols with very many rows: time is cut into chunks, each with the rows before it that its frames reach.
-
-    A chunk is a range of time that holds about chunk_rows rows of a symbol (from the symbol's counts per day, small next to the
-    rows); row numbers follow from counts of earlier days and the order within a day, so no task sorts a whole symbol.
-    """
-    halo = max(windows) + 1
-    day = F.date_trunc("day", "timestamp")
-    per_day = bars.groupBy("symbol", day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("symbol").orderBy("_day")) - F.col("_n")
-    placed = bars.withColumn("_day", day).join(per_day.withColumn("_before", before).drop("_n"), ["symbol", "_day"])
-    ranked = placed.withColumn("_row", F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("timestamp")) - 1)
-    first = F.floor(F.col("_row") / chunk_rows)
-    copies = ranked.withColumn("_chunk", F.explode(F.sequence(first, F.floor((F.col("_row") + halo) / chunk_rows)))).withColumn("_core", F.col("_chunk") == first)
-    key = F.concat_ws("\0", "symbol", F.col("_chunk").cast("string"))
-    named = copies.withColumns({"_symbol": F.col("symbol"), "symbol": key})
-    made = named.withColumns(bar_features(bars)).withColumns(window_features(windows, policy)).where("_core")
-    return made.withColumn("symbol", F.col("_symbol")).drop("_symbol", "_day", "_before", "_row", "_chunk", "_core")
+    """The same for few symbols with very many rows: time is cut into chunks of chunk_rows rows of a symbol, each with the rows before
+    it that its frames reach."""
+    return chunks.in_chunks(bars, max(windows) + 1, 0, chunk_rows, lambda part: build(part, windows, policy))
 
 
 def feature_columns(df: DataFrame, more: frozenset[str] = frozenset()) -> list[str]:
@@ -122,14 +111,16 @@ def model_table(features: DataFrame, columns: list[str], drop_missing: bool = Tr
     return out
 
 
-def past_only_check(bars: DataFrame, windows: list[int], policy: str = "full_window") -> DataFrame:
-    """(symbol, compared, max_abs_diff): features at row max(windows) + 10 of each symbol, from all rows and from none after it."""
+def past_only_check(bars: DataFrame, windows: list[int], policy: str = "full_window", made: Callable[[DataFrame, list[int], str], DataFrame] | None = None) -> DataFrame:
+    """(symbol, compared, max_abs_diff): features at row max(windows) + 10 of each symbol, from all rows and from none after it.
+    made: what builds the features, build() unless given."""
+    maker = made or build
     at = max(windows) + 10
     place = F.row_number().over(by_time()) - 1
     cut = bars.withColumn("_at", place).where(F.col("_at") <= at).drop("_at")
 
     def here(df: DataFrame) -> DataFrame:
-        made = build(df, windows, policy)
+        made = maker(df, windows, policy)
         columns = feature_columns(made)
         return made.withColumn("_at", place).where(F.col("_at") == at).select("symbol", *[F.col(c).alias(f"_f{k}") for k, c in enumerate(columns)])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.ranged import quantiles, running
+
 #: The smallest step of a double at 1: probabilities are kept so far from 0 and 1.
 EPSILON = 2.220446049250313e-16
 Y, SCORE = "y_true", "y_score"
@@ -50,14 +52,11 @@ def _by_score(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def ranking(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """roc_auc (ties count half) and average_precision (by steps), null where a class is missing.
-
-    Without `by` the window over distinct scores is one partition; see ranking_ranged for scores without bound."""
-    scores = _by_score(df, by)
-    down = Window.partitionBy(*by).orderBy(F.col(SCORE).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    each = Window.partitionBy(*by)
-    ran = scores.select(*by, "p", "n", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"), F.sum("p").over(each).alias("all_p"), F.sum("n").over(each).alias("all_n"))
-    return _ranked(ran, by)
+    """roc_auc (ties count half) and average_precision (by steps), null where a class is missing. Counts of distinct scores are added
+    up by ranges of the score, so any number of them will do."""
+    ran = running(_by_score(df, by), SCORE, ("p", "n"), by, descending=True)
+    named = {"upto_p": "cp", "upto_n": "cn", "all_p": "all_p", "all_n": "all_n"}
+    return _ranked(ran.select(*by, "p", "n", *[F.col(a).alias(b) for a, b in named.items()]), by)
 
 
 def _ranked(ran: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -71,32 +70,17 @@ def _ranked(ran: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
-def ranking_ranged(df: DataFrame, slices: int = 64) -> DataFrame:
-    """ranking() of a whole table whose distinct scores don't fit one task: scores in [0, 1] are cut into slices, and each starts
-    from the counts of the slices above."""
-    cut = F.least(F.greatest(F.floor(F.col(SCORE) * slices), F.lit(0)), F.lit(slices - 1)).cast("int")
-    scores = _by_score(df, ()).withColumn("_s", cut)
-    totals = scores.groupBy("_s").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    w = Window.orderBy(F.col("_s").desc())  # a row per slice
-    above = totals.select("_s", (F.sum("sp").over(w) - F.col("sp")).alias("bp"), (F.sum("sn").over(w) - F.col("sn")).alias("bn"), F.sum("sp").over(Window.partitionBy()).alias("all_p"), F.sum("sn").over(Window.partitionBy()).alias("all_n"))
-    down = Window.partitionBy("_s").orderBy(F.col(SCORE).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ran = scores.join(F.broadcast(above), "_s")  # a row per slice
-    return _ranked(ran.select("p", "n", (F.col("bp") + F.sum("p").over(down)).alias("cp"), (F.col("bn") + F.sum("n").over(down)).alias("cn"), "all_p", "all_n"), ())
-
-
 def at_top(df: DataFrame, fractions: list[float], tie: tuple[str, ...] = ("symbol", "timestamp")) -> DataFrame:
     """(fraction, k, precision, recall) among the k = max(1, ceil(n * fraction)) best scores; ties by key. Recall is null without positives.
 
-    The cut is found on counts by score, then ties at the cut are ranked: no sort of the whole table."""
-    counts = _by_score(df, ())
-    total = counts.agg(F.sum(F.col("p") + F.col("n")).alias("rows"), F.sum("p").alias("positives"))
+    The cut is found on counts by score, added up by ranges, then ties at the cut are ranked: no sort of the whole table."""
+    ran = running(_by_score(df, ()).withColumn("both", F.col("p") + F.col("n")), SCORE, ("both", "p"), (), descending=True)
+    total = ran.agg(F.max("all_both").alias("rows"), F.max("all_p").alias("positives"))
     asked = total.select("rows", "positives", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     asked = asked.where("rows > 0").withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("rows") * F.col("fraction"))).cast("long"))
-    down = Window.orderBy(F.col(SCORE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ran = counts.select(SCORE, "p", "n", F.coalesce(F.sum(F.col("p") + F.col("n")).over(down), F.lit(0)).alias("before"))
-    met = ran.crossJoin(F.broadcast(asked)).where("before < k")  # a row per fraction
-    whole = met.where("before + p + n <= k").groupBy("fraction").agg(F.sum("p").alias("hits"))
-    cut = met.where("before + p + n > k").select("fraction", F.col(SCORE).alias("_c"), (F.col("k") - F.col("before")).alias("room"))
+    met = ran.withColumn("before", F.col("upto_both") - F.col("both")).crossJoin(F.broadcast(asked.drop("rows"))).where("before < k")  # a row per fraction
+    whole = met.where("upto_both <= k").groupBy("fraction").agg(F.sum("p").alias("hits"))
+    cut = met.where("upto_both > k").select("fraction", F.col(SCORE).alias("_c"), (F.col("k") - F.col("before")).alias("room"))
     tied = df.join(F.broadcast(cut), F.col(SCORE) == F.col("_c")).withColumn("_t", F.row_number().over(Window.partitionBy("fraction").orderBy(*tie)))
     more = tied.where("_t <= room").groupBy("fraction").agg(F.count_if(F.col(Y) == 1).alias("more"))
     out = asked.join(whole, "fraction", "left").join(more, "fraction", "left")
@@ -133,6 +117,12 @@ def multiclass(df: DataFrame, actual: str = "y_true", predicted: str = "y_pred")
     )
 
 
+def most_likely(proba: str) -> Column:
+    """The class of the largest probability in a map; of equals the smallest."""
+    ranked = F.transform(F.map_entries(proba), lambda e: F.struct((-e["value"]).alias("p"), e["key"].alias("c")))
+    return F.array_min(ranked)["c"]
+
+
 def multiclass_log_loss(df: DataFrame, proba: str = "y_proba", actual: str = "y_true") -> DataFrame:
     """Mean of -ln p of the actual class; y_proba is a map from class to probability."""
     p = F.least(F.greatest(F.coalesce(F.element_at(F.col(proba), F.col(actual)), F.lit(0.0)), F.lit(EPSILON)), F.lit(1 - EPSILON))
@@ -149,32 +139,42 @@ def regression(df: DataFrame, actual: str = "y_true", predicted: str = "y_pred")
     """MAE, MSE, RMSE, median absolute error, R2, explained variance and MAPE (null where an actual value is 0)."""
     y, e = F.col(actual), F.col(actual) - F.col(predicted)
     mse = F.avg(e * e)
+    errors = df.select(F.abs(e).alias("e"))
+    middle = df.sparkSession.range(1).join(F.broadcast(quantiles(errors, "e", [0.5])), F.lit(True), "left").select(F.col("value").alias("median_ae"))  # one row each
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.abs(e)).alias("mae"),
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
         (1 - F.try_divide(mse, F.var_pop(y))).alias("r2"),
         (1 - F.try_divide(F.var_pop(e), F.var_pop(y))).alias("explained_variance"),
         F.when(F.count_if(y == 0) == 0, F.avg(F.try_divide(F.abs(e), F.abs(y)))).alias("mape"),
-    )
+    ).crossJoin(F.broadcast(middle))
 
 
 def compute(df: DataFrame, task: str, thresholds: tuple[float, ...] = (0.5,), fractions: tuple[float, ...] = (0.05, 0.1), tie: tuple[str, ...] = ("symbol", "timestamp")) -> dict:
-    """Metrics of a whole table as a nested mapping, by kind of task; undefined ones are None. Scores come from y_score, else from
-    the second probability, else from the prediction."""
+    """Metrics of a whole table as a nested mapping, by kind of task; undefined ones are None. Binary scores come from y_score, else from
+    the probability of class 1, else from the prediction. y_proba is a map from class to probability; without y_pred its largest
+    (the smaller class of equals) is the prediction of several classes. An empty table raises."""
+    if df.isEmpty():
+        raise ValueError("no rows to measure")
     if task == "binary":
         if SCORE not in df.columns:
-            other = F.element_at(F.col("y_proba"), 2) if "y_proba" in df.columns else F.col("y_pred")
+            other = F.try_element_at(F.col("y_proba"), F.lit(1)) if "y_proba" in df.columns else F.col("y_pred")
             df = df.withColumn(SCORE, other.cast("double"))
         out = basics(df).first().asDict() | ranking(df).first().asDict()
         out["threshold_metrics"] = {str(r.threshold): {k: v for k, v in r.asDict().items() if k != "threshold"} for r in at_thresholds(df, list(thresholds)).collect()}
         out["top_fraction_metrics"] = {str(r.fraction): {"k": r.k, "precision": r.precision, "recall": r.recall} for r in at_top(df, list(fractions), tie).collect()}
         return out
     if task == "multiclass":
+        if "y_pred" not in df.columns:
+            df = df.withColumn("y_pred", most_likely("y_proba"))
         out = multiclass(df).first().asDict()
         out["per_class"] = {str(r.label): r.asDict() for r in per_class(df).collect()}
+        out["confusion_matrix"] = {f"{r.actual}->{r.predicted}": r.n for r in confusion(df).collect()}
+        several = "y_proba" in df.columns and df.select("y_true").distinct().limit(2).count() > 1
+        out["log_loss"] = multiclass_log_loss(df).first()[0] if several else None
+        out["roc_auc_ovr"] = one_vs_rest_auc(df).first()[0] if several else None
         return out
     if task == "regression":
         return regression(df).first().asDict()

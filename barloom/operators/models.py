@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics
 from barloom.operators.features import build, feature_columns
+from barloom.sources.tables import get_text, names_of, put_text
 
 UNBUILT = ("pytorch", "jax", "lightgbm", "xgboost")
 
@@ -40,32 +41,85 @@ def dataset(df: DataFrame, features: list[str], target: str, split: str = "split
     return Dataset(*(df.where(F.col(split) == n) for n in names), features, target)
 
 
+def _with_classes(df: DataFrame, proba: Column, positive: int) -> DataFrame:
+    """y_proba (class to probability), y_score (that of the positive class) and y_pred (the most likely class; of two, the positive
+    one from 0.5 on)."""
+    made = df.withColumn("y_proba", proba)
+    made = made.withColumn("y_score", F.coalesce(F.try_element_at("y_proba", F.lit(positive)), F.lit(0.0)))
+    other = F.filter(F.map_keys("y_proba"), lambda c: c != positive)
+    two = (F.size("y_proba") <= 2) & (F.size(other) <= 1)
+    either = F.when(F.col("y_score") >= 0.5, F.lit(positive)).otherwise(F.coalesce(F.get(other, F.lit(0)), F.lit(0)))
+    return made.withColumn("y_pred", F.when(two, either).otherwise(metrics.most_likely("y_proba")).cast("int"))
+
+
 class MajorityModel:
-    """Always the most frequent class (the smaller of equals); its probability is 1."""
+    """Always the most frequent class (the smaller of equals), or the only one that there was; its probability is 1."""
 
     def __init__(self, label: int):
         self.label = label
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("y_score", F.lit(1.0 if self.label == 1 else 0.0)).withColumn("y_pred", F.lit(self.label))
+    def transform(self, df: DataFrame, positive: int = 1) -> DataFrame:
+        classes = sorted({0, positive, self.label})
+        proba = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(1.0 if c == self.label else 0.0))])
+        return _with_classes(df, proba, positive).withColumn("y_pred", F.lit(self.label))
 
-    def save(self, path: str) -> None:
-        Path(path).mkdir(parents=True, exist_ok=True)
-        (Path(path) / "majority.json").write_text(json.dumps({"label": self.label}))
+    def save(self, spark: SparkSession, path: str) -> None:
+        put_text(spark, f"{path}/majority.json", json.dumps({"label": self.label}))
 
 
 class VectorModel:
+    """A fitted pipeline; place k of its probabilities is class k."""
+
     def __init__(self, model: PipelineModel):
         self.model = model
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        made = self.model.transform(df).withColumn("y_score", vector_to_array("probability")[1])
-        return made.drop("_raw", "_features", "rawPrediction", "probability", "prediction").withColumn("y_pred", (F.col("y_score") >= 0.5).cast("int"))
+    def transform(self, df: DataFrame, positive: int = 1) -> DataFrame:
+        chances = self.model.transform(df).withColumn("_chances", vector_to_array("probability"))
+        proba = F.map_from_arrays(F.sequence(F.lit(0), F.size("_chances") - 1), F.col("_chances"))
+        return _with_classes(chances, proba, positive).drop("_raw", "_scaled", "_features", "rawPrediction", "probability", "prediction", "_chances")
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(path)
 
 
+class ValueModel:
+    """A fitted regression."""
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+
+    def transform(self, df: DataFrame, positive: int = 1) -> DataFrame:
+        return self.model.transform(df).withColumn("y_pred", F.col("prediction").cast("double")).drop("_raw", "_scaled", "_features", "prediction")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+
+def predict_for_task(model, df: DataFrame, task: str, positive: int = 1) -> DataFrame:
+    """df with the columns of its kind of task: binary y_pred, y_score, y_proba; multiclass y_pred, y_proba; regression y_pred."""
+    if task not in ("binary", "multiclass", "regression"):
+        raise ValueError(f"unknown task {task!r}")
+    made = model.transform(df, positive)
+    if task == "regression":
+        return made.withColumn("y_pred", F.col("y_pred").cast("double")).drop("y_score", "y_proba")
+    if "y_proba" not in made.columns:
+        raise TypeError("the model gives no probabilities")
+    return made if task == "binary" else made.withColumn("y_pred", metrics.most_likely("y_proba")).drop("y_score")
+
+
+def prediction_frame(predicted: DataFrame, target: str, task: str, classes: tuple[int, ...] = ()) -> DataFrame:
+    """symbol, timestamp, split, y_true, and by task: y_score and y_pred_at_0_5; y_pred and proba_class_<c> for each class; y_pred and
+    residual."""
+    key = ["symbol", "timestamp", "split", F.col(target).alias("y_true")]
+    if task == "binary":
+        return predicted.select(*key, "y_score", F.col("y_pred").alias("y_pred_at_0_5"))
+    if task == "multiclass":
+        return predicted.select(*key, "y_pred", *[F.try_element_at("y_proba", F.lit(c)).alias(f"proba_class_{c}") for c in classes])
+    if task == "regression":
+        return predicted.select(*key, "y_pred", (F.col(target) - F.col("y_pred")).alias("residual"))
+    raise ValueError(f"unknown task {task!r}")
+
+
 def _balanced(df: DataFrame, target: str) -> tuple[DataFrame, float]:
     """Weights n / (classes * n of the class), and their sum. A row per class comes to the driver."""
     counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}
@@ -84,11 +138,19 @@ def fit(config: dict, data: Dataset):
     if kind == "majority":
         top = data.train.groupBy(data.target).count().orderBy(F.desc("count"), data.target).first()
         return MajorityModel(int(top[0]))
-    raw = "_raw" if config.get("scale") else "_features"
-    stages: list = [VectorAssembler(inputCols=data.features, outputCol=raw, handleInvalid="error")]
+    stages: list = [VectorAssembler(inputCols=data.features, outputCol="_raw" if config.get("scale") else "_features", handleInvalid="error")]
     if config.get("scale"):
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True))
+        # the scaler divides by the sample deviation; the population one is smaller by the root of (n - 1) / n
+        n = data.train.count()
+        stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True))
+        stages.append(ElementwiseProduct(inputCol="_scaled", outputCol="_features", scalingVec=Vectors.dense([(n / max(n - 1, 1)) ** 0.5] * len(data.features))))
     train = data.train.withColumn(data.target, F.col(data.target).cast("double"))
+    if kind == "linear":
+        stages.append(LinearRegression(featuresCol="_features", labelCol=data.target, regParam=params.get("alpha", 0.0), maxIter=params.get("max_iter", 100)))
+        return ValueModel(Pipeline(stages=stages).fit(train))
+    classes = [r[0] for r in data.train.select(data.target).distinct().limit(2).collect()]
+    if len(classes) == 1:
+        return MajorityModel(int(classes[0]))
     if kind == "logistic":
         weighted, total = _balanced(train, data.target)
         penalty = 1 / (params.get("C", 1.0) * total)
@@ -101,38 +163,50 @@ def fit(config: dict, data: Dataset):
     return VectorModel(Pipeline(stages=stages).fit(train))
 
 
-def load(path: str):
-    """A saved model."""
-    if (Path(path) / "majority.json").is_file():
-        return MajorityModel(json.loads((Path(path) / "majority.json").read_text())["label"])
-    return VectorModel(PipelineModel.load(path))
+def load(spark: SparkSession, path: str, kind: str = "spark"):
+    """A saved model; other formats than those of save() raise."""
+    if kind != "spark":
+        raise NotImplementedError(f"artifact format {kind!r}")
+    if label := get_text(spark, f"{path}/majority.json"):
+        return MajorityModel(json.loads(label)["label"])
+    if not names_of(spark, f"{path}/metadata"):
+        raise FileNotFoundError(path)
+    model = PipelineModel.load(path)
+    return (VectorModel if any(s.hasParam("probabilityCol") for s in model.stages) else ValueModel)(model)
 
 
-def discover(folder: str) -> list[str]:
+def discover(spark: SparkSession, folder: str) -> list[str]:
     """Names of saved models, sorted."""
-    return sorted(p.parent.name for p in Path(folder).glob("*/metadata.json"))
+    return sorted(p.rsplit("/", 2)[-2] for p in names_of(spark, f"{folder}/*/metadata.json"))
+
+
+def feature_schema(spark: SparkSession, model_dir: str, fallback: str | None = None) -> dict:
+    """The feature list that was saved with a model, else that of the fallback file; without either it raises."""
+    for path in (f"{model_dir}/feature_schema.json", fallback):
+        if path and (text := get_text(spark, path)) is not None:
+            return json.loads(text)
+    raise FileNotFoundError(f"no feature schema in {model_dir}, and no fallback")
 
 
 def train_all(configs: dict[str, dict], data: Dataset, folder: str, version: str = "1") -> dict[str, dict]:
-    """Fits, scores on validation and saves each model with its metadata, feature list and metrics."""
-    out = {}
+    """Fits, scores on validation and saves each model with its metadata, feature list and metrics, on the file system of folder."""
+    out, spark = {}, data.train.sparkSession
     for name, config in configs.items():
-        model, home = fit(config, data), Path(folder) / name
-        home.mkdir(parents=True, exist_ok=True)
-        model.save(str(home / "model"))
+        model, home = fit(config, data), f"{folder}/{name}"
+        model.save(spark, f"{home}/model")
         scored = model.transform(data.validation).withColumn("y_true", F.col(data.target))
         out[name] = metrics.basics(scored).first().asDict() | metrics.ranking(scored).first().asDict() | metrics.at_thresholds(scored, [0.5]).first().asDict()
-        (home / "metadata.json").write_text(json.dumps({"name": name, "version": version, **config, "model_path": str(home / "model")}))
-        (home / "feature_schema.json").write_text(json.dumps({"feature_columns": data.features, "num_features": len(data.features)}))
-        (home / "metrics.json").write_text(json.dumps(out[name]))
+        put_text(spark, f"{home}/metadata.json", json.dumps({"name": name, "version": version, **config, "model_path": f"{home}/model", "artifact_format": "spark"}))
+        put_text(spark, f"{home}/feature_schema.json", json.dumps({"feature_columns": data.features, "num_features": len(data.features)}))
+        put_text(spark, f"{home}/metrics.json", json.dumps(out[name]))
     return out
 
 
 def evaluate(folder: str, data: Dataset, thresholds: tuple[float, ...] = (0.5,), fractions: tuple[float, ...] = (0.05, 0.1)) -> list[dict]:
     """Flat metrics of every saved model on validation and test."""
-    out = []
-    for name in discover(folder):
-        model = load(str(Path(folder) / name / "model"))
+    out, spark = [], data.train.sparkSession
+    for name in discover(spark, folder):
+        model = load(spark, f"{folder}/{name}/model")
         for split, part in (("validation", data.validation), ("test", data.test)):
             scored = model.transform(part).withColumn("y_true", F.col(data.target))
             out.append({"model_name": name, "split": split} | metrics.flatten(metrics.compute(scored, "binary", thresholds, fractions)))

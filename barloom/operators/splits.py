@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time
-from barloom.operators import labels
+from barloom.operators import chunks, labels
+from barloom.operators.bars import require
+from barloom.sources.staging import staged
+from barloom.sources.tables import with_times
 
 SPLITS = ("train", "purge_train_validation", "validation", "purge_validation_test", "test")
 MODEL_SPLITS = ("train", "validation", "test")
 
 
-def assign(df: DataFrame, train: float, validation: float, test: float, gap: int) -> DataFrame:
-    """Adds split, by place within the symbol."""
+def prepared(df: DataFrame, h: int) -> DataFrame:
+    """Input of splits, with UTC times. Raises on missing columns, an empty table and null times."""
+    require(df, ("symbol", "timestamp", "close", f"future_rv_{h}", f"y_high_vol_{h}"), "splits")
+    out = with_times(df)
+    n, bad = out.agg(F.count(F.lit(1)), F.count_if(F.col("timestamp").isNull())).first()
+    if bad or not n:
+        raise ValueError(f"{bad} of {n} rows have a null time" if n else "no rows to split")
+    return out
+
+
+def build(df: DataFrame, h: int, train: float, validation: float, test: float, gap: int, q: float) -> DataFrame:
+    """split and y_high_vol_h_split_safe of labelled rows. The splits are written once: the threshold and the labels read them."""
+    made = staged(assign(prepared(df, h), train, validation, test, gap), "splits")
+    return safe_label(made, h, train_threshold(made, h, q))
+
+
+def _named(at: Column, n: Column, train: float, validation: float, test: float, gap: int) -> Column:
     if abs(train + validation + test - 1) > 1e-9 or min(train, validation, test) <= 0:
         raise ValueError("fractions must be positive and add up to 1")
     if gap < 0:
         raise ValueError("the gap must not be negative")
-    at, n = F.row_number().over(by_time()) - 1, F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     tb, vb = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + validation))
-    named = (
-        F.when(F.col("_at") < F.greatest(F.lit(0), F.col("_tb") - gap), SPLITS[0])
-        .when(F.col("_at") < F.col("_tb"), SPLITS[1])
-        .when(F.col("_at") < F.greatest(F.col("_tb"), F.col("_vb") - gap), SPLITS[2])
-        .when(F.col("_at") < F.col("_vb"), SPLITS[3])
+    return (
+        F.when(at < F.greatest(F.lit(0), tb - gap), SPLITS[0])
+        .when(at < tb, SPLITS[1])
+        .when(at < F.greatest(tb, vb - gap), SPLITS[2])
+        .when(at < vb, SPLITS[3])
         .otherwise(SPLITS[4])
     )
-    return df.withColumns({"_at": at, "_tb": tb, "_vb": vb}).withColumn("split", named).drop("_at", "_tb", "_vb")
+
+
+def assign(df: DataFrame, train: float, validation: float, test: float, gap: int) -> DataFrame:
+    """Adds split, by place within the symbol."""
+    split = _named(F.col("_at"), F.col("_all"), train, validation, test, gap)
+    at, n = F.row_number().over(by_time()) - 1, F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    return df.withColumns({"_at": at, "_all": n}).withColumn("split", split).drop("_at", "_all")
+
+
+def assign_placed(df: DataFrame, train: float, validation: float, test: float, gap: int) -> DataFrame:
+    """assign() without a task for each symbol: places follow from counts per day."""
+    split = _named(F.col("_at"), F.col("_all"), train, validation, test, gap)
+    return chunks.placed(df, None, "_at", "_all").withColumn("split", split).drop("_at", "_all")
 
 
 def train_threshold(df: DataFrame, h: int, q: float) -> DataFrame:
@@ -100,8 +129,9 @@ def raise_unless_passed(checks: DataFrame) -> None:
 
 
 def walk_forward(df: DataFrame, min_train: float, validation: float, step: float, gap: int) -> DataFrame:
-    """Expanding folds of each symbol: row counts and times. Fold bounds are joined to the rows they name, not to ranges of rows."""
-    placed = df.select("symbol", "timestamp", (F.row_number().over(by_time()) - 1).alias("at"))
+    """Expanding folds of each symbol: row counts and times. Fold bounds are joined to the rows they name, not to ranges of rows;
+    places follow from counts per day."""
+    placed = staged(chunks.placed(df.select("symbol", "timestamp")).select("symbol", "timestamp", F.col("_row").alias("at")), "places")
     n = placed.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     sized = n.select("symbol", "n", F.floor(F.col("n") * F.lit(min_train)).alias("t0"), F.floor(F.col("n") * F.lit(validation)).alias("v"), F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(step))).alias("s"))
     last = F.col("n") - gap - F.col("v")
