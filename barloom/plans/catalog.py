@@ -20,6 +20,7 @@ from barloom.operators import models as M
 from barloom.operators import quality as Q
 from barloom.operators import splits as S
 from barloom.operators import timeline as T
+from barloom.sources.staging import staged
 
 WINDOWS, H, HOUR = [3, 12], 12, 3600
 TRAIN, VALIDATION, TEST, GAP, QUANTILE = 0.7, 0.15, 0.15, 12, 0.8
@@ -211,6 +212,19 @@ def full_feature_table(spark, sf_dir):
     return featured(spark, sf_dir).select("symbol", "timestamp", *BASE, *WINDOWED)
 
 
+#: The windows of a whole feature set: 9 features of the bar and 11 of each window.
+ALL_WINDOWS = [3, 6, 12, 48, 288]
+_WIDE = [k for n in ALL_WINDOWS for k in _window_sql(n)]
+_QUOTED = """bars AS (SELECT *, volume * 2 + num_trades AS quote_volume FROM plain)"""
+
+
+@query(ctes(BARS.replace("bars AS", "plain AS", 1), _QUOTED, FEATURES_1, _features_2(windows=ALL_WINDOWS)).rstrip() + ", q AS (SELECT *, " + _change_sql("quote_volume") + " AS quote_volume_change FROM f2) " + pick("symbol timestamp ~quote_volume_change " + " ".join(f"~{c}" for c in BASE + _WIDE), "q"))
+def whole_feature_set(spark, sf_dir):
+    """All 64 features, quote_volume_change among them."""
+    bars = hourly(spark, sf_dir).withColumn("quote_volume", F.col("volume") * 2 + F.col("num_trades"))
+    return X.build(bars, ALL_WINDOWS).select("symbol", "timestamp", "quote_volume_change", *BASE, *_WIDE)
+
+
 @query(ctes(BARS, FEATURES_1, _features_2()) + pick("symbol timestamp " + _ALL_FEATURES, "f2"))
 def full_feature_table_chunked(spark, sf_dir):
     return X.build_chunked(hourly(spark, sf_dir), WINDOWS, 200).select("symbol", "timestamp", *BASE, *WINDOWED)
@@ -255,12 +269,12 @@ def future(spark, sf_dir):
 
 
 def masked(spark, sf_dir):
-    return L.threshold_mask(future(spark, sf_dir), H, TRAIN)
+    """Written once: thresholds and the rows that they are for read it."""
+    return staged(L.threshold_mask(future(spark, sf_dir), H, TRAIN), "masked")
 
 
 def labeled(spark, sf_dir):
-    made = masked(spark, sf_dir)
-    return L.binary_label(made, H, L.threshold(made, H, QUANTILE, "used_for_label_threshold"))
+    return L.build(hourly(spark, sf_dir), H, TRAIN, QUANTILE)
 
 
 @query(ctes(BARS, FUTURE) + pick(f"symbol timestamp ~future_return_{H}", "fut"))
@@ -329,6 +343,31 @@ def rv_alignment_check(spark, sf_dir):
     return L.alignment_check(hourly(spark, sf_dir), H)
 
 
+@query(ctes(BARS, FUTURE, f"n AS (SELECT *, row_number() OVER ({_W}) - 1 AS pos, lead(future_rv_{H}) OVER ({_W}) AS moved FROM fut)") + f"SELECT symbol, round(future_rv_{H}, 6) AS expected, round(moved, 6) AS actual, round(abs(future_rv_{H} - moved), 6) AS abs_diff FROM n WHERE pos = 10")
+def rv_misalignment_found(spark, sf_dir):
+    """The check must show values that stand a row too early."""
+    moved = future(spark, sf_dir).withColumn(f"future_rv_{H}", F.lead(f"future_rv_{H}").over(by_time()))
+    return L.alignment_check(hourly(spark, sf_dir), H, values=moved)
+
+
+# -- the same without a task for each symbol ----------------------------------------------------------------------------------
+
+
+@query(ctes(BARS, FUTURE) + pick(f"symbol timestamp ~future_return_{H} ~future_rv_{H}", "fut"))
+def future_values_chunked(spark, sf_dir):
+    return L.future_values_chunked(hourly(spark, sf_dir), H, 200).select("symbol", "timestamp", f"future_return_{H}", f"future_rv_{H}")
+
+
+@query(ctes(BARS, FUTURE, MASK) + "SELECT symbol, timestamp, used_for_label_threshold FROM mask")
+def threshold_mask_placed(spark, sf_dir):
+    return L.threshold_mask_placed(L.future_values_chunked(hourly(spark, sf_dir), H, 200), H, TRAIN).select("symbol", "timestamp", "used_for_label_threshold")
+
+
+@query(ctes(BARS, f"m AS (SELECT symbol, timestamp, lead(close, 7) OVER ({_W}) / nullif(close, 0) - 1 AS move FROM bars)") + "SELECT symbol, timestamp, CASE WHEN move < -0.02 THEN -1 WHEN move > 0.02 THEN 1 ELSE 0 END AS regime FROM m")
+def multiclass_label_chunked(spark, sf_dir):
+    return L.multiclass_chunked(hourly(spark, sf_dir), 100).select("symbol", "timestamp", "regime")
+
+
 # -- splits ------------------------------------------------------------------------------------------------------------------
 
 SPLIT = f"""pl AS (SELECT *, row_number() OVER ({_W}) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM lab WHERE y_high_vol_{H} IS NOT NULL),
@@ -344,8 +383,7 @@ def split(spark, sf_dir):
 
 
 def safe(spark, sf_dir):
-    made = split(spark, sf_dir)
-    return S.safe_label(made, H, S.train_threshold(made, H, QUANTILE))
+    return S.build(labeled(spark, sf_dir).where(F.col(f"y_high_vol_{H}").isNotNull()), H, TRAIN, VALIDATION, TEST, GAP, QUANTILE)
 
 
 @query(_SAFE + "SELECT symbol, timestamp, split FROM spl")
@@ -353,9 +391,15 @@ def chrono_split(spark, sf_dir):
     return split(spark, sf_dir).select("symbol", "timestamp", "split")
 
 
+@query(_SAFE + "SELECT symbol, timestamp, split FROM spl")
+def chrono_split_placed(spark, sf_dir):
+    rows = labeled(spark, sf_dir).where(F.col(f"y_high_vol_{H}").isNotNull())
+    return S.assign_placed(rows, TRAIN, VALIDATION, TEST, GAP).select("symbol", "timestamp", "split")
+
+
 @query(_SAFE + pick("~threshold", "slim"))
 def split_threshold(spark, sf_dir):
-    return S.train_threshold(split(spark, sf_dir), H, QUANTILE)
+    return S.train_threshold(staged(split(spark, sf_dir), "splits"), H, QUANTILE)
 
 
 @query(_SAFE + f"SELECT symbol, timestamp, split, y_high_vol_{H}_split_safe FROM safe")
@@ -471,6 +515,21 @@ def missing_anti_join(spark, sf_dir):
     return Q.missing_bars(hourly(spark, sf_dir), HOUR).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(ctes(BARS) + f"SELECT symbol, count(*) FILTER (timestamp - b <> INTERVAL 1 HOUR) AS irregular FROM (SELECT symbol, timestamp, lag(timestamp) OVER ({_W}) AS b FROM bars) GROUP BY symbol")
+def irregular_gaps_chunked(spark, sf_dir):
+    return Q.irregular_gaps_chunked(hourly(spark, sf_dir), HOUR, 100)
+
+
+@query("SELECT DISTINCT o_orderpriority AS symbol FROM (SELECT o_orderpriority, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE o_orderdate < b")
+def unsorted_symbols_ranged(spark, sf_dir):
+    return Q.unsorted_symbols_ranged(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("timestamp"), F.col("o_orderkey").alias("_ingest_order")))
+
+
+@query(ctes(BARS, FEATURES_1) + "SELECT symbol, timestamp, round(log_return_1, 6) AS log_return FROM f1 WHERE abs(log_return_1) > 0.1")
+def extreme_returns_chunked(spark, sf_dir):
+    return Q.extreme_returns_chunked(hourly(spark, sf_dir), 100).select("symbol", "timestamp", "log_return")
+
+
 def shaken(spark, sf_dir):
     """Bars with faults: high and close change places where trades are many, and some volumes are negative."""
     many = F.col("num_trades") % 3 == 0
@@ -501,22 +560,35 @@ def extreme_returns_top(spark, sf_dir):
 
 
 def arrived(spark, sf_dir):
-    return shaken(spark, sf_dir).withColumn("_ingest_order", F.unix_micros(F.col("timestamp").cast("timestamp")))
-
-
+    """Shaken bars that break the other rules too: nulls, a key and a row given twice, and steps back in the order of arrival."""
+    made = shaken(spark, sf_dir).withColumns({"close": F.when(F.col("num_trades") % 7 != 0, F.col("close")), "_ingest_order": F.unix_micros(F.col("timestamp").cast("timestamp"))})
+    late = F.dayofmonth("timestamp") % 9 == 0
+    made = made.withColumn("_ingest_order", F.col("_ingest_order") - F.when(late, F.lit(7_200_000_001)).otherwise(0))
+    copies = F.when(F.hour("timestamp") == 3, 2).when(F.hour("timestamp") == 5, 3).otherwise(1)
+    again = made.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    # the second of two differs in its volume: the key repeats, the row doesn't
+    return again.withColumn("volume", F.when((F.col("_copy") == 2) & (F.hour("timestamp") == 3), F.col("volume") + 1).otherwise(F.col("volume"))).withColumn("_ingest_order", F.col("_ingest_order") + F.col("_copy")).drop("_copy")
+
+
+ARRIVED = """arrived AS (SELECT symbol, timestamp, open, high, low, CASE WHEN num_trades % 7 <> 0 THEN close END AS close, CASE WHEN copy = 2 AND hour(timestamp) = 3 THEN volume + 1 ELSE volume END AS volume, num_trades,
+ epoch_us(timestamp) - CASE WHEN day(timestamp) % 9 = 0 THEN 7200000001 ELSE 0 END + copy AS o
+ FROM (SELECT *, unnest(generate_series(1, CASE hour(timestamp) WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE 1 END)) AS copy FROM shaken))"""
 ISSUES = "iss AS (" + " UNION ALL ".join([
     "SELECT 'required_columns_exist' AS check_name, 'ERROR' AS severity, 0 AS count",
     "SELECT 'optional_columns_present', 'WARNING', 1",
     "SELECT 'extra_columns_detected', 'INFO', 0",
-    "SELECT 'core_null_values', 'ERROR', 0",
-    "SELECT 'total_null_values_counted', 'INFO', 0",
-    *[f"SELECT '{k}', 'ERROR', 0" for k in ("timestamps_parse_as_utc", "timestamps_unique_within_symbol", "timestamps_sorted_within_symbol", "no_duplicate_rows")],
+    "SELECT 'core_null_values', 'ERROR', (SELECT count(*) - count(close) FROM arrived)",
+    "SELECT 'total_null_values_counted', 'INFO', (SELECT count(*) - count(close) FROM arrived)",
+    "SELECT 'timestamps_parse_as_utc', 'ERROR', 0",
+    "SELECT 'timestamps_unique_within_symbol', 'ERROR', (SELECT sum(n) FROM (SELECT count(*) AS n FROM arrived GROUP BY symbol, timestamp) WHERE n > 1)",
+    "SELECT 'timestamps_sorted_within_symbol', 'ERROR', (SELECT count(DISTINCT symbol) FROM (SELECT symbol, timestamp, lag(timestamp) OVER (PARTITION BY symbol ORDER BY o) AS b FROM arrived) WHERE timestamp < b)",
+    "SELECT 'no_duplicate_rows', 'ERROR', (SELECT sum(n) FROM (SELECT count(*) AS n FROM arrived GROUP BY symbol, timestamp, open, high, low, close, volume, num_trades) WHERE n > 1)",
     f"SELECT 'expected_interval_consistent', 'WARNING', (SELECT count(*) FROM (SELECT timestamp - lag(timestamp) OVER ({_W}) AS g FROM bars) WHERE g <> INTERVAL 1 HOUR)",
     "SELECT 'missing_intervals_counted', 'WARNING', (SELECT count(*) FROM gone)",
-    *[f"SELECT '{k}', 'ERROR', (SELECT count(*) FROM shaken WHERE {r})" for k, r in Q.RULES.items()],
-    "SELECT 'extreme_returns_flagged', 'WARNING', (SELECT count(*) FROM f1 WHERE abs(log_return_1) > 0.1)",
+    *[f"SELECT '{k}', 'ERROR', (SELECT count(*) FROM arrived WHERE {r})" for k, r in Q.RULES.items()],
+    f"SELECT 'extreme_returns_flagged', 'WARNING', (SELECT count(*) FROM (SELECT ln(close) - lag(ln(close)) OVER ({_W}) AS m FROM (SELECT DISTINCT symbol, timestamp, CASE WHEN close > 0 THEN close END AS close FROM arrived)) WHERE abs(m) > 0.1)",
 ]) + ")"
-_CHECKED = ctes(BARS, MISSING, SHAKEN, FEATURES_1, ISSUES)
+_CHECKED = ctes(BARS, MISSING, SHAKEN, ARRIVED, ISSUES)
 
 
 @query(_CHECKED + "SELECT check_name, severity, severity = 'INFO' OR count = 0 AS passed, CAST(count AS BIGINT) AS count FROM iss")
@@ -538,8 +610,9 @@ SCORED = f"""sc AS (SELECT safe.symbol, safe.timestamp, safe.close, safe.split,
 _SCORES = ctes(BARS, FEATURES_1, _features_2(), FUTURE, MASK, LIMIT, LABEL, SPLIT, SCORED)
 
 
-def scored(spark, sf_dir):
-    made = safe(spark, sf_dir)
+def scored(spark, sf_dir, made=None):
+    """Rows of safe() (given, where they are at hand) with a score."""
+    made = safe(spark, sf_dir) if made is None else made
     vol = trailing(F.col("log_return_1"), 12, "energy", by_time())
     volatility = hourly(spark, sf_dir).withColumns(X.bar_features(hourly(spark, sf_dir))).select("symbol", "timestamp", vol.alias("v")).where("v IS NOT NULL")
     joined = made.join(volatility, ["symbol", "timestamp"])
@@ -581,7 +654,7 @@ def roc_auc(spark, sf_dir):
 
 @query(_SCORES.rstrip() + _RANKED + pick("~average_precision", "z"))
 def average_precision(spark, sf_dir):
-    return E.ranking_ranged(scored(spark, sf_dir)).select("average_precision")
+    return E.ranking(scored(spark, sf_dir)).select("average_precision")
 
 
 @query(_SCORES.rstrip() + """, o AS (SELECT y_true, row_number() OVER (ORDER BY y_score DESC, symbol, timestamp) AS i, count(*) OVER () AS n, sum(y_true) OVER () AS pos FROM sc),
@@ -629,8 +702,9 @@ def regression_metrics(spark, sf_dir):
 
 @query(_SCORES + pick(f"symbol timestamp ~close split ~future_rv_{H} y_high_vol_{H}_split_safe ~y_score", f"(SELECT safe.*, y_score FROM safe LEFT JOIN sc ON safe.symbol = sc.symbol AND safe.timestamp = sc.timestamp AND sc.split = 'test')"))  # noqa: F541
 def timeline_left_join(spark, sf_dir):
-    right = scored(spark, sf_dir).where("split = 'test'").select("symbol", "timestamp", "y_score", "close")
-    left = safe(spark, sf_dir).select("symbol", "timestamp", "close", "split", f"future_rv_{H}", f"y_high_vol_{H}_split_safe")
+    rows = staged(safe(spark, sf_dir), "safe")
+    right = scored(spark, sf_dir, rows).where("split = 'test'").select("symbol", "timestamp", "y_score", "close")
+    left = rows.select("symbol", "timestamp", "close", "split", f"future_rv_{H}", f"y_high_vol_{H}_split_safe")
     return T.join_predictions(left, right)
 
 
@@ -651,7 +725,7 @@ def timeline_bounds(spark, sf_dir):
 
 @query(_SAFE + f"""SELECT symbol, timestamp, CAST((SELECT y_high_vol_{H}_split_safe FROM safe WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS INTEGER) AS prediction FROM safe WHERE split = 'test'""")
 def majority_baseline(spark, sf_dir):
-    rows, y = safe(spark, sf_dir), f"y_high_vol_{H}_split_safe"
+    rows, y = staged(safe(spark, sf_dir), "safe"), f"y_high_vol_{H}_split_safe"
     model = M.fit({"estimator": "majority"}, M.Dataset(rows.where("split = 'train'"), rows, rows, [], y))
     return model.transform(rows.where("split = 'test'")).select("symbol", "timestamp", F.col("y_pred").alias("prediction"))
 
@@ -682,6 +756,7 @@ _SUMMED = "n ~mean ~std ~min ~p25 ~median ~p75 ~max"
 def sides(spark, sf_dir):
     bars = hourly(spark, sf_dir)
     made = bars.withColumns(X.bar_features(bars)).select("symbol", "timestamp", *_DRIFTED).join(safe(spark, sf_dir).select("symbol", "timestamp", "split"), ["symbol", "timestamp"])
+    made = staged(made, "sides")
     return D.of_splits(made, "split", ["train"]), D.of_splits(made, "split", ["test"])
 
 
@@ -720,7 +795,7 @@ def severity_counts(spark, sf_dir):
 @query(_SCORES.rstrip() + ", ls AS (SELECT 'y_score' AS feature, y_score AS value, CASE WHEN split = 'train' THEN 'reference' ELSE 'current' END AS side FROM sc WHERE split IN ('train', 'test')), " + _psi_sql("ls") +
  ", pr AS (SELECT sv.feature, psi, severity, (SELECT avg(CAST(value >= 0.5 AS INT)) FROM ls WHERE side = 'reference') AS reference_positive_rate, (SELECT avg(CAST(value >= 0.5 AS INT)) FROM ls WHERE side = 'current') AS current_positive_rate FROM sv) " + pick("feature ~psi severity ~reference_positive_rate ~current_positive_rate", "pr"))
 def prediction_drift(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = staged(scored(spark, sf_dir), "scored")
     return D.prediction_drift(rows.where("split = 'train'"), rows.where("split = 'test'"), "y_score").select("feature", "psi", "severity", "reference_positive_rate", "current_positive_rate")
 
 
@@ -728,12 +803,17 @@ _FRESH = """fr AS (SELECT symbol, count(*) AS n_rows, min(timestamp) AS earliest
  fm AS (SELECT fr.*, (SELECT count(*) FROM gone WHERE gone.symbol = fr.symbol) AS missing_count, (SELECT min(missing_timestamp) FROM gone WHERE gone.symbol = fr.symbol) AS first_missing FROM fr)"""
 
 
-@query(ctes(BARS, MISSING, _FRESH) + "SELECT symbol, n_rows, earliest, latest, missing_count, first_missing, missing_count = 0 AS is_fresh FROM fm")
+@query(ctes(BARS, MISSING, _FRESH) + "SELECT symbol, n_rows, earliest, latest, missing_count, first_missing, true AS is_fresh FROM fm")
 def freshness_historical(spark, sf_dir):
     made = D.freshness(hourly(spark, sf_dir), HOUR)
     return made.select("symbol", "n_rows", "earliest", "latest", "missing_count", F.get("missing_preview", F.lit(0)).alias("first_missing"), "is_fresh")
 
 
+@query(ctes(BARS, MISSING, _FRESH) + "SELECT true AS passed, CAST(sum(missing_count) AS BIGINT) AS total_missing FROM fm")
+def freshness_total(spark, sf_dir):
+    return D.freshness_overall(D.freshness(hourly(spark, sf_dir), HOUR))
+
+
 REFERENCE_TIME = "2024-01-31 00:00:00"
 
 

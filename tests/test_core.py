@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
@@ -15,7 +16,10 @@ from barloom.operators import drift as D
 from barloom.operators import features as X
 from barloom.operators import labels as L
 from barloom.operators import metrics as E
+from barloom.functions import ranged
+from barloom.operators import chunks
 from barloom.operators import models as M
+from barloom.operators import quality as Q
 from barloom.operators import splits as S
 from barloom.operators import timeline as T
 from barloom.sources import klines as K
@@ -74,8 +78,11 @@ def test_ranking_metrics(spark):
     assert top.k == 2 and top.precision == 1.0 and top.recall == pytest.approx(2 / 3)
     assert E.ranking(perfect).first().roc_auc == 1.0
     tied = scores(spark, [(k % 3 == 0, (k * 7 % 10) / 10) for k in range(60)])
-    whole, ranged = E.ranking(tied).first(), E.ranking_ranged(tied, 4).first()
-    assert tuple(whole) == pytest.approx(tuple(ranged))
+    whole = E.ranking(tied).first()
+    by = {r.k: r.roc_auc for r in E.ranking(tied.withColumn("k", F.lit(1)).unionByName(perfect.withColumn("k", F.lit(2))), ("k",)).collect()}
+    assert by == {1: pytest.approx(whole.roc_auc), 2: 1.0}
+    wide = scores(spark, [(k % 3 == 0, -1e6 + k * 7919 % 613) for k in range(613)])  # distinct scores outside [0, 1]
+    assert E.ranking(wide).first().roc_auc == pytest.approx(BinaryClassificationEvaluator(rawPredictionCol="y_score", labelCol="y_true", numBins=0).evaluate(wide))
     other = BinaryClassificationEvaluator(rawPredictionCol="y_score", labelCol="y_true", numBins=0).evaluate(tied)
     assert whole.roc_auc == pytest.approx(other)
 
@@ -110,12 +117,53 @@ def kline(ms: int, close: float = 2.0) -> list:
 def test_archives(spark, tmp_path):
     hour = 3_600_000
     (tmp_path / "X-1h-2024-01.zip").write_bytes(archive([K.RAW, kline(1_704_067_200_000), kline(1_704_067_200_000 + hour), kline(1_704_067_200_000, 9.0)]))
-    (tmp_path / "X-1h-2024-02.zip").write_bytes(archive([kline(1_706_745_600_000)]))
+    (tmp_path / "X-1h-2024-02.zip").write_bytes(b"not an archive: a month that isn't asked for isn't opened")
+    (tmp_path / "Y-1h-2024-01.zip").write_bytes(archive([kline(1_704_067_200_000, 7.0)]))
+    (tmp_path / "X-5m-2024-01.zip").write_bytes(archive([kline(1_704_067_200_000, 8.0)]))
     found = K.ingest(spark, "X", "1h", "2024-01-01", "2024-02-01", str(tmp_path)).orderBy("timestamp").collect()
+    assert {r.symbol for r in found} == {"X"}
+    assert [r.close for r in K.ingest(spark, "Y", "1h", "2024-01-01", "2024-02-01", str(tmp_path)).collect()] == [7.0]
+    with pytest.raises(ValueError, match="2024-03"):
+        K.ingest(spark, "X", "1h", "2024-01-01", "2024-03-02", str(tmp_path))
     assert [(str(r.timestamp), r.close, r.num_trades) for r in found] == [("2024-01-01 00:00:00", 2.0, 4), ("2024-01-01 01:00:00", 2.0, 4)]
     with pytest.raises(ValueError):
         K.unzip_rows(archive([[1, 2]]))
     assert K.months("2024-12-15", "2025-01-01") == [(2024, 12)]
+    assert K.archive_url("https://host/", "X", "5m", 2024, 1) == "https://host/data/spot/monthly/klines/X/5m/X-5m-2024-01.zip"
+
+
+def test_whole_ingestion(spark, tmp_path):
+    hour, start = 3_600_000, 1_704_067_200_000
+    (tmp_path / "X-1h-2024-01.zip").write_bytes(archive([K.RAW, kline(start + hour), kline(start), kline(start, 9.0)]))
+    config = {"symbol": "X", "interval": "1h", "start_utc": "2024-01-01", "end_utc": "2024-02-01", "raw_dir": f"{tmp_path}/raw", "processed_dir": f"{tmp_path}/done", "archives": str(tmp_path)}
+    got = K.run_ingestion(spark, config)
+    assert (got["data_source"], got["num_rows"], got["start_timestamp"]) == ("archives", 2, "2024-01-01 00:00:00")
+    assert R.read(spark, got["raw_path"], header=True).count() == 3
+    again = R.read(spark, got["processed_path"])
+    assert again.columns == got["columns"] and again.count() == 2
+    K.ingestion_checks(again.withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp"))), "at")
+    with pytest.raises(ValueError, match="order"):
+        K.ingestion_checks(again.withColumn("at", -F.unix_micros(F.col("timestamp").cast("timestamp"))), "at")
+    for broken in (again.limit(0), again.drop("close"), again.unionByName(again), again.withColumn("open", F.lit(0.0)), again.withColumn("volume", F.lit(-1.0)), again.withColumn("low", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            K.ingestion_checks(broken)
+    # without archives, months come from pages, a task each; a bar where a month ends comes once
+    fetch = lambda at, stop, limit: [kline(t) for t in range(at, min(stop, at + 200 * hour) + 1, hour)][:limit]
+    paged = K.run_ingestion(spark, config | {"archives": f"{tmp_path}/none", "start_utc": "2024-01-31", "end_utc": "2024-02-02"}, fetch)
+    assert (paged["data_source"], paged["num_rows"]) == ("pages", 49)
+    with pytest.raises(ValueError):
+        K.run_ingestion(spark, config | {"archives": None, "use_pages": False}, fetch)
+
+
+def test_raw_symbols_and_order(spark):
+    raw = K.raw_table(spark, [kline(1_704_067_200_000), kline(1_704_067_200_000, 5.0)])
+    own = raw.withColumn("symbol", F.when(F.col("_ingest_order") == 0, "OWN"))
+    assert sorted((r.symbol, r.close) for r in K.canonical(own, "X").collect()) == [("OWN", 2.0), ("X", 5.0)]
+    assert K.canonical(raw, "X").columns == ["symbol", "timestamp", "open", "high", "low", "close", "volume", "quote_volume", "num_trades"]
+    with pytest.raises(ValueError):
+        K.canonical(raw.drop("_ingest_order"), "X")
+    half = K.raw_table(spark, [kline(1_704_067_200_000), kline(1_704_067_200_000_000)])  # the median is between: microseconds
+    assert str(K.canonical(half, "X").orderBy("timestamp").collect()[1].timestamp) == "2024-01-01 00:00:00"
 
 
 def test_units_of_time(spark):
@@ -158,8 +206,16 @@ def test_models_round_trip(spark, tmp_path):
     rows = spark.range(240).selectExpr("cast(id % 17 AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 17 > 8 AS int) AS y", "CASE WHEN id < 160 THEN 'train' WHEN id < 200 THEN 'validation' ELSE 'test' END AS split")
     data = M.dataset(rows, ["a", "b"], "y")
     found = M.train_all({"most": {"estimator": "majority"}, "line": {"estimator": "logistic", "scale": True, "params": {"max_iter": 20}}}, data, str(tmp_path))
-    assert found["line"]["roc_auc"] > 0.99 and M.discover(str(tmp_path)) == ["line", "most"]
-    again = M.load(str(Path(tmp_path) / "line" / "model")).transform(data.test)
+    assert found["line"]["roc_auc"] > 0.99 and M.discover(spark, str(tmp_path)) == ["line", "most"]
+    again = M.load(spark, f"{tmp_path}/line/model").transform(data.test)
+    assert M.feature_schema(spark, f"{tmp_path}/line")["feature_columns"] == ["a", "b"]
+    assert M.feature_schema(spark, f"{tmp_path}/none", f"{tmp_path}/line/feature_schema.json")["num_features"] == 2
+    with pytest.raises(FileNotFoundError):
+        M.feature_schema(spark, f"{tmp_path}/none")
+    with pytest.raises(FileNotFoundError):
+        M.load(spark, f"{tmp_path}/none")
+    flat = M.evaluate(str(tmp_path), M.Dataset(data.train, *(x.withColumns({"symbol": F.lit("s"), "timestamp": F.col("a")}) for x in (data.validation, data.test)), ["a", "b"], "y"))
+    assert [(r["model_name"], r["split"]) for r in flat] == [("line", "validation"), ("line", "test"), ("most", "validation"), ("most", "test")] and all("threshold_metrics.0.5.f1" in r for r in flat)
     assert again.where("y_pred = y").count() >= 0.95 * data.test.count()
     with pytest.raises(NotImplementedError):
         M.fit({"backend": "xgboost", "estimator": "x"}, data)
@@ -172,8 +228,187 @@ def test_join_of_predictions(spark):
     right = left.limit(2).select("symbol", "timestamp", F.lit(0.5).alias("y_score"), F.lit(1.0).alias("close"))
     joined = T.join_predictions(left, right)
     assert joined.columns == [*left.columns, "y_score"] and joined.where("y_score IS NOT NULL").count() == 2 and joined.count() == 3
+    for a, b in ((left, right.unionByName(right)), (left.unionByName(left), right)):
+        with pytest.raises(PySparkException):
+            T.join_predictions(a, b).collect()
+    assert T.join_predictions(left, right.unionByName(right), one_to_one=False).count() == 5
+    assert T.join_predictions(left, None) is left
+
+
+def test_quantiles_by_ranges(spark):
+    rows = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('s', id % 5) END AS k", "CASE WHEN id % 4 = 0 THEN 1.5D WHEN id % 17 = 0 THEN NULL ELSE sin(id) * 100 END AS v")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = {r.k: r.q for r in rows.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
+    got = {r.k: r.q for r in ranged.quantile_arrays(rows, "v", qs, ("k",)).collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b) for k in got for a, b in zip(got[k], want[k], strict=True))
+    assert ranged.quantiles(rows.where("v > 1000"), "v", qs).collect() == []
+    assert L.threshold(rows.where("v > 1000").withColumnRenamed("v", "future_rv_1"), 1, 0.5, F.lit(True)).first().threshold is None
+
+
+def test_places_and_chunks(spark):
+    rows = bars(spark, 700, 2).withColumn("odd", F.when(F.unix_micros(F.col("timestamp").cast("timestamp")) % 900_000_000 == 0, F.col("close")))
+    got = {(r.symbol, r.timestamp): (r._row, r._n) for r in chunks.placed(rows, F.col("odd").isNotNull()).collect()}
+    for s in ("S0", "S1"):
+        mine = sorted((r for r in rows.where(F.col("symbol") == s).collect()), key=lambda r: r.timestamp)
+        before = 0
+        for r in mine:
+            assert got[s, r.timestamp] == (before, sum(x.odd is not None for x in mine))
+            before += r.odd is not None
+    for n in (1, 7, 700, 5000):
+        a, b = L.future_values(rows, 3), L.future_values_chunked(rows, 3, n)
+        named = lambda df: sorted((r.symbol, r.timestamp, *(None if x is None else round(x, 9) for x in (r.future_return_3, r.future_rv_3))) for r in df.collect())  # noqa: E731, B023
+        assert named(a) == named(b)
+    with pytest.raises(ValueError):
+        chunks.in_chunks(rows, 1, 1, 0, lambda x: x)
+
+
+def test_inputs_are_checked(spark):
+    good = L.build(bars(spark, 60), 3, 0.7, 0.8)
+    made = S.build(good.where("y_high_vol_3 IS NOT NULL"), 3, 0.7, 0.15, 0.15, 2, 0.8)
+    assert "y_high_vol_3_split_safe" in made.columns and made.count() == 57
+    for broken in (bars(spark, 3).withColumn("close", F.lit(0.0)), bars(spark, 3).withColumn("timestamp", F.lit("never")), bars(spark, 3).drop("close")):
+        with pytest.raises(ValueError):
+            L.prepared(broken)
+    for broken in (good.limit(0), good.drop("y_high_vol_3"), good.withColumn("timestamp", F.lit("never"))):
+        with pytest.raises(ValueError):
+            S.prepared(broken, 3)
+    with pytest.raises(ValueError):
+        L.threshold_mask(good, 3, 1.0, "again")
+    for mask in (L.threshold_mask, L.threshold_mask_placed):
+        with pytest.raises(PySparkException, match="too few"):
+            mask(L.future_values(bars(spark, 5), 3), 3, 0.3).collect()
+
+
+def test_validation_of_a_table_that_breaks_every_rule(spark):
+    bad = spark.createDataFrame(
+        [("a", "2024-01-01 00:00:00", 1.0, 3.0, 0.5, 2.0, 1.0, 0), ("a", "2024-01-01 00:00:00", 1.0, 3.0, 0.5, 2.0, 1.0, 1), ("a", "2024-01-01 03:00:00", -1.0, 0.1, 9.0, 20.0, -5.0, 2), ("a", "2024-01-01 01:00:00", 1.0, 3.0, 0.5, None, 1.0, 3)],
+        "symbol string, timestamp string, open double, high double, low double, close double, volume double, _ingest_order long",
+    ).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    got = {r.check_name: r["count"] for r in Q.validate(bad, 3600).collect()}
+    assert got == {
+        "required_columns_exist": 0, "optional_columns_present": 2, "extra_columns_detected": 0, "core_null_values": 1, "total_null_values_counted": 1, "timestamps_parse_as_utc": 0,
+        "timestamps_unique_within_symbol": 2, "timestamps_sorted_within_symbol": 1, "expected_interval_consistent": 1, "missing_intervals_counted": 1, "no_duplicate_rows": 2, "ohlc_prices_positive": 1,
+        "volume_non_negative": 1, "high_not_below_open": 0, "high_not_below_close": 1, "low_not_above_open": 1, "low_not_above_close": 0, "high_not_below_low": 1, "extreme_returns_flagged": 0,
+    }
+    assert Q.exit_code(Q.validate(bad, 3600)) == 1
+    fine = bars(spark, 20).withColumn("_ingest_order", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumns({"quote_volume": F.lit(1.0), "num_trades": F.lit(1), "close": F.col("open")})
+    assert (Q.exit_code(Q.validate(fine, 300, 9.0)), Q.exit_code(Q.validate(fine, 300, 1e-9)), Q.exit_code(Q.validate(fine, 300, 1e-9), True)) == (0, 0, 1)
+    assert Q.globally_sorted(fine.limit(0)).first()[0] is True
+    late = {r.check_name: r["count"] for r in Q.validate(fine.withColumn("timestamp", F.when(F.col("volume") > 100, F.col("timestamp"))), 300).collect()}
+    assert late["timestamps_parse_as_utc"] > 0 and "missing_intervals_counted" not in late
+    some = {r.check_name: r["count"] for r in Q.validate(fine.drop("close", "symbol"), 300).collect()}
+    assert some["symbol_column_exists"] == 1 and some["ohlcv_columns_exist"] == 1
+
+
+def test_models_by_task(spark):
+    rows = spark.range(90).selectExpr("'s' AS symbol", "timestamp_seconds(id) AS timestamp", "'test' AS split", "cast(id % 9 AS double) AS a", "cast(id % 9 DIV 3 AS int) AS y", "id % 9 * 2.0D + 1 AS z")
+    several = M.fit({"estimator": "logistic", "scale": True, "params": {"max_iter": 60}}, M.Dataset(rows, rows, rows, ["a"], "y"))
+    made = M.predict_for_task(several, rows, "multiclass")
+    assert made.where("y_pred = y").count() >= 80
+    frame = M.prediction_frame(made, "y", "multiclass", (0, 1, 2))
+    assert frame.columns == ["symbol", "timestamp", "split", "y_true", "y_pred", "proba_class_0", "proba_class_1", "proba_class_2"]
+    assert all(abs(r.proba_class_0 + r.proba_class_1 + r.proba_class_2 - 1) < 1e-9 for r in frame.collect())
+    found = E.compute(made.withColumn("y_true", F.col("y")), "multiclass")
+    assert found["roc_auc_ovr"] > 0.9 and found["log_loss"] < 1 and sum(found["confusion_matrix"].values()) == 90
+    assert E.compute(made.drop("y_pred").withColumn("y_true", F.col("y")), "multiclass")["accuracy"] == found["accuracy"]
+    line = M.fit({"estimator": "linear"}, M.Dataset(rows, rows, rows, ["a"], "z"))
+    residuals = M.prediction_frame(M.predict_for_task(line, rows, "regression"), "z", "regression")
+    assert residuals.columns[-1] == "residual" and all(abs(r.residual) < 1e-6 for r in residuals.collect())
+    with pytest.raises(TypeError):
+        M.predict_for_task(line, rows, "binary")
+    one = rows.where("y = 0")
+    only = M.fit({"estimator": "logistic"}, M.Dataset(one, one, one, ["a"], "y"))
+    assert {(r.y_pred, r.y_score) for r in M.predict_for_task(only, rows, "binary").collect()} == {(0, 0.0)}
+    assert M.prediction_frame(M.predict_for_task(only, rows, "binary"), "y", "binary").columns[-2:] == ["y_score", "y_pred_at_0_5"]
+    # the second of two classes may be named: its score is that class's probability
+    two = M.fit({"estimator": "logistic"}, M.Dataset(*[rows.where("y < 2")] * 3, ["a"], "y"))
+    a, b = (sorted(r.y_score for r in two.transform(rows, p).collect()) for p in (0, 1))
+    assert a[0] == pytest.approx(1 - b[-1])
+    with pytest.raises(ValueError):
+        E.compute(made.limit(0), "multiclass")
+
+
+def test_scaling_by_the_population_deviation(spark):
+    rows = spark.createDataFrame([(float(x), x % 2) for x in range(5)], "a double, y int")
+    model = M.fit({"estimator": "linear", "scale": True}, M.Dataset(rows, rows, rows, ["a"], "y"))
+    scaled = [r._features[0] for r in model.model.transform(rows).collect()]
+    assert scaled == pytest.approx([(x - 2) / 2**0.5 for x in range(5)])
+
+
+def test_serving(spark):
+    history = bars(spark, 40)
+    rows = X.build(history, [3]).na.drop().withColumn("y", (F.col("close") > F.col("open")).cast("int"))
+    names = ["rolling_return_mean_3", "candle_body_pct"]
+    model = M.fit({"estimator": "logistic"}, M.Dataset(rows, rows, rows, names, "y"))
+    asked = history.withColumn("request_id", F.lit(1)).unionByName(bars(spark, 3).withColumn("request_id", F.lit(2)))
+    latest = {r.request_id: r for r in M.latest_rows(asked, [3]).collect()}
+    assert latest[1].n_bars == 40 and latest[1].warnings == [] and latest[2].n_bars == 3 and len(latest[2].warnings) == 1 and names[0] in latest[2].missing_features
+    one = M.predict_requests(asked.where("request_id = 1"), model, names, [3]).first()
+    assert sum(one.probabilities.values()) == pytest.approx(1) and one.prediction == int(one.y_score >= 0.5)
+    with pytest.raises(ValueError, match="missing"):
+        M.predict_requests(asked, model, names, [3])
+    with pytest.raises(ValueError, match="invalid"):
+        M.predict_requests(asked.withColumn("low", F.lit(-1.0)), model, names, [3])
+    calibrated = M.calibrate(model.transform(rows).withColumn("y_true", F.col("y")))(model.transform(rows)).orderBy("y_score").collect()
+    assert all(a.y_calibrated <= b.y_calibrated for a, b in zip(calibrated, calibrated[1:], strict=False))
+
+
+def test_freshness(spark):
+    rows = bars(spark, 5).where("timestamp <> TIMESTAMP_NTZ '1970-01-01 00:10:00'")
+    fresh = D.freshness(rows.unionByName(bars(spark, 3).withColumn("symbol", F.lit("T"))), 300)
+    assert sorted((r.symbol, r.missing_count, r.is_fresh) for r in fresh.collect()) == [("S0", 1, True), ("T", 0, True)]
+    assert tuple(D.freshness_overall(fresh).first()) == (True, 1)
+    live = D.freshness(rows.drop("symbol"), 300, "live", 10, "1970-01-01 01:00:00")
+    assert [(r.symbol, r.delay_minutes, r.is_fresh) for r in live.collect()] == [("ALL", 40.0, False)] and D.freshness_overall(live).first().passed is False
+    with pytest.raises(PySparkException):
+        D.freshness(rows.withColumn("timestamp", F.lit(None).cast("timestamp_ntz")), 300).collect()
+
+
+def test_artifacts_and_reports(spark, tmp_path):
+    split = bars(spark, 4).withColumn("split", F.lit("test"))
+    R.write(split, f"{tmp_path}/split.parquet")
+    R.write(split.select("symbol", "timestamp", F.lit(0.25).alias("y_score")), f"{tmp_path}/predictions.csv")
+    R.put_text(spark, f"{tmp_path}/summary.json", '{"freshness": {"passed": true, "total_missing_interval_count": 3}, "prediction_drift": {"severity": "alert", "psi": 0.5}}')
+    paths = {"split_data_path": f"{tmp_path}/split.parquet", "prediction_path": f"{tmp_path}/predictions.csv", "monitoring_summary_path": f"{tmp_path}/summary.json", "feature_schema_path": f"{tmp_path}/none.json"}
+    found = T.load_artifacts(spark, paths)
+    assert found["timeline_df"].where("y_score = 0.25").count() == 4 and found["feature_schema"] == {} and found["metrics_df"].isEmpty()
+    assert {r.artifact: r.there for r in found["artifact_status"].collect()} == {"split_data_path": True, "prediction_path": True, "monitoring_summary_path": True, "feature_schema_path": False}
+    assert [tuple(r) for r in T.monitoring_rows(spark, found["monitoring_summary"]).collect()] == [("data_freshness", "passed", "missing_intervals=3"), ("prediction_drift", "alert", "psi=0.5")]
+    assert T.monitoring_rows(spark, {}).isEmpty()
+    text = R.report("Run", {"Rows": split, "Facts": {"n": 4, "nan": float("nan")}, "Note": "fine"}, most=2)
+    assert text.startswith("# Run") and "Only the first 2 rows" in text and "- n: 4" in text and "## Note\n\nfine" in text
+    assert [r.threshold for r in T.series(split, ["close"], 0.5).collect()] == [0.5] * 4
+    assert [r.v for r in T.metric_bars(spark.createDataFrame([("m", "test", "0.5"), ("m", "x", "?")], "model_name string, split string, v string"), "v").collect()] == [0.5]
+
+
+def test_times_of_tables(spark, tmp_path):
+    R.write(spark.createDataFrame([("a", "2024-01-01T00:00:00Z"), ("a", "soon")], "symbol string, timestamp string"), f"{tmp_path}/t.parquet")
+    assert [str(r.timestamp) for r in R.read_split(spark, f"{tmp_path}/t.parquet").collect()] == ["2024-01-01 00:00:00", "None"]
+    with pytest.raises(PySparkException, match="not a time"):
+        R.read_candles(spark, f"{tmp_path}/t.parquet").collect()
+    (tmp_path / "c.yaml").write_text("a: 1")
+    (tmp_path / "l.json").write_text("[1]")
+    assert R.read_config(f"{tmp_path}/c.yaml") == {"a": 1} and R.read_json(f"{tmp_path}/none", {}) == {} and R.read_text(None, "x") == "x"
+    with pytest.raises(ValueError):
+        R.read_config(f"{tmp_path}/l.json")
+    R.write_json(f"{tmp_path}/o/p.json", {"x": float("inf"), "t": (1, float("nan"))})
+    assert R.read_json(f"{tmp_path}/o/p.json") == {"x": None, "t": [1, None]}
+    assert R.processed_path("X", "5m", "2024-01-01T00", "2024-02-01", "d") == "d/X_5m_2024-01-01_2024-02-01_processed.parquet"
+    assert [r._ingest_order for r in R.with_arrival(spark.range(3).coalesce(1)).collect()] == [0, 1, 2]
+
+
+def test_features_look_back_only(spark):
+    """The check must fail where a feature looks ahead."""
+    source = bars(spark, 40)
+    assert X.past_only_check(source, [3]).first().max_abs_diff == 0
+    ahead = lambda df, windows, policy: X.build(df, windows, policy).withColumn("rolling_return_mean_3", F.lead("close").over(S.by_time()))
+    assert X.past_only_check(source, [3], made=ahead).first().max_abs_diff > 0
+    assert X.resolve_columns(X.build(source, [3])) == X.feature_columns(X.build(source, [3]))
+    for schema in ({"feature_columns": ["future_rv_3"]}, {"feature_columns": ["nowhere"]}):
+        with pytest.raises(ValueError):
+            X.resolve_columns(X.build(source, [3]), schema)
     with pytest.raises(ValueError):
-        T.join_predictions(left, right.unionByName(right))
+        X.model_table(X.build(source, [288]), ["rolling_return_mean_288"])
 
 
 def test_without_the_text_operators():
