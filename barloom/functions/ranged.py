@@ -1,5 +1,7 @@
-"""Order statistics of columns that fit no single task: rows are dealt by ranges of the ordered column, each range adds up its own
-rows, and starts from the totals of the ranges before it (one row per range and group)."""
+"""Order statistics of columns that may fit no single task: rows are dealt by ranges of the ordered column, each range adds up its
+own rows, and starts from the totals of the ranges before it (one row per range and group). Up to SMALL distinct rows, which are
+counted first, one task holds them; both ways give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +11,19 @@ from pyspark.sql import functions as F
 from barloom.sources.staging import staged
 
 
-def running(df: DataFrame, order: str, sums: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+#: Distinct rows that one task may hold.
+SMALL = 1 << 20
+
+
+def running(df: DataFrame, order: str, sums: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = False, small: int = SMALL) -> DataFrame:
     """Rows of distinct (by, order) with upto_<c> (the sum of c over rows up to and with this one, in order) and all_<c> (the sum
     over all rows) for each c in sums. Written to the shared folder. Ranges are sampled from the rows."""
     spark = df.sparkSession
+    df = staged(df, "counted")
     key = F.col(order).desc() if descending else F.col(order).asc()
+    if df.count() <= small:
+        upto, whole = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+        return df.withColumns({f"upto_{c}": F.sum(c).over(upto) for c in sums} | {f"all_{c}": F.sum(c).over(whole) for c in sums})
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     within = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     ranged = df.repartitionByRange(n, *by, key).withColumn("_range", F.spark_partition_id())
@@ -28,27 +38,30 @@ def running(df: DataFrame, order: str, sums: tuple[str, ...], by: tuple[str, ...
     return joined.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"_before_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
-def quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+def quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """(by, q, value): exact quantiles with linear interpolation, as F.percentile gives, for each group; nulls don't count.
 
     Equal values are counted before they are dealt, so a value that a third of the rows have is one row. Without values there are
     no rows.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ran = running(counted, "_v", ("_n",), by)
+    counted = staged(df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    asked = F.array(*[F.lit(float(q)) for q in qs])
+    if counted.count() <= small:
+        found = counted.groupBy(*by).agg(F.percentile("_v", asked, F.col("_n")).alias("_p")).where("_p IS NOT NULL")
+        return found.select(*by, F.explode(F.arrays_zip(asked.alias("q"), F.col("_p").alias("value"))).alias("_z")).select(*by, "_z.*")
+    ran = running(counted, "_v", ("_n",), by, small=small)
     # a value stands at the places upto - n .. upto - 1
-    asked = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
     at = (F.col("all__n") - 1) * F.col("q")
     first, last = F.col("upto__n") - F.col("_n"), F.col("upto__n") - 1
-    near = ran.select(*by, "_v", "_n", "upto__n", "all__n", asked).where((first <= F.ceil(at)) & (last >= F.floor(at)))
+    near = ran.select(*by, "_v", "_n", "upto__n", "all__n", F.explode(asked).alias("q")).where((first <= F.ceil(at)) & (last >= F.floor(at)))
     low, high = (F.max(F.when((first <= e) & (last >= e), F.col("_v"))) for e in (F.floor(at), F.ceil(at)))
     got = near.groupBy(*by, "q").agg(low.alias("_low"), high.alias("_high"), F.max(at - F.floor(at)).alias("_part"))
     return got.select(*by, "q", (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias("value"))
 
 
-def quantile_arrays(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+def quantile_arrays(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
     """(by, q): the quantiles of each group as an array, in the order of qs. One row per group."""
-    made = quantiles(df, column, qs, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("_m"))
+    made = quantiles(df, column, qs, by, small).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("_m"))
     return made.select(*by, F.array(*[pick("_m", q) for q in qs]).alias("q"))
 
 

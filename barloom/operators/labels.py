@@ -12,20 +12,27 @@ from barloom.operators.bars import coerced, require
 from barloom.sources.staging import staged
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """Input of labels in canonical types. Raises on missing columns, null times or closes, and closes at or below 0."""
-    require(df, ("symbol", "timestamp", "close"), "labels")
-    out = coerced(df)
-    bad = out.agg(F.count_if(F.col("timestamp").isNull() | F.col("close").isNull() | (F.col("close") <= 0))).first()[0]
+def _checked(df: DataFrame) -> DataFrame:
+    bad = df.agg(F.count_if(F.col("timestamp").isNull() | F.col("close").isNull() | (F.col("close") <= 0))).first()[0]
     if bad:
         raise ValueError(f"{bad} rows have a null time or close, or a close at or below 0")
-    return out
+    return df
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    require(df, ("symbol", "timestamp", "close"), "labels")
+    return coerced(df)
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """Input of labels in canonical types. Raises on missing columns, null times or closes, and closes at or below 0."""
+    return _checked(_typed(df))
 
 
 def build(df: DataFrame, h: int, fraction: float, q: float) -> DataFrame:
-    """future_return_h, future_rv_h, used_for_label_threshold and y_high_vol_h of bars. The mask is written once: the threshold and
-    the labels read it."""
-    made = staged(threshold_mask(future_values(prepared(df), h), h, fraction), "masked")
+    """future_return_h, future_rv_h, used_for_label_threshold and y_high_vol_h of bars, checked as prepared() does. The mask is written
+    once: the checks, the threshold and the labels read it."""
+    made = _checked(staged(threshold_mask(future_values(_typed(df), h), h, fraction), "masked"))
     return binary_label(made, h, threshold(made, h, q, "used_for_label_threshold"))
 
 

@@ -15,19 +15,27 @@ SPLITS = ("train", "purge_train_validation", "validation", "purge_validation_tes
 MODEL_SPLITS = ("train", "validation", "test")
 
 
-def prepared(df: DataFrame, h: int) -> DataFrame:
-    """Input of splits, with UTC times. Raises on missing columns, an empty table and null times."""
-    require(df, ("symbol", "timestamp", "close", f"future_rv_{h}", f"y_high_vol_{h}"), "splits")
-    out = with_times(df)
-    n, bad = out.agg(F.count(F.lit(1)), F.count_if(F.col("timestamp").isNull())).first()
+def _checked(df: DataFrame) -> DataFrame:
+    n, bad = df.agg(F.count(F.lit(1)), F.count_if(F.col("timestamp").isNull())).first()
     if bad or not n:
         raise ValueError(f"{bad} of {n} rows have a null time" if n else "no rows to split")
-    return out
+    return df
+
+
+def _typed(df: DataFrame, h: int) -> DataFrame:
+    require(df, ("symbol", "timestamp", "close", f"future_rv_{h}", f"y_high_vol_{h}"), "splits")
+    return with_times(df)
+
+
+def prepared(df: DataFrame, h: int) -> DataFrame:
+    """Input of splits, with UTC times. Raises on missing columns, an empty table and null times."""
+    return _checked(_typed(df, h))
 
 
 def build(df: DataFrame, h: int, train: float, validation: float, test: float, gap: int, q: float) -> DataFrame:
-    """split and y_high_vol_h_split_safe of labelled rows. The splits are written once: the threshold and the labels read them."""
-    made = staged(assign(prepared(df, h), train, validation, test, gap), "splits")
+    """split and y_high_vol_h_split_safe of labelled rows, checked as prepared() does. The splits are written once: the checks, the
+    threshold and the labels read them."""
+    made = _checked(staged(assign(_typed(df, h), train, validation, test, gap), "splits"))
     return safe_label(made, h, train_threshold(made, h, q))
 
 

@@ -11,13 +11,13 @@ from pyspark.errors import PySparkException
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from barloom.functions import ranged
 from barloom.operators import bars as B
 from barloom.operators import drift as D
 from barloom.operators import features as X
 from barloom.operators import labels as L
-from barloom.operators import metrics as E
-from barloom.functions import ranged
 from barloom.operators import chunks
+from barloom.operators import metrics as E
 from barloom.operators import models as M
 from barloom.operators import quality as Q
 from barloom.operators import splits as S
@@ -239,9 +239,14 @@ def test_quantiles_by_ranges(spark):
     rows = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('s', id % 5) END AS k", "CASE WHEN id % 4 = 0 THEN 1.5D WHEN id % 17 = 0 THEN NULL ELSE sin(id) * 100 END AS v")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     want = {r.k: r.q for r in rows.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
-    got = {r.k: r.q for r in ranged.quantile_arrays(rows, "v", qs, ("k",)).collect()}
-    assert got.keys() == want.keys() and all(a == pytest.approx(b) for k in got for a, b in zip(got[k], want[k], strict=True))
-    assert ranged.quantiles(rows.where("v > 1000"), "v", qs).collect() == []
+    for small in (0, 10**6):
+        got = {r.k: r.q for r in ranged.quantile_arrays(rows, "v", qs, ("k",), small).collect()}
+        assert got.keys() == want.keys() and all(a == pytest.approx(b) for k in got for a, b in zip(got[k], want[k], strict=True))
+        assert ranged.quantiles(rows.where("v > 1000"), "v", qs, small=small).collect() == []
+    counted = rows.where("v IS NOT NULL").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for down in (True, False):
+        a, b = (sorted(map(str, ranged.running(counted, "v", ("n",), ("k",), down, small).select("k", "v", "n", "upto_n", "all_n").collect())) for small in (0, 10**6))
+        assert a == b
     assert L.threshold(rows.where("v > 1000").withColumnRenamed("v", "future_rv_1"), 1, 0.5, F.lit(True)).first().threshold is None
 
 
