@@ -103,6 +103,20 @@ def coerce_types(spark, sf_dir):
     return B.coerced(raw).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of every user and hour: unlike those of the few event types they grow with the events."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts", "value", "event_id")
+    return B.from_events(events, "user", "ts", "value", "event_id")
+
+
+USER_BARS = _bars_sql("bars", "events", "CAST(user_id AS VARCHAR)", "ts", "value", "event_id", "hour")
+
+
+@query(ctes(USER_BARS) + pick(BAR_COLUMNS, "bars"))
+def bars_by_user(spark, sf_dir):
+    return by_user(spark, sf_dir)
+
+
 RANGE = ("2024-01-03 00:00:00", "2024-01-10 00:00:00")
 
 
@@ -230,6 +244,11 @@ def full_feature_table_chunked(spark, sf_dir):
     return X.build_chunked(hourly(spark, sf_dir), WINDOWS, 200).select("symbol", "timestamp", *BASE, *WINDOWED)
 
 
+@query(ctes(USER_BARS, FEATURES_1, _features_2(windows=[3])) + pick("symbol timestamp " + " ".join(f"~{c}" for c in BASE) + " ~rolling_return_mean_3 ~rolling_volume_std_3", "f2"))
+def features_by_user(spark, sf_dir):
+    return X.build(by_user(spark, sf_dir), [3]).select("symbol", "timestamp", *BASE, "rolling_return_mean_3", "rolling_volume_std_3")
+
+
 _SOUND = " AND ".join(f"{c} IS NOT NULL" for c in BASE + WINDOWED)
 
 

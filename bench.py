@@ -13,6 +13,7 @@ from barloom.plans import catalog
 HEADLINES = (
     "bars_hourly", "full_feature_table", "labeled_table", "split_summary", "walk_forward_folds",
     "missing_anti_join", "validation_summary", "binary_metrics", "psi_feature", "timeline_left_join",
+    "features_by_user",  # its rows grow with the events
 )
 
 
