@@ -43,7 +43,8 @@ def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bo
     """(page_id, url, payload, digest, refers_to): refers_to is set where a page with a larger id has the same payload.
 
     Null payloads are empty; null urls stay null; a null page_id counts as smallest, and is a response only where its payload
-    has no other page. Rows with the same page_id and payload count as the same page. Keys are counted without payloads, before
+    has no other page. Payloads are the same where their SHA-1 is, the digest that revisit records name. Rows with the same page_id
+    and payload count as the same page. Keys are counted without payloads, before
     any shuffle of them; the join back is by page, so no group of copies lands in one task.
     """
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
