@@ -81,7 +81,7 @@ def schedule(slots: dict[str | None, int], blocks: dict[str | None, int] | None
 
 def root_weight(rows: int) -> float:
     """The default target: the square root of a source's number of rows."""
-    return float(rows) ** 0.5
+    return math.sqrt(rows)
 
 
 def scheduled(totals: DataFrame, weights: dict[str | None, float] | None, period: int | None, block_rows: int) -> DataFrame:
@@ -107,7 +107,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
 
     Every row stays, and every column; names that start with mix_ raise. While all sources last, any start of the order holds each
     source to its weight within one block; when one is used up, its slots stay empty. Sources without a weight (or with none above
-    0) come after all others, in slot null. A null source is a source. Rows with equal ids are told apart by a hash of all their
+    0) come after all others, in slot null. A null source is a source. Rows of a source take its blocks in order of a digest of their
+    ids, whatever the number of partitions. Rows with equal ids are told apart by a hash of all their
     columns; rows that are equal in all are interchangeable. Only with a period are weights rounded, to whole slots of it.
     """
     spark = docs.sparkSession
@@ -116,9 +117,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         raise ValueError(f"columns named like those of the mix: {clash}")
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    spread = F.when(F.col(f"`{id_col}`").isNull(), hashed).otherwise(F.xxhash64(F.col(f"`{id_col}`")))
+    # 60 bits of a digest of the id; salts are ranges of it, so ranks don't depend on how many there are
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), hashed.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     salts = partitions(spark) * BLOCKS_PER_PARTITION
-    salted = rows.withColumns({"mix_source": F.col(source_col).cast("string"), "mix_salt": F.pmod(spread, F.lit(salts)).cast("int")})
+    salted = rows.withColumns({"mix_source": F.col(source_col).cast("string"), "mix_salt": F.shiftright(F.shiftright(spread, 40) * salts, 20).cast("int")})
     # rows of a source in smaller salts: one row for each source and salt
     counted = salted.groupBy("mix_source", "mix_salt").agg(F.count(F.lit(1)).alias("mix_n"))
     before = counted.selectExpr("mix_source", "mix_salt", "mix_n", "sum(mix_n) OVER (PARTITION BY mix_source ORDER BY mix_salt) - mix_n AS mix_before")

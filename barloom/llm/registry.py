@@ -123,6 +123,33 @@ SELECT page_id, payload_bytes, sha1(body) AS payload_digest, CASE WHEN target <>
 FROM judged
 """
 
+#: Slot by slot: of the released blocks that with the earliest deadline. Weights are square roots as whole numbers of 2^-52.
+OP7_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS spread FROM documents
+), ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY spread, doc_id) - 1 AS k FROM docs
+), sources AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS i, CAST((count(*) + 7) // 8 AS HUGEINT) AS blocks, CAST(sqrt(count(*)) * 4503599627370496 AS HUGEINT) AS r
+  FROM ranked GROUP BY source
+), weighted AS (
+  SELECT source, i, blocks, r, CAST(sum(r) OVER () AS HUGEINT) AS p FROM sources
+), bounded AS (
+  SELECT *, max((blocks * p + r - 1) // r) OVER () AS most FROM weighted
+), run AS (
+  SELECT CAST(0 AS HUGEINT) AS slot, i, r, p, most, CAST(0 AS HUGEINT) AS j,
+    first_value(i) OVER (ORDER BY (p + r - 1) // r, i) AS pick FROM bounded
+  UNION ALL
+  SELECT slot, i, r, p, most, j, first_value(i) OVER (ORDER BY CASE WHEN (j * p) // r <= slot THEN 0 ELSE 1 END, ((j + 1) * p + r - 1) // r, i) AS pick
+  FROM (SELECT slot + 1 AS slot, i, r, p, most, CASE WHEN i = pick THEN j + 1 ELSE j END AS j FROM run WHERE slot + 1 < most)
+), plan AS (
+  SELECT i, j, slot, (j * p) // r AS mix_release, ((j + 1) * p + r - 1) // r AS mix_deadline FROM run WHERE i = pick
+)
+SELECT doc_id, s.source AS source, CAST(k // 8 AS BIGINT) AS mix_block, CAST(mix_release AS BIGINT) AS mix_release, CAST(mix_deadline AS BIGINT) AS mix_deadline,
+  CAST(slot AS BIGINT) AS mix_slot, CAST(k % 8 AS INTEGER) AS mix_place
+FROM ranked d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source JOIN plan ON plan.i = s.i AND plan.j = k // 8
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -152,4 +179,4 @@ FROM sized LEFT JOIN least ON doc_id = u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repeated_strings": OP1_SQL, "op4_warc_archives": OP4_SQL, "op8_exact_top_k": OP8_SQL, "op10_jaccard_classes": OP10_SQL}
+    return {"op1_repeated_strings": OP1_SQL, "op4_warc_archives": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_jaccard_classes": OP10_SQL}
