@@ -35,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = jaccard.jaccard_classes(rows, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("of")).distinct()
     named = rows.select("row", "doc_id").distinct().join(classes, "row")
     first = named.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
-    again = Window.partitionBy("row").orderBy(*COLUMNS)  # rows that are equal in all columns, about
+    again = Window.partitionBy("row", *COLUMNS).orderBy("row")  # rows that are equal in all columns
     turn = rows.join(first.select("row"), "row", "left_semi").withColumn("turn", F.row_number().over(again))
     return turn.where("turn = 1").select(*COLUMNS)
 
