@@ -104,6 +104,7 @@ def scan(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_col: s
         # a written table has a known size: the planner broadcasts few names, and joins many by exchange
         scan_blobs(blobs(versions, text_col).join(unseen, "blob", "left_semi"), rule_version, name).write.mode("append").parquet(ledger)
     found = known().groupBy("blob").agg(F.first("base").alias("base"), F.first("spans").alias("spans"), F.bool_and(F.col("scan") == name).alias("scanned_now"))
+    found = through_table(found, "findings")  # written, so that the join's sides are dealt anew: a hot blob's paths can be split
     return paths.join(found, "blob").select("path", "blob", "base", "spans", "scanned_now")
 
 
