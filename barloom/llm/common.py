@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.staging import shared_folder
+from barloom.sources.staging import staged as through_table
+
+__all__ = ["block_count", "blocked", "pack", "partitions", "read_table", "scratch", "small", "split_by", "through_table", "unpack"]
+
 #: Groups that one shuffle partition takes when rows are grouped by block.
 BLOCKS_PER_PARTITION = 2
 #: Bytes of text in a block, about.
@@ -19,31 +23,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (as in tests);
-    on a cluster it raises, as a folder of one machine would lose what the others write."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            if context.master.partition("[")[0] != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-
-
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/barloom/{name}-{uuid.uuid4().hex}"
 
 
 def small(batches, rows: int = 500):
