@@ -5,6 +5,7 @@ import subprocess
 import sys
 import zipfile
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -24,6 +25,7 @@ from barloom.operators import splits as S
 from barloom.operators import timeline as T
 from barloom.sources import klines as K
 from barloom.sources import tables as R
+from barloom.sources.staging import shared_folder
 from barloom.streaming import bars as stream
 
 SCALE = "abs(sin(id * 0.7)) * 10 + 50"
@@ -416,6 +418,13 @@ def test_features_look_back_only(spark):
         X.model_table(X.build(source, [288]), ["rolling_return_mean_288"])
 
 
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": "s://all/"}, sparkContext=context)) == "s://all"
+
+
 def test_without_the_text_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
