@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard, licenses, mixing, pii, quality, repeats, search, secrets, warc
+from barloom.llm import bpe, jaccard, licenses, mixing, phrases, pii, quality, ranking, repeats, search, secrets, warc
 from barloom.llm.common import read_table
 
 
@@ -62,9 +62,17 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip,
-             op7_source_mix, op8_exact_top_k, op9_license_scan, op10_jaccard_classes)
+             op7_source_mix, op8_exact_top_k, op9_license_scan, op10_jaccard_classes, op12_collocations, op13_ranked_search)
     return {f.__name__: f for f in found}
 
 
@@ -178,5 +186,68 @@ FROM sized LEFT JOIN least ON doc_id = u
 """
 
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM words, (SELECT unnest([1, 2, 3, 4]) AS k)
+), counted AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS rest
+  FROM candidates, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k
+), scored AS (
+  SELECT u.lang, u.phrase, a, c, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts u JOIN counted l ON l.lang = u.lang AND l.phrase = u.head JOIN counted r ON r.lang = u.lang AND r.phrase = u.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inner_phrases AS (
+  SELECT lang, a AS by_a, unnest(list_concat([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)])) AS phrase
+  FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k
+), covered AS (
+  SELECT lang, phrase, max(by_a) AS by_a FROM inner_phrases GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN covered USING (lang, phrase) WHERE by_a IS NULL OR 100 * by_a < 80 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM terms WHERE len(t) > 0
+), sized AS (
+  SELECT doc_id, t, 75 + (25 * len(t) * docs) // total AS m FROM terms, whole WHERE len(t) > 0
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL
+), places AS (
+  SELECT doc_id, m, unnest(t) AS term FROM sized
+), postings AS MATERIALIZED (
+  SELECT doc_id, term, any_value(m) AS m, count(*) AS tf FROM places WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, whole GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repeated_strings": OP1_SQL, "op4_warc_archives": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_jaccard_classes": OP10_SQL}
+    return {"op12_collocations": OP12_SQL, "op13_ranked_search": OP13_SQL, "op1_repeated_strings": OP1_SQL, "op4_warc_archives": OP4_SQL, "op7_source_mix": OP7_SQL, "op8_exact_top_k": OP8_SQL, "op10_jaccard_classes": OP10_SQL}
