@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, jaccard, licenses, mixing, phrases, pii, quality, ranking, repeats, search, secrets, warc
+from barloom.llm import bpe, fingerprints, jaccard, licenses, mixing, phrases, pii, quality, ranking, repeats, search, secrets, warc
 from barloom.llm.common import read_table
 
 
@@ -62,6 +62,10 @@ def op10_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.contract(read_table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_repeated_strings, op2_quality_rules, op3_pii_spans, op4_warc_archives, op5_secret_scan, op6_bpe_roundtrip,
-             op7_source_mix, op8_exact_top_k, op9_license_scan, op10_jaccard_classes, op12_collocations, op13_ranked_search)
+             op7_source_mix, op8_exact_top_k, op9_license_scan, op10_jaccard_classes, op11_fingerprints, op12_collocations, op13_ranked_search)
     return {f.__name__: f for f in found}
 
 
