@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time, change, least_periods, log, ratio, trailing
+from barloom.functions.frames import with_trailing
 from barloom.operators import chunks
 from barloom.operators.bars import CORE, OPTIONAL, require
 
@@ -31,16 +32,22 @@ def bar_features(bars: DataFrame) -> dict[str, Column]:
     return out | {f"{x}_change": change(F.col(x).cast("double"), w) for x in OPTIONAL if x in bars.columns}
 
 
-def window_features(windows: list[int], policy: str = "full_window") -> dict[str, Column]:
-    """Over columns of a table that has bar_features()."""
+#: Up to this many rows a moving frame is cheaper than the sorts that a frame of any length takes.
+MOVING = 16
+
+
+def window_features(windows: list[int], policy: str = "full_window", trail: Callable[[Column, str, int], Column] | None = None) -> dict[str, Column]:
+    """Over columns of a table that has bar_features(). trail: the column of an aggregate of a value over the last n rows, a moving
+    frame unless given."""
     w, r = by_time(), F.col("log_return_1")
+    over = trail or (lambda value, how, n: trailing(value, n, how, w, least_periods(n, policy)))
     out: dict[str, Column] = {}
     for n in windows:
         if n <= 0:
             raise ValueError(f"windows must be positive: {n}")
 
         def t(value: Column, how: str, n: int = n) -> Column:
-            return trailing(value, n, how, w, least_periods(n, policy))
+            return over(value, how, n)
 
         v, c = F.col("volume"), F.col("close")
         mean, std = t(v, "mean"), t(v, "std")
@@ -60,10 +67,26 @@ def window_features(windows: list[int], policy: str = "full_window") -> dict[str
     return out
 
 
-def build(bars: DataFrame, windows: list[int], policy: str = "full_window") -> DataFrame:
-    """Bars with all features: one exchange by symbol and one sort under all windows. Batch and serving both use this."""
+def with_windows(df: DataFrame, windows: list[int], policy: str = "full_window", moving: int = MOVING) -> DataFrame:
+    """Adds window_features(): by moving frames up to `moving` rows, beyond by frames whose cost doesn't grow with their length."""
+    wide = [n for n in windows if n > moving]
+    df = df.withColumns(window_features([n for n in windows if n <= moving], policy)) if len(wide) < len(windows) else df
+    wanted: dict[str, tuple[Column, str, int, int]] = {}
+    named: dict[tuple[str, str, int], str] = {}
+
+    def trail(value: Column, how: str, n: int) -> Column:
+        name = named.setdefault((str(value), how, n), f"_trail{len(named)}")
+        wanted[name] = (value, how, n, least_periods(n, policy))
+        return F.col(name)
+
+    made = window_features(wide, policy, trail)
+    return with_trailing(df, wanted).withColumns(made).drop(*wanted) if wide else df
+
+
+def build(bars: DataFrame, windows: list[int], policy: str = "full_window", moving: int = MOVING) -> DataFrame:
+    """Bars with all features: one exchange by symbol under all windows. Batch and serving both use this."""
     require(bars, CORE, "features")
-    return bars.withColumns(bar_features(bars)).withColumns(window_features(windows, policy))
+    return with_windows(bars.withColumns(bar_features(bars)), windows, policy, moving)
 
 
 def build_chunked(bars: DataFrame, windows: list[int], chunk_rows: int, policy: str = "full_window") -> DataFrame:

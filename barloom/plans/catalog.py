@@ -239,6 +239,21 @@ def whole_feature_set(spark, sf_dir):
     return X.build(bars, ALL_WINDOWS).select("symbol", "timestamp", "quote_volume_change", *BASE, *_WIDE)
 
 
+_LONG_WINDOWS = [k for n in (48, 288) for k in _window_sql(n)]
+
+
+@query(ctes(BARS, FEATURES_1, _features_2(windows=[48, 288])) + pick("symbol timestamp " + " ".join(f"~{c}" for c in _LONG_WINDOWS), "f2"))
+def long_windows(spark, sf_dir):
+    """Frames whose cost doesn't grow with their length."""
+    return X.build(hourly(spark, sf_dir), [48, 288]).select("symbol", "timestamp", *_LONG_WINDOWS)
+
+
+@query(ctes(USER_BARS, FEATURES_1, _features_2(1, [4])) + pick("symbol timestamp " + " ".join(f"~{k}" for k in _window_sql(4)), "f2"))
+def long_windows_by_user(spark, sf_dir):
+    """The same frames for many symbols, partly filled."""
+    return X.build(by_user(spark, sf_dir), [4], "allow_partial", moving=0).select("symbol", "timestamp", *_window_sql(4))
+
+
 @query(ctes(BARS, FEATURES_1, _features_2()) + pick("symbol timestamp " + _ALL_FEATURES, "f2"))
 def full_feature_table_chunked(spark, sf_dir):
     return X.build_chunked(hourly(spark, sf_dir), WINDOWS, 200).select("symbol", "timestamp", *BASE, *WINDOWED)
