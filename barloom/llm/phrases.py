@@ -13,6 +13,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def count_grams(docs: DataFrame, n: int, known: np.ndarray | None) -> DataFrame:
 
     def made(batches):
         bits = np.frombuffer(shared.value, np.uint8) if shared.value is not None else None
-        for batch in small(batches, 4000):
+        for batch in small(batches, 1000):
             langs = batch.column("lang").dictionary_encode()
             names, codes = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
             salts = salts_of(names)
@@ -108,11 +109,13 @@ def count_grams(docs: DataFrame, n: int, known: np.ndarray | None) -> DataFrame:
                         continue
                     table = pa.table({"lang": pa.array(number[of], pa.int32()), "phrase": phrase})
                     counted = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("phrase", "count")]).combine_chunks()
-                    columns = [pa.array(names, pa.string()).take(counted["lang"].chunk(0)), counted["phrase"].chunk(0).cast(pa.large_string()).cast(pa.string()), counted["phrase_count"].chunk(0)]
-                    yield from pa.table(columns, names=["lang", "phrase", "f"]).to_batches(max_chunksize=100_000)
+                    lang = pa.array(names, pa.large_string()).take(counted["lang"].chunk(0))
+                    key = pc.binary_join_element_wise(lang, counted["phrase"].chunk(0).cast(pa.large_string()), pa.scalar("\n", pa.large_string())).cast(pa.string())
+                    yield from pa.table([key, counted["phrase_count"].chunk(0)], names=["key", "f"]).to_batches(max_chunksize=100_000)
 
-    rows = docs.mapInArrow(made, "lang string, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    rows = docs.mapInArrow(made, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)  # a phrase has no line break, whatever a language may have
+    return rows.withColumn("phrase", phrase).select(F.left("key", F.length("key") - F.length("phrase") - 1).alias("lang"), "phrase", "f")
 
 
 def bit_table(frequent: DataFrame, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are looked at together, about.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 _RANDOM = np.random.default_rng(12).integers(1, 1 << 63, 257, dtype=np.uint64)
 _BASE = np.uint64(int(_RANDOM[256]) | 1)
