@@ -73,27 +73,28 @@ def _single(cells: Column) -> Column:
 def peeled(cells: Column, width: int) -> Column:
     """(ok, gone, new) of a difference of sketches: the digests that only the first has, and those that only the second has."""
 
-    def without(cell: Column, at: Column, pure: Column) -> Column:
-        def less(s: Column, p: Column) -> Column:
-            bits = F.when(at < width, _place(p["k"], 0, width)).when(at < 2 * width, _place(p["k"], 1, width)).otherwise(_place(p["k"], 2, width))
-            return F.when(bits == at % width, _cell(s["c"] - p["c"], s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(F.xxhash64(p["k"])))).otherwise(s)
-
+    def without(block: int, cell: Column, at: Column, pure: Column) -> Column:
+        less = lambda s, p: F.when(_place(p["k"], block, width) == at, _cell(s["c"] - p["c"], s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(F.xxhash64(p["k"])))).otherwise(s)
         return F.aggregate(pure, cell, less)
 
-    def state(cells: Column, gone: Column, new: Column) -> Column:
-        return _let(cells, lambda c: F.struct(c.alias("cells"), _single(c).alias("pure"), gone.alias("gone"), new.alias("new")))
+    def taken(s: Column, block: int) -> Column:
+        return F.transform(s["blocks"][block], lambda cell, at: without(block, cell, at, s["pure"]))
+
+    def state(blocks: Column, gone: Column, new: Column) -> Column:
+        return _let(blocks, lambda b: F.struct(b.alias("blocks"), _single(F.flatten(b)).alias("pure"), gone.alias("gone"), new.alias("new")))
 
     def of(s: Column, side: int) -> Column:
         return F.transform(F.filter(s["pure"], lambda p: p["c"] == side), lambda p: p["k"])
 
     def step(s: Column, _) -> Column:
-        less = F.transform(s["cells"], lambda cell, at: without(cell, at, s["pure"]))
+        less = F.array(*[taken(s, block) for block in range(3)])
         return F.when(F.size(s["pure"]) > 0, state(less, F.concat(s["gone"], of(s, 1)), F.concat(s["new"], of(s, -1)))).otherwise(s)
 
     none = F.array().cast(_NONE)
     rounds = F.sequence(F.lit(1), F.lit(2 * width))
-    last = F.aggregate(rounds, state(cells, none, none), step)
-    return _let(last, lambda s: F.struct(F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
+    blocks = F.array(*[F.slice(cells, 1 + block * width, width) for block in range(3)])
+    last = F.aggregate(rounds, state(blocks, none, none), step)
+    return _let(last, lambda s: F.struct(F.forall(F.flatten(s["blocks"]), lambda x: (x["c"] == 0) & (x["k"] == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
 
 
 def _pair(a: Column, b: Column) -> Column:
@@ -107,19 +108,24 @@ def _between(width: int):
 def with_differences(rows: DataFrame, name: str, a: str, b: str, base_a: str, base_b: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Adds `name`, an array of (ok, gone, new) whose digests together are those that only column a has, and those that only b has.
     base_a, base_b: their sketches of widths[0], which tell small differences; else each of the larger sketches tells its own."""
-    first, parts, failed, tried = (f"_{name}_{x}" for x in ("first", "parts", "failed", "tried"))
-    number = lambda k: F.shiftrightunsigned(k, 48)
-    n = F.ceil((F.size(a) + F.size(b)) / F.lit(LOAD)).cast("long")
-    part = lambda k: F.floor(number(k) * n / 65536)
+    first, mask, parts, failed, tried = (f"_{name}_{x}" for x in ("first", "mask", "parts", "failed", "tried"))
+    number = lambda k: F.shiftrightunsigned(k, 48).bitwiseAND(F.col(mask))
     kept = lambda x, test: _pair(F.filter(x["a"], test), F.filter(x["b"], test))
+    long = lambda x: F.lit(x).cast("long")
 
     rows = rows.withColumn(first, peeled(subtracted(F.col(base_a), F.col(base_b)), widths[0]))
-    # sketches, of the digests by their leading bits: groups of FAN of them first
-    groups = F.sequence(F.lit(0).cast("long"), F.ceil(n / F.lit(FAN)).cast("long") - 1)
+    # as many sketches as a power of two, up to 2^16, by some of the digests' leading bits
+    n = F.greatest(F.size(a) + F.size(b), F.lit(1)) / F.lit(LOAD)
+    bits = F.greatest(F.least(F.ceil(F.log2(n)), long(16)), long(0))
+    rows = rows.withColumn(mask, (F.call_function("shiftleft", long(1), bits.cast("int")) - 1))
+    # those of FAN sketches that share the bits above first, where there are more
     whole = _pair(F.col(a), F.col(b))
-    dealt = F.transform(groups, lambda g: F.struct(g.alias("g"), kept(whole, lambda k: F.floor(part(k) / FAN) == g).alias("x")))
-    rows = rows.withColumn(parts, F.when(~F.col(f"{first}.ok"), dealt).otherwise(F.slice(dealt, 1, 0)))
-    each = lambda s: F.transform(F.sequence(s["g"] * FAN, F.least(s["g"] * FAN + FAN, n) - 1), lambda p: kept(s["x"], lambda k: part(k) == p))
+    low = long(FAN - 1)
+    high = F.sequence(long(0), F.shiftright(mask, FAN.bit_length() - 1))
+    dealt = F.transform(high, lambda g: F.struct(g.alias("g"), kept(whole, lambda k: F.shiftright(number(k), FAN.bit_length() - 1) == g).alias("x")))
+    one = F.array(F.struct(long(0).alias("g"), whole.alias("x")))
+    rows = rows.withColumn(parts, F.when(F.col(f"{first}.ok"), F.slice(one, 1, 0)).when(F.col(mask) < FAN, one).otherwise(dealt))
+    each = lambda s: F.transform(F.sequence(long(0), F.least(F.col(mask), low)), lambda p: kept(s["x"], lambda k: number(k).bitwiseAND(low) == p))
     rows = rows.withColumn(failed, F.flatten(F.transform(F.col(parts), each)))
     found = [F.filter(F.array(F.col(first)), lambda x: x["ok"])]
     for width in widths:
@@ -129,7 +135,7 @@ def with_differences(rows: DataFrame, name: str, a: str, b: str, base_a: str, ba
         found.append(F.filter(F.col(f"{tried}{width}"), lambda x: x["ok"]))
     exact = F.transform(F.col(failed), lambda x: F.struct(F.lit(True).alias("ok"), F.array_except(x["a"], x["b"]).alias("gone"), F.array_except(x["b"], x["a"]).alias("new")))
     rows = rows.withColumn(name, F.concat(*found, exact))
-    return rows.drop(first, parts, failed, *[f"{tried}{w}" for w in widths])
+    return rows.drop(first, mask, parts, failed, *[f"{tried}{w}" for w in widths])
 
 
 def _likeness(a: Column, found: Column) -> Column:
@@ -159,8 +165,9 @@ def _ranges(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
     return sorted((r.s, r.h) for r in firsts.collect())
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made=None) -> DataFrame:
-    """(doc_id, text, next_text) and, of what made() gives by name from a text, each column and that of the next document, as next_<name>.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made=()) -> DataFrame:
+    """(doc_id, text, next_text) and, of what each function of made gives by name from a text and the columns so far, each column and that of
+    the next document, as next_<name>.
 
     Documents are in order of doc_id, null ids first, those of one id by a hash of the text; after the last comes the first. Rows
     that are equal in both are in one range; other rows of one id needn't be.
@@ -178,8 +185,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     first = F.element_at(bounds, F.col("_range") + 1) == F.struct("s", "h")
     to = F.when(first, F.array("_range", F.pmod(F.col("_range") - 1, F.lit(len(firsts))))).otherwise(F.array("_range"))
     sent = rows.select("doc_id", "text", "s", "h", F.posexplode(to).alias("_copy", "_to")).repartition("_to")
-    names = list(made(F.col("text"))) if made else []
-    held = sent.withColumns(made(F.col("text"))) if made else sent
+    held, names = sent, []
+    for more in made:
+        columns = more(F.col("text"))
+        held, names = held.withColumns(columns), [*names, *columns]
     after = Window.partitionBy("_to").orderBy("_copy", "s", "h", F.col("doc_id").isNotNull())
     placed = held.select("doc_id", "text", "_copy", *names, *[F.lead(c).over(after).alias(f"next_{c}") for c in ("text", *names)])
     return placed.where(F.col("_copy") == 0).drop("_copy")
@@ -193,12 +202,12 @@ def contract(docs: DataFrame) -> DataFrame:
     of none, are documents of their own; of equal rows each has the next as its next document. Other columns are not read.
     n_gone and n_new count the paragraphs that editing took away and brought.
     """
-    rows = with_next(docs, made=lambda text: {"keys": paragraphs(text)})
+    rows = with_next(docs, made=[lambda text: {"keys": paragraphs(text)}, lambda _: {"own": sketch(F.col("keys"), WIDTHS[0])}])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "keys", "next_keys", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
-    rows = rows.withColumns({c: sketch(F.col(k), WIDTHS[0]) for c, k in (("own", "keys"), ("other", "edited_keys"), ("after", "next_keys"))})
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", "own", F.col("next_own").alias("after"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "keys", "next_keys", "own", "after", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
+    rows = rows.withColumn("other", sketch(F.col("edited_keys"), WIDTHS[0]))
     found = with_differences(with_differences(rows, "_e", "keys", "edited_keys", "own", "other"), "_n", "keys", "next_keys", "own", "after")
     count = lambda side: F.aggregate("_e", F.lit(0).cast("long"), lambda s, x: s + F.size(x[side]))
     return found.select(
