@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.sources.staging import shared_folder
+from barloom.sources.staging import run_folder
 from barloom.sources.staging import staged as through_table
 
 __all__ = ["block_count", "blocked", "pack", "partitions", "read_table", "scratch", "small", "split_by", "through_table", "unpack"]
@@ -24,8 +24,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/barloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of this run."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def small(batches, rows: int = 500):

@@ -9,8 +9,9 @@ The fingerprint is such a sketch with WIDTHS[0] cells in a block. It tells small
 larger: digests are dealt to as many sketches as needed for LOAD of them in each, and those of them that still fail are made
 wider, up to WIDTHS[-1]; if the widest failed too, the two sets would be compared as they are.
 
-All of this is done by higher-order functions on the arrays of one row. Only finding the next document moves rows: they are
-dealt once to ranges of doc_id, and the first row of each range is also sent to the range before.
+Rows are dealt once, to ranges of doc_id, and the first row of each range is also sent to the range before: so each meets the next
+document. Cells are sums by range, row and cell, and need no further exchange. Peeling is done by higher-order functions on the
+cells of one sketch.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import partitions
 
-#: Code points after which a sentence is cut; cells in a block, at first and at each retry; digests in a sketch of a larger set, about.
+#: Code points after which a sentence is cut; cells in a block, at first and at each retry; digests in a sketch of a larger set, at most about.
 PIECE, WIDTHS, LOAD = 200, (8, 16, 32, 128), 12
-#: Sketches that are dealt at once, ranges per shuffle partition, and bounds that are looked at together.
-FAN, RANGES, STEP = 64, 4, 32
+#: Ranges per shuffle partition, and bounds that are looked at together.
+RANGES, STEP = 4, 32
 
 _NONE = "array<bigint>"
 
@@ -38,104 +39,150 @@ def _place(key: Column, block: int, width: int) -> Column:
     return F.shiftrightunsigned(key, 16 * block).bitwiseAND(F.lit(width - 1).cast("long"))
 
 
-def _cell(c: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.alias("c"), k.alias("k"), h.alias("h"))
+def _cell(s: Column, w: Column, c: Column, k: Column, h: Column) -> Column:
+    """A cell: which bits of a digest count for it and what they must be, how many it got, and what they and their checks add up to."""
+    return F.struct(s.alias("s"), w.alias("w"), c.alias("c"), k.alias("k"), h.alias("h"))
 
 
-def sketch(keys: Column, width: int) -> Column:
-    """Three blocks of `width` cells (count, keys, checks) of an array of digests."""
-    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _let(value: Column, made) -> Column:
+    return F.transform(F.array(value), made)[0]
 
-    def cells(block: int) -> Column:
-        def one(at: Column) -> Column:
-            put = lambda s, k: F.when(_place(k, block, width) == at, _cell(s["c"] + 1, s["k"].bitwiseXOR(k), s["h"].bitwiseXOR(F.xxhash64(k)))).otherwise(s)
-            return F.aggregate(keys, zero, put)
 
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), one)
+def _with(cell: Column, n: Column, key: Column) -> Column:
+    return _cell(cell["s"], cell["w"], cell["c"] + n, cell["k"].bitwiseXOR(key), cell["h"].bitwiseXOR(F.xxhash64(key)))
 
-    return F.concat(*[cells(block) for block in range(3)])
 
+def _holds(cell: Column, key: Column, width: int) -> Column:
+    return F.call_function("shiftrightunsigned", key, cell["s"]).bitwiseAND(F.lit(width - 1).cast("long")) == cell["w"]
 
-def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
+def sketch(a: Column, width: int, b: Column | None = None) -> Column:
+    """The cells that aren't empty of three blocks of `width`, for an array of digests, less those of another one."""
+    empty = F.concat(*[_block(block, width) for block in range(3)])
 
-def _let(value: Column, made) -> Column:
-    return F.transform(F.array(value), made)[0]
+    def filled(cell: Column) -> Column:
+        done = F.aggregate(a, cell, lambda s, k: F.when(_holds(s, k, width), _with(s, F.lit(1), k)).otherwise(s))
+        return done if b is None else F.aggregate(b, done, lambda s, k: F.when(_holds(s, k, width), _with(s, F.lit(-1), k)).otherwise(s))
 
+    return F.filter(F.transform(empty, filled), _some)
 
-def _single(cells: Column) -> Column:
-    """What the cells with one digest name."""
-    pure = F.filter(cells, lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"])))
-    return F.array_distinct(F.transform(pure, lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
 
+def _block(block: int, width: int) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.transform(F.sequence(zero, F.lit(width - 1).cast("long")), lambda w: _cell(F.lit(16 * block), w, zero, zero, zero))
 
-def peeled(cells: Column, width: int) -> Column:
-    """(ok, gone, new) of a difference of sketches: the digests that only the first has, and those that only the second has."""
 
-    def without(block: int, cell: Column, at: Column, pure: Column) -> Column:
-        less = lambda s, p: F.when(_place(p["k"], block, width) == at, _cell(s["c"] - p["c"], s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(F.xxhash64(p["k"])))).otherwise(s)
-        return F.aggregate(pure, cell, less)
+def _some(cell: Column) -> Column:
+    return (cell["c"] != 0) | (cell["k"] != 0) | (cell["h"] != 0)
 
-    def taken(s: Column, block: int) -> Column:
-        return F.transform(s["blocks"][block], lambda cell, at: without(block, cell, at, s["pure"]))
 
-    def state(blocks: Column, gone: Column, new: Column) -> Column:
-        return _let(blocks, lambda b: F.struct(b.alias("blocks"), _single(F.flatten(b)).alias("pure"), gone.alias("gone"), new.alias("new")))
+def subtracted(a: Column, b: Column) -> Column:
+    """The cells of one sketch less those of another, both without empty cells."""
+    both = F.concat(a, F.transform(b, lambda y: _cell(y["s"], y["w"], -y["c"], y["k"], y["h"])))
+    places = F.array_distinct(F.transform(both, lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"))))
+    zero = F.lit(0).cast("long")
 
-    def of(s: Column, side: int) -> Column:
-        return F.transform(F.filter(s["pure"], lambda p: p["c"] == side), lambda p: p["k"])
+    def merged(place: Column) -> Column:
+        start = _cell(place["s"], place["w"], zero, zero, zero)
+        put = lambda s, x: F.when((x["s"] == s["s"]) & (x["w"] == s["w"]), _cell(s["s"], s["w"], s["c"] + x["c"], s["k"].bitwiseXOR(x["k"]), s["h"].bitwiseXOR(x["h"]))).otherwise(s)
+        return F.aggregate(both, start, put)
 
-    def step(s: Column, _) -> Column:
-        less = F.array(*[taken(s, block) for block in range(3)])
-        return F.when(F.size(s["pure"]) > 0, state(less, F.concat(s["gone"], of(s, 1)), F.concat(s["new"], of(s, -1)))).otherwise(s)
+    return F.filter(F.transform(places, merged), _some)
 
-    none = F.array().cast(_NONE)
-    rounds = F.sequence(F.lit(1), F.lit(2 * width))
-    blocks = F.array(*[F.slice(cells, 1 + block * width, width) for block in range(3)])
-    last = F.aggregate(rounds, state(blocks, none, none), step)
-    return _let(last, lambda s: F.struct(F.forall(F.flatten(s["blocks"]), lambda x: (x["c"] == 0) & (x["k"] == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
 
+def _names_one(cell: Column) -> Column:
+    return (F.abs(cell["c"]) == 1) & (cell["h"] == F.xxhash64(cell["k"]))
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(a.alias("a"), b.alias("b"))
 
+def peeled(cells: Column, width: int) -> Column:
+    """(ok, gone, new) of a difference of sketches without empty cells: the digests that only the first has, and those that only the
+    second has."""
 
-def _between(width: int):
-    return lambda x: peeled(subtracted(sketch(x["a"], width), sketch(x["b"], width)), width)
+    def state(cells: Column, gone: Column, new: Column) -> Column:
+        """Cells that name no digest, and the digests that the others name, each once."""
+        pure = lambda c: F.array_distinct(F.transform(F.filter(c, _names_one), lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
+        return _let(cells, lambda c: F.struct(F.filter(c, lambda x: ~_names_one(x)).alias("cells"), pure(c).alias("pure"), gone.alias("gone"), new.alias("new")))
 
+    def of(s: Column, side: int) -> Column:
+        return F.transform(F.filter(s["pure"], lambda p: p["c"] == side), lambda p: p["k"])
 
-def with_differences(rows: DataFrame, name: str, a: str, b: str, base_a: str, base_b: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Adds `name`, an array of (ok, gone, new) whose digests together are those that only column a has, and those that only b has.
-    base_a, base_b: their sketches of widths[0], which tell small differences; else each of the larger sketches tells its own."""
-    first, mask, parts, failed, tried = (f"_{name}_{x}" for x in ("first", "mask", "parts", "failed", "tried"))
-    number = lambda k: F.shiftrightunsigned(k, 48).bitwiseAND(F.col(mask))
-    kept = lambda x, test: _pair(F.filter(x["a"], test), F.filter(x["b"], test))
-    long = lambda x: F.lit(x).cast("long")
-
-    rows = rows.withColumn(first, peeled(subtracted(F.col(base_a), F.col(base_b)), widths[0]))
-    # as many sketches as a power of two, up to 2^16, by some of the digests' leading bits
+    def step(s: Column, _) -> Column:
+        less = lambda cell: F.aggregate(s["pure"], cell, lambda x, p: F.when(_holds(x, p["k"], width), _with(x, -p["c"], p["k"])).otherwise(x))
+        left = F.filter(F.transform(s["cells"], less), _some)
+        return F.when(F.size(s["pure"]) > 0, state(left, F.concat(s["gone"], of(s, 1)), F.concat(s["new"], of(s, -1)))).otherwise(s)
+
+    none = F.array().cast(_NONE)
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(2 * width)), state(cells, none, none), step)
+    return _let(last, lambda s: F.struct(((F.size(s["cells"]) == 0) & (F.size(s["pure"]) == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
+
+
+def _mask(a: str, b: str) -> Column:
+    """One less than the number of sketches for two arrays of digests: a power of two, up to 2^16."""
     n = F.greatest(F.size(a) + F.size(b), F.lit(1)) / F.lit(LOAD)
-    bits = F.greatest(F.least(F.ceil(F.log2(n)), long(16)), long(0))
-    rows = rows.withColumn(mask, (F.call_function("shiftleft", long(1), bits.cast("int")) - 1))
-    # those of FAN sketches that share the bits above first, where there are more
-    whole = _pair(F.col(a), F.col(b))
-    low = long(FAN - 1)
-    high = F.sequence(long(0), F.shiftright(mask, FAN.bit_length() - 1))
-    dealt = F.transform(high, lambda g: F.struct(g.alias("g"), kept(whole, lambda k: F.shiftright(number(k), FAN.bit_length() - 1) == g).alias("x")))
-    one = F.array(F.struct(long(0).alias("g"), whole.alias("x")))
-    rows = rows.withColumn(parts, F.when(F.col(f"{first}.ok"), F.slice(one, 1, 0)).when(F.col(mask) < FAN, one).otherwise(dealt))
-    each = lambda s: F.transform(F.sequence(long(0), F.least(F.col(mask), low)), lambda p: kept(s["x"], lambda k: number(k).bitwiseAND(low) == p))
-    rows = rows.withColumn(failed, F.flatten(F.transform(F.col(parts), each)))
-    found = [F.filter(F.array(F.col(first)), lambda x: x["ok"])]
-    for width in widths:
+    bits = F.greatest(F.least(F.ceil(F.log2(n)), F.lit(16).cast("long")), F.lit(0).cast("long"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1
+
+
+def _part(key: Column, mask: Column) -> Column:
+    return F.shiftrightunsigned(key, 48).bitwiseAND(mask)
+
+
+#: Sketches of a row: those of the text, of the edited text and of the next one, and the differences that are dealt to several.
+OWN, OTHER, AFTER, EDITED, NEXT = range(5)
+
+
+def with_sketches(rows: DataFrame, keys: tuple[str, str, str], by: tuple[str, str]) -> DataFrame:
+    """(by, sketches) of rows with three arrays of digests, named by columns `by`, the first of which rows are dealt by: an array of
+    (kind, part, cells), where OWN, OTHER and AFTER are whole sketches without empty cells, and EDITED and NEXT the parts of the
+    differences between the first and each of the others."""
+    own, other, after = keys
+    sides = rows.select(*by, _mask(own, other).alias("_e"), _mask(own, after).alias("_n"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(k).alias("keys")) for side, k in enumerate(keys)])).alias("x"))
+    each = sides.select(*by, "_e", "_n", F.col("x.side").alias("side"), F.explode("x.keys").alias("k"))
+    width = WIDTHS[0]
+    into = lambda kind, part, n: [F.struct((F.lit(kind).cast("long") * (1 << 40) + part * (1 << 16) + block * width + _place(F.col("k"), block, width)).alias("at"), F.lit(n).alias("n")) for block in range(3)]
+    zero, edited, later = F.lit(0).cast("long"), _part(F.col("k"), F.col("_e")), _part(F.col("k"), F.col("_n"))
+    places = (
+        F.when(F.col("side") == OWN, F.array(*into(OWN, zero, 1), *into(EDITED, edited, 1), *into(NEXT, later, 1)))
+        .when(F.col("side") == OTHER, F.array(*into(OTHER, zero, 1), *into(EDITED, edited, -1)))
+        .otherwise(F.array(*into(AFTER, zero, 1), *into(NEXT, later, -1)))
+    )
+    put = each.select(*by, "k", F.explode(places).alias("p")).select(*by, F.col("p.at").alias("at"), F.col("p.n").alias("n"), "k", F.xxhash64("k").alias("h"))
+    cells = put.groupBy(*by, "at").agg(F.sum("n").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 OR k <> 0 OR h <> 0")
+    index = F.col("at") % (1 << 16)
+    cell = _cell((F.floor(index / width) * 16).cast("int"), index % width, F.col("c"), F.col("k"), F.col("h"))
+    grouped = cells.groupBy(*by, F.shiftright("at", 16).alias("sketch")).agg(F.collect_list(cell).alias("cells"))
+    named = F.struct(F.shiftright("sketch", 24).cast("int").alias("kind"), (F.col("sketch") % (1 << 24)).alias("part"), "cells", F.when(F.col("sketch") >= EDITED << 24, peeled(F.col("cells"), width)).alias("found"))
+    return grouped.groupBy(*by).agg(F.collect_list(named).alias("sketches"))
+
+
+def with_differences(rows: DataFrame, name: str, kind: int, a: str, b: str, base_b: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Adds `name`, an array of (ok, gone, new) whose digests together are those that only column a has, and those that only b has.
+
+    From the sketches of a row: the difference of OWN and base_b where that peels, else the parts of `kind`; those that don't peel
+    are made again from their digests, wider each time."""
+    first, failed, tried = (f"_{name}_{x}" for x in ("first", "failed", "tried"))
+    of = lambda k: F.filter("sketches", lambda x: x["kind"] == k)
+    whole = lambda k: F.flatten(F.transform(of(k), lambda x: x["cells"]))
+    rows = rows.withColumn(first, peeled(subtracted(whole(OWN), whole(base_b)), widths[0]))
+    parts = F.when(F.col(f"{first}.ok"), F.slice(of(kind), 1, 0)).otherwise(of(kind))
+    rows = rows.withColumn(tried, parts)
+    found = [F.filter(F.array(F.col(first)), lambda x: x["ok"]), F.transform(F.filter(tried, lambda x: x["found"]["ok"]), lambda x: x["found"])]
+    mask = f"_{name}_mask"
+    rows = rows.withColumn(mask, _mask(a, b))
+    again = F.transform(F.filter(tried, lambda x: ~x["found"]["ok"]), lambda x: F.struct(*[F.filter(c, lambda k: _part(k, F.col(mask)) == x["part"]).alias(s) for c, s in ((a, "a"), (b, "b"))]))
+    rows = rows.withColumn(failed, again)
+    for width in widths[1:]:
         rows = rows.withColumn(f"{tried}{width}", F.transform(F.col(failed), _between(width)))
         paired = F.arrays_zip(F.col(failed).alias("x"), F.col(f"{tried}{width}").alias("r"))
         rows = rows.withColumn(failed, F.transform(F.filter(paired, lambda z: ~z["r"]["ok"]), lambda z: z["x"]))
         found.append(F.filter(F.col(f"{tried}{width}"), lambda x: x["ok"]))
     exact = F.transform(F.col(failed), lambda x: F.struct(F.lit(True).alias("ok"), F.array_except(x["a"], x["b"]).alias("gone"), F.array_except(x["b"], x["a"]).alias("new")))
     rows = rows.withColumn(name, F.concat(*found, exact))
-    return rows.drop(first, mask, parts, failed, *[f"{tried}{w}" for w in widths])
+    return rows.drop(first, mask, failed, tried, *[f"{tried}{w}" for w in widths])
+
+
+def _between(width: int):
+    return lambda x: peeled(sketch(x["a"], width, x["b"]), width)
 
 
 def _likeness(a: Column, found: Column) -> Column:
@@ -146,10 +193,11 @@ def _likeness(a: Column, found: Column) -> Column:
 
 
 def _written(cells: Column) -> Column:
-    """A sketch as text: 2 bytes for each count, 8 for the keys, 4 for the checks."""
+    """A sketch as text, its cells in order: a byte for the place, 2 for the count, 8 for the keys, 4 for the checks."""
     number = lambda x, n: F.lpad(F.hex(x), n, "0")
     short = lambda x, bits: x.cast("long").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    parts = F.transform(cells, lambda x: F.concat(number(short(x["c"], 16), 4), number(x["k"], 16), number(short(x["h"], 32), 8)))
+    place = lambda x: F.shiftright(x["s"], 4).cast("long") * WIDTHS[0] + x["w"]
+    parts = F.transform(F.array_sort(cells), lambda x: F.concat(number(place(x), 2), number(short(x["c"], 16), 4), number(x["k"], 16), number(short(x["h"], 32), 8)))
     return F.replace(F.base64(F.unhex(F.array_join(parts, ""))), F.lit("\r\n"), F.lit(""))
 
 
@@ -165,9 +213,9 @@ def _ranges(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
     return sorted((r.s, r.h) for r in firsts.collect())
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made=()) -> DataFrame:
-    """(doc_id, text, next_text) and, of what each function of made gives by name from a text and the columns so far, each column and that of
-    the next document, as next_<name>.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made=None) -> DataFrame:
+    """(doc_id, text, next_text) and, of what made() gives by name from a text, each column and that of the next document, as next_<name>.
+    _to and _turn name a row: its range, by which rows are dealt, and its turn in it.
 
     Documents are in order of doc_id, null ids first, those of one id by a hash of the text; after the last comes the first. Rows
     that are equal in both are in one range; other rows of one id needn't be.
@@ -185,12 +233,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     first = F.element_at(bounds, F.col("_range") + 1) == F.struct("s", "h")
     to = F.when(first, F.array("_range", F.pmod(F.col("_range") - 1, F.lit(len(firsts))))).otherwise(F.array("_range"))
     sent = rows.select("doc_id", "text", "s", "h", F.posexplode(to).alias("_copy", "_to")).repartition("_to")
-    held, names = sent, []
-    for more in made:
-        columns = more(F.col("text"))
-        held, names = held.withColumns(columns), [*names, *columns]
+    columns = made(F.col("text")) if made else {}
+    held, names = (sent.withColumns(columns) if made else sent), list(columns)
     after = Window.partitionBy("_to").orderBy("_copy", "s", "h", F.col("doc_id").isNotNull())
-    placed = held.select("doc_id", "text", "_copy", *names, *[F.lead(c).over(after).alias(f"next_{c}") for c in ("text", *names)])
+    placed = held.select("_to", F.row_number().over(after).alias("_turn"), "doc_id", "text", "_copy", *names, *[F.lead(c).over(after).alias(f"next_{c}") for c in ("text", *names)])
     return placed.where(F.col("_copy") == 0).drop("_copy")
 
 
@@ -202,15 +248,20 @@ def contract(docs: DataFrame) -> DataFrame:
     of none, are documents of their own; of equal rows each has the next as its next document. Other columns are not read.
     n_gone and n_new count the paragraphs that editing took away and brought.
     """
-    rows = with_next(docs, made=[lambda text: {"keys": paragraphs(text)}, lambda _: {"own": sketch(F.col("keys"), WIDTHS[0])}])
+    rows = with_next(docs, made=lambda text: {"keys": paragraphs(text)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", "own", F.col("next_own").alias("after"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "keys", "next_keys", "own", "after", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
-    rows = rows.withColumn("other", sketch(F.col("edited_keys"), WIDTHS[0]))
-    found = with_differences(with_differences(rows, "_e", "keys", "edited_keys", "own", "other"), "_n", "keys", "next_keys", "own", "after")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.select("_to", "_turn", "doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
+    rows = rows.select("_to", "_turn", "doc_id", "n_chars", "keys", "next_keys", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
+    made = with_sketches(rows, ("keys", "edited_keys", "next_keys"), ("_to", "_turn")).select(F.col("_to").alias("_r"), F.col("_turn").alias("_t"), "sketches")
+    # both sides are dealt by range already
+    rows = rows.join(made, (F.col("_to") == F.col("_r")) & (F.col("_turn") == F.col("_t")), "left")
+    rows = rows.withColumn("sketches", F.coalesce("sketches", F.array().cast(rows.schema["sketches"].dataType)))
+    found = with_differences(with_differences(rows, "_e", EDITED, "keys", "edited_keys", OTHER), "_n", NEXT, "keys", "next_keys", AFTER)
+    cells = lambda kind: F.flatten(F.transform(F.filter("sketches", lambda x: x["kind"] == kind), lambda x: x["cells"]))
     count = lambda side: F.aggregate("_e", F.lit(0).cast("long"), lambda s, x: s + F.size(x[side]))
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", _written(F.col("own")).alias("fingerprint"), _written(F.col("other")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", _written(cells(OWN)).alias("fingerprint"), _written(cells(OTHER)).alias("edited_fingerprint"),
         _likeness(F.col("keys"), F.col("_e")).alias("near_edited"), _likeness(F.col("keys"), F.col("_n")).alias("near_next"), count("gone").alias("n_gone"), count("new").alias("n_new"),
     )
