@@ -1,6 +1,9 @@
-"""Order statistics of columns that may fit no single task: rows are dealt by ranges of the ordered column, each range adds up its
-own rows, and starts from the totals of the ranges before it (one row per range and group). Up to SMALL distinct rows, which are
-counted first, one task holds them; both ways give the same rows.
+"""Order statistics of columns that may fit no single task.
+
+Running sums: rows are dealt by ranges of the ordered column, each range adds up its own rows, and starts from the totals of the
+ranges before it (one row per range and group). Quantiles: by radix selection. A double's bits as a whole number are in the order of
+doubles; four histograms, of 16 bits each, lead to the value at every asked place. Rows are read and counted where they are; only
+histograms are shuffled. Up to SMALL rows, which are counted first, one task takes either; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -38,25 +41,77 @@ def running(df: DataFrame, order: str, sums: tuple[str, ...], by: tuple[str, ...
     return joined.select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"_before_{c}")).alias(f"upto_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
+_UNIT = 1 << 52  # a double's exponent counts these
+
+
+def bits_of(value: Column) -> Column:
+    """The bits of a double as a long that is in the order of doubles: equal for both zeros, with NaN above all."""
+    a, two = F.abs(value), F.lit(2.0)
+    near = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022))  # of a logarithm that may round up or down
+    part = a * F.pow(two, -near)
+    e = near + F.when(part >= 2, 1).when((part < 1) & (near > -1022), -1).otherwise(0)
+    m = a * F.pow(two, -e)  # exact, as a power of two is; below 1 for subnormal numbers alone
+    size = F.when(m >= 1, (e + 1023) * F.lit(_UNIT) + ((m - 1) * _UNIT).cast("long")).otherwise((m * _UNIT).cast("long"))
+    whole = F.when(F.isnan(value), F.lit(2047 * _UNIT + _UNIT // 2)).when(a == float("inf"), F.lit(2047 * _UNIT)).when(a == 0, F.lit(0).cast("long")).otherwise(size)
+    return F.when(value < 0, -whole).otherwise(whole)
+
+
+def double_of(bits: Column) -> Column:
+    """The double that bits_of() made a long of."""
+    size = F.abs(bits)
+    e, two = F.shiftright(size, 52), F.lit(2.0)
+    rest = (size - e * F.lit(_UNIT)).cast("double")
+    odd = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    value = F.when(e == 2047, odd).when(e == 0, rest * F.pow(two, F.lit(-1074))).otherwise((1 + rest / _UNIT) * F.pow(two, e - 1023))
+    return F.when(bits < 0, -value).otherwise(value)
+
+
+#: Chosen rows that are broadcast; beyond, rows meet them by exchange.
+CHOSEN = 10_000
+
+
+def _at_places(rows: DataFrame, qs: list[float], by: tuple[str, ...]) -> DataFrame:
+    """(by, _q, _n, _r, _bits): the bits at both places around each quantile, from rows of by and _b. Four passes over rows."""
+    same = lambda a, b: [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)]
+    mine = [f"_by{k}" for k in range(len(by))]
+    chosen = None
+    for shift in (48, 32, 16, 0):
+        held = rows
+        if chosen is not None:
+            wanted = chosen.select(*[F.col(b).alias(m) for b, m in zip(by, mine, strict=True)], F.col("_bits").alias("_above")).distinct()
+            wanted = F.broadcast(wanted) if chosen.count() <= CHOSEN else wanted
+            held = rows.join(wanted, [*same(by, mine), F.shiftright("_b", shift + 16) == F.col("_above")], "left_semi")
+        counted = staged(held.groupBy(*by, F.shiftright("_b", shift).alias("_digit")).agg(F.count(F.lit(1)).alias("_k")), "digits")
+        above = F.shiftright("_digit", 16) if shift < 48 else F.lit(0)
+        upto = Window.partitionBy(*by, "_above").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        ran = counted.withColumn("_above", above).withColumn("_upto", F.sum("_k").over(upto))
+        if chosen is None:
+            totals = counted.groupBy(*by).agg(F.sum("_k").alias("_n")).withColumn("_q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+            place = (F.col("_n") - 1) * F.col("_q")
+            chosen = totals.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))).withColumns({"_bits": F.lit(0).cast("long"), "_left": F.col("_r")})
+        ran = ran.select(*[F.col(b).alias(m) for b, m in zip(by, mine, strict=True)], "_above", "_digit", (F.col("_upto") - F.col("_k")).alias("_before"), "_upto")
+        # _left: how many rows with the same leading bits come before the place
+        met = chosen.join(ran, [*same(by, mine), F.col("_bits") == F.col("_above"), F.col("_before") <= F.col("_left"), F.col("_left") < F.col("_upto")])
+        chosen = staged(met.select(*by, "_q", "_n", "_r", F.col("_digit").alias("_bits"), (F.col("_left") - F.col("_before")).alias("_left")), "chosen")
+    return chosen
+
+
 def quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:
-    """(by, q, value): exact quantiles with linear interpolation, as F.percentile gives, for each group; nulls don't count.
-
-    Equal values are counted before they are dealt, so a value that a third of the rows have is one row. Without values there are
-    no rows.
-    """
-    counted = staged(df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
-    asked = F.array(*[F.lit(float(q)) for q in qs])
-    if counted.count() <= small:
-        found = counted.groupBy(*by).agg(F.percentile("_v", asked, F.col("_n")).alias("_p")).where("_p IS NOT NULL")
+    """(by, q, value): exact quantiles with linear interpolation, as F.percentile gives, for each group; nulls don't count, NaN is
+    the largest. Without values there are no rows."""
+    rows = staged(df.select(*by, F.col(column).cast("double").alias("_v")).where("_v IS NOT NULL"), "values")
+    if rows.count() <= small:
+        asked = F.array(*[F.lit(float(q)) for q in qs])
+        found = rows.groupBy(*by).agg(F.percentile("_v", asked).alias("_p")).where("_p IS NOT NULL")
         return found.select(*by, F.explode(F.arrays_zip(asked.alias("q"), F.col("_p").alias("value"))).alias("_z")).select(*by, "_z.*")
-    ran = running(counted, "_v", ("_n",), by, small=small)
-    # a value stands at the places upto - n .. upto - 1
-    at = (F.col("all__n") - 1) * F.col("q")
-    first, last = F.col("upto__n") - F.col("_n"), F.col("upto__n") - 1
-    near = ran.select(*by, "_v", "_n", "upto__n", "all__n", F.explode(asked).alias("q")).where((first <= F.ceil(at)) & (last >= F.floor(at)))
-    low, high = (F.max(F.when((first <= e) & (last >= e), F.col("_v"))) for e in (F.floor(at), F.ceil(at)))
-    got = near.groupBy(*by, "q").agg(low.alias("_low"), high.alias("_high"), F.max(at - F.floor(at)).alias("_part"))
-    return got.select(*by, "q", (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias("value"))
+    at = (F.col("_n") - 1) * F.col("_q")
+    value = double_of(F.col("_bits"))
+    near = _at_places(rows.select(*by, bits_of(F.col("_v")).alias("_b")), qs, by)
+    got = near.groupBy(*by, F.col("_q").alias("q")).agg(
+        F.max(F.when(F.col("_r") == F.floor(at), value)).alias("_low"), F.max(F.when(F.col("_r") == F.ceil(at), value)).alias("_high"), F.max(at - F.floor(at)).alias("_part")
+    )
+    between = (1 - F.col("_part")) * F.col("_low") + F.col("_part") * F.col("_high")
+    return got.select(*by, "q", F.when((F.col("_part") == 0) | (F.col("_low") == F.col("_high")), F.col("_low")).otherwise(between).alias("value"))
 
 
 def quantile_arrays(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = (), small: int = SMALL) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import severity
@@ -89,12 +89,11 @@ def freshness(df: DataFrame, seconds: int, mode: str = "historical", most_minute
     timed = F.when(F.col("timestamp").isNull(), F.raise_error(F.lit("a null time")).cast("timestamp_ntz")).otherwise(F.col("timestamp"))
     df = df.withColumn("timestamp", timed)
     rows = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"))
-    gone = quality.missing_bars(df, seconds)
-    first = gone.withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy("missing_timestamp")))
-    holes = first.groupBy("symbol").agg(F.count(F.lit(1)).alias("m"), F.sort_array(F.collect_list(F.when(F.col("_k") <= preview, F.col("missing_timestamp")))).alias("missing_preview"))
+    holes = quality.first_missing(staged(quality.gaps(df, seconds), "gaps"), df.schema["timestamp"].dataType.simpleString(), preview)
+    holes = holes.withColumnRenamed("symbol", "_s")
     now: Column = F.lit(reference).cast("timestamp_ntz") if reference else F.localtimestamp()
     delay = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("latest").cast("timestamp"))) / 60e6 if mode == "live" else F.lit(None).cast("double")
-    out = rows.join(holes, "symbol", "left").select("symbol", "n_rows", "earliest", "latest", F.coalesce("m", F.lit(0)).cast("long").alias("missing_count"), "missing_preview", delay.alias("delay_minutes"))
+    out = rows.join(holes, F.col("symbol").eqNullSafe(F.col("_s")), "left").select("symbol", "n_rows", "earliest", "latest", F.coalesce("m", F.lit(0)).cast("long").alias("missing_count"), "missing_preview", delay.alias("delay_minutes"))
     return out.withColumn("is_fresh", F.col("delay_minutes") <= most_minutes if mode == "live" else F.lit(True))
 
 

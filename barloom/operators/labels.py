@@ -29,10 +29,13 @@ def prepared(df: DataFrame) -> DataFrame:
     return _checked(_typed(df))
 
 
-def build(df: DataFrame, h: int, fraction: float, q: float) -> DataFrame:
+def build(df: DataFrame, h: int, fraction: float, q: float, chunk_rows: int | None = None) -> DataFrame:
     """future_return_h, future_rv_h, used_for_label_threshold and y_high_vol_h of bars, checked as prepared() does. The mask is written
-    once: the checks, the threshold and the labels read it."""
-    made = _checked(staged(threshold_mask(future_values(_typed(df), h), h, fraction), "masked"))
+    once: the checks, the threshold and the labels read it. chunk_rows: for few symbols with very many rows, by chunks of that many
+    rows and places from counts, without a task for each symbol."""
+    typed = _typed(df)
+    masked = threshold_mask(future_values(typed, h), h, fraction) if chunk_rows is None else threshold_mask_placed(future_values_chunked(typed, h, chunk_rows), h, fraction)
+    made = _checked(staged(masked, "masked"))
     return binary_label(made, h, threshold(made, h, q, "used_for_label_threshold"))
 
 

@@ -70,22 +70,48 @@ def _ranked(ran: DataFrame, by: tuple[str, ...]) -> DataFrame:
     )
 
 
-def at_top(df: DataFrame, fractions: list[float], tie: tuple[str, ...] = ("symbol", "timestamp")) -> DataFrame:
-    """(fraction, k, precision, recall) among the k = max(1, ceil(n * fraction)) best scores; ties by key. Recall is null without positives.
+def at_top(df: DataFrame, fractions: list[float], tie: tuple[str, ...] = ("symbol", "timestamp"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, fraction, k, precision, recall) among the k = max(1, ceil(n * fraction)) best scores of each group; ties by key. Recall is null
+    without positives. Fractions outside (0, 1] raise.
 
     The cut is found on counts by score, added up by ranges, then ties at the cut are ranked: no sort of the whole table."""
-    ran = running(_by_score(df, ()).withColumn("both", F.col("p") + F.col("n")), SCORE, ("both", "p"), (), descending=True)
-    total = ran.agg(F.max("all_both").alias("rows"), F.max("all_p").alias("positives"))
-    asked = total.select("rows", "positives", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
+    if bad := [f for f in fractions if not 0 < f <= 1]:
+        raise ValueError(f"fractions must be above 0 and at most 1: {bad}")
+    ran = running(_by_score(df, by).withColumn("both", F.col("p") + F.col("n")), SCORE, ("both", "p"), by, descending=True)
+    total = ran.groupBy(*by).agg(F.max("all_both").alias("rows"), F.max("all_p").alias("positives"))
+    asked = total.select(*by, "rows", "positives", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     asked = asked.where("rows > 0").withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("rows") * F.col("fraction"))).cast("long"))
-    met = ran.withColumn("before", F.col("upto_both") - F.col("both")).crossJoin(F.broadcast(asked.drop("rows"))).where("before < k")  # a row per fraction
-    whole = met.where("upto_both <= k").groupBy("fraction").agg(F.sum("p").alias("hits"))
-    cut = met.where("upto_both > k").select("fraction", F.col(SCORE).alias("_c"), (F.col("k") - F.col("before")).alias("room"))
-    tied = df.join(F.broadcast(cut), F.col(SCORE) == F.col("_c")).withColumn("_t", F.row_number().over(Window.partitionBy("fraction").orderBy(*tie)))
-    more = tied.where("_t <= room").groupBy("fraction").agg(F.count_if(F.col(Y) == 1).alias("more"))
-    out = asked.join(whole, "fraction", "left").join(more, "fraction", "left")
+    placed = ran.withColumn("before", F.col("upto_both") - F.col("both"))
+    # without groups the other side has a row per fraction
+    met = (placed.join(asked.drop("rows"), list(by)) if by else placed.crossJoin(F.broadcast(asked.drop("rows")))).where("before < k")
+    whole = met.where("upto_both <= k").groupBy(*by, "fraction").agg(F.sum("p").alias("hits"))
+    cut = met.where("upto_both > k").select(*[F.col(b).alias(f"_{b}") for b in by], "fraction", F.col(SCORE).alias("_c"), (F.col("k") - F.col("before")).alias("room"))
+    same = F.col(SCORE) == F.col("_c")
+    for b in by:
+        same = same & (F.col(b) == F.col(f"_{b}"))
+    tied = df.join(cut if by else F.broadcast(cut), same).withColumn("_t", F.row_number().over(Window.partitionBy(*by, "fraction").orderBy(*tie)))
+    more = tied.where("_t <= room").groupBy(*by, "fraction").agg(F.count_if(F.col(Y) == 1).alias("more"))
+    out = asked.join(whole, [*by, "fraction"], "left").join(more, [*by, "fraction"], "left")
     hits = F.coalesce("hits", F.lit(0)) + F.coalesce("more", F.lit(0))
-    return out.select("fraction", "k", (hits / F.col("k")).alias("precision"), F.try_divide(hits, F.col("positives")).alias("recall"))
+    return out.select(*by, "fraction", "k", (hits / F.col("k")).alias("precision"), F.try_divide(hits, F.col("positives")).alias("recall"))
+
+
+def grid(df: DataFrame, by: tuple[str, ...] = ("model_name", "split"), thresholds: tuple[float, ...] = (0.5,), fractions: tuple[float, ...] = (0.05, 0.1), tie: tuple[str, ...] = ("symbol", "timestamp")) -> list[dict]:
+    """compute() of a binary task for every group of a table of scores: by, then the metrics as a nested mapping, in order of the groups.
+    Four aggregations keyed by group, however many groups there are; a row for each of them comes back."""
+    if df.isEmpty():
+        raise ValueError("no rows to measure")
+    key = lambda r: tuple(r[b] for b in by)
+    rest = lambda r, *names: {k: v for k, v in r.asDict().items() if k not in (*by, *names)}
+    out = {key(r): dict(zip(by, key(r), strict=True)) | rest(r) for r in basics(df, by).collect()}
+    for r in ranking(df, by).collect():
+        out[key(r)] |= rest(r)
+    for name, part, rows in (("threshold_metrics", "threshold", at_thresholds(df, list(thresholds), by)), ("top_fraction_metrics", "fraction", at_top(df, list(fractions), tie, by))):
+        for group in out.values():
+            group[name] = {}
+        for r in rows.orderBy(part).collect():
+            out[key(r)][name][str(r[part])] = rest(r, part)
+    return [out[k] for k in sorted(out)]
 
 
 def confusion(df: DataFrame, actual: str = "y_true", predicted: str = "y_pred") -> DataFrame:

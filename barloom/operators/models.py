@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,9 +16,10 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import metrics
+from barloom.operators import boosting, metrics
 from barloom.operators.features import build, feature_columns
-from barloom.sources.tables import get_text, names_of, put_text
+from barloom.sources.staging import run_folder, staged
+from barloom.sources.tables import get_text, names_of, plain, put_text, report
 
 UNBUILT = ("pytorch", "jax", "lightgbm", "xgboost")
 
@@ -82,6 +85,20 @@ class VectorModel:
         self.model.write().overwrite().save(path)
 
 
+class BoostedModel:
+    """Trees grown best leaf first over binned features."""
+
+    def __init__(self, model: boosting.BoostedTrees):
+        self.model = model
+
+    def transform(self, df: DataFrame, positive: int = 1) -> DataFrame:
+        made = self.model.scored(df, "_one")
+        return _with_classes(made, F.create_map(F.lit(0), 1 - F.col("_one"), F.lit(1), F.col("_one")), positive).drop("_one")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.save(spark, path)
+
+
 class ValueModel:
     """A fitted regression."""
 
@@ -138,6 +155,9 @@ def fit(config: dict, data: Dataset):
     if kind == "majority":
         top = data.train.groupBy(data.target).count().orderBy(F.desc("count"), data.target).first()
         return MajorityModel(int(top[0]))
+    if kind == "boosted" and data.train.select(data.target).distinct().limit(2).count() == 2:
+        rules = boosting.Rules(params.get("max_leaf_nodes", 31), params.get("max_depth"), params.get("min_samples_leaf", 20), params.get("l2", 0.0))
+        return BoostedModel(boosting.boost(data.train, data.features, data.target, params.get("max_iter", 200), params.get("learning_rate", 0.05), params.get("max_bins", 255), rules))
     stages: list = [VectorAssembler(inputCols=data.features, outputCol="_raw" if config.get("scale") else "_features", handleInvalid="error")]
     if config.get("scale"):
         # the scaler divides by the sample deviation; the population one is smaller by the root of (n - 1) / n
@@ -160,13 +180,21 @@ def fit(config: dict, data: Dataset):
         stages.append(GBTClassifier(featuresCol="_features", labelCol=data.target, maxIter=params.get("max_iter", 200), stepSize=params.get("learning_rate", 0.05), maxDepth=params.get("max_depth", 5), maxBins=255, seed=params.get("seed", 42)))
     else:
         raise ValueError(f"unknown estimator {kind!r}")
-    return VectorModel(Pipeline(stages=stages).fit(train))
+    made = Pipeline(stages=stages).fit(train)
+    if kind == "logistic":
+        # a fresh model keeps its training summary, and that the session, which tasks can't take once it has observed a write
+        path = f"{run_folder(train.sparkSession)}/model-{uuid.uuid4().hex}"
+        made.write().save(path)
+        made = PipelineModel.load(path)
+    return VectorModel(made)
 
 
 def load(spark: SparkSession, path: str, kind: str = "spark"):
     """A saved model; other formats than those of save() raise."""
     if kind != "spark":
         raise NotImplementedError(f"artifact format {kind!r}")
+    if trees := boosting.BoostedTrees.load(spark, path):
+        return BoostedModel(trees)
     if label := get_text(spark, f"{path}/majority.json"):
         return MajorityModel(json.loads(label)["label"])
     if not names_of(spark, f"{path}/metadata"):
@@ -189,7 +217,8 @@ def feature_schema(spark: SparkSession, model_dir: str, fallback: str | None = N
 
 
 def train_all(configs: dict[str, dict], data: Dataset, folder: str, version: str = "1") -> dict[str, dict]:
-    """Fits, scores on validation and saves each model with its metadata, feature list and metrics, on the file system of folder."""
+    """Fits, scores on validation and saves each model with its metadata, feature list and metrics, and training_summary.json, on the
+    file system of folder."""
     out, spark = {}, data.train.sparkSession
     for name, config in configs.items():
         model, home = fit(config, data), f"{folder}/{name}"
@@ -199,20 +228,47 @@ def train_all(configs: dict[str, dict], data: Dataset, folder: str, version: str
         put_text(spark, f"{home}/metadata.json", json.dumps({"name": name, "version": version, **config, "model_path": f"{home}/model", "artifact_format": "spark"}))
         put_text(spark, f"{home}/feature_schema.json", json.dumps({"feature_columns": data.features, "num_features": len(data.features)}))
         put_text(spark, f"{home}/metrics.json", json.dumps(out[name]))
+    sizes = {f"num_{part}_rows": rows.count() for part, rows in (("train", data.train), ("validation", data.validation), ("test", data.test))}
+    summary = {"model_version": version, "task_type": "binary", "target_column": data.target, "num_features": len(data.features), **sizes, "models": out}
+    put_text(spark, f"{folder}/training_summary.json", json.dumps(plain(summary), indent=2, default=str))
     return out
 
 
-def evaluate(folder: str, data: Dataset, thresholds: tuple[float, ...] = (0.5,), fractions: tuple[float, ...] = (0.05, 0.1)) -> list[dict]:
-    """Flat metrics of every saved model on validation and test."""
-    out, spark = [], data.train.sparkSession
+def scored_grid(folder: str, data: Dataset) -> DataFrame:
+    """Predictions of every saved model on validation and test in one plan: model_name and the columns of prediction_frame()."""
+    spark, out = data.train.sparkSession, None
+    held = data.validation.withColumn("split", F.lit("validation")).unionByName(data.test.withColumn("split", F.lit("test")))
     for name in discover(spark, folder):
-        model = load(spark, f"{folder}/{name}/model")
-        for split, part in (("validation", data.validation), ("test", data.test)):
-            scored = model.transform(part).withColumn("y_true", F.col(data.target))
-            out.append({"model_name": name, "split": split} | metrics.flatten(metrics.compute(scored, "binary", thresholds, fractions)))
+        made = prediction_frame(load(spark, f"{folder}/{name}/model").transform(held), data.target, "binary").withColumn("model_name", F.lit(name))
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        raise FileNotFoundError(f"no saved models in {folder}")
     return out
 
 
+def evaluate(folder: str, data: Dataset, thresholds: tuple[float, ...] = (0.5,), fractions: tuple[float, ...] = (0.05, 0.1), out: str | None = None) -> list[dict]:
+    """Flat metrics of every saved model on validation and test, as many jobs as for one. With `out`, a folder on any file system, the
+    predictions (by model and split), evaluation_summary.json, metrics_table.csv and evaluation_report.md are written there."""
+    spark = data.train.sparkSession
+    scores = scored_grid(folder, data)
+    if out:
+        scores.write.mode("overwrite").partitionBy("model_name", "split").parquet(f"{out}/predictions")
+        scores = spark.read.schema(scores.schema).parquet(f"{out}/predictions")
+    else:
+        scores = staged(scores, "predictions")
+    results = metrics.grid(scores, ("model_name", "split"), thresholds, fractions)
+    order = {"validation": 0, "test": 1}
+    results.sort(key=lambda r: (r["model_name"], order[r["split"]]))
+    rows = [metrics.flatten(r) for r in results]
+    if out:
+        summary = {"task_type": "binary", "target_column": data.target, "features": data.features, "num_models": len({r["model_name"] for r in results}), "num_results": len(results), "results": results}
+        put_text(spark, f"{out}/evaluation_summary.json", json.dumps(plain(summary), indent=2, default=str))
+        table = spark.createDataFrame([tuple(None if v is None else str(v) for v in r.values()) for r in rows], ", ".join(f"`{c}` string" for c in rows[0]))  # a row for each model and split
+        put_text(spark, f"{out}/metrics_table.csv", "\n".join([",".join(rows[0]), *[",".join("" if v is None else str(v) for v in r.values()) for r in rows], ""]))
+        put_text(spark, f"{out}/evaluation_report.md", report("Evaluation", {"Metrics": table, "Features": {f: "" for f in data.features}}))
+    return rows
+
+
 def batch_predict(bars: DataFrame, model, features: list[str], windows: list[int], threshold: float = 0.5, policy: str = "full_window", name: str = "model", version: str = "1") -> DataFrame:
     """Features of bars, without rows that miss one, scored: key, close, model, prediction, y_score."""
     made = model.transform(build(bars, windows, policy).na.drop(subset=features))
@@ -252,7 +308,47 @@ def predict_requests(requests: DataFrame, model, features: list[str], windows: l
     return scored.select("request_id", "symbol", "timestamp", (score >= threshold).cast("int").alias("prediction"), score, chance.alias("probabilities"), "warnings")
 
 
-def calibrate(scored: DataFrame, target: str = "y_true"):
-    """Isotonic map of scores, fitted on held-out rows: a function from a scored table to one with y_calibrated."""
+def calibrate(scored: DataFrame, target: str = "y_true", method: str = "isotonic"):
+    """A map of scores, fitted on held-out rows: a function from a scored table to one with y_calibrated. isotonic: rows are pooled within
+    ranges of the score, then the pools. sigmoid: a logistic curve of the score, see sigmoid()."""
+    if method == "sigmoid":
+        a, b = sigmoid(scored, target)
+        return lambda df: df.withColumn("y_calibrated", 1 / (1 + F.exp(F.lit(a) * F.col("y_score") + F.lit(b))))
+    if method != "isotonic":
+        raise ValueError(f"unknown method {method!r}")
     made = IsotonicRegression(featuresCol="y_score", labelCol=target, predictionCol="y_calibrated").fit(scored)
     return made.transform
+
+
+def sigmoid(scored: DataFrame, target: str = "y_true", most: int = 100, tolerance: float = 1e-10) -> tuple[float, float]:
+    """a and b of 1 / (1 + exp(a * score + b)) with the least log loss, by Newton's method: each step is one aggregation of five sums. The
+    targets are not 0 and 1 but 1 / (n0 + 2) and (n1 + 1) / (n1 + 2) for n0 and n1 rows of the classes, so that a table which a score
+    parts has a solution. Rows with a null score or target don't count; without rows it raises."""
+    rows = staged(scored.select(F.col("y_score").cast("double").alias("f"), F.col(target).cast("double").alias("y")).where("f IS NOT NULL AND y IS NOT NULL"), "scores")
+    n, n1 = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    if not n:
+        raise ValueError("no rows to calibrate with")
+    t = F.when(F.col("y") > 0, F.lit((n1 + 1) / (n1 + 2))).otherwise(F.lit(1 / (n - n1 + 2)))
+    a, b = 0.0, math.log((n - n1 + 1) / (n1 + 1))
+
+    def sums(a: float, b: float):
+        z = F.lit(a) * F.col("f") + F.lit(b)
+        p = 1 / (1 + F.exp(z))
+        loss = t * z + F.when(z > 0, F.log1p(F.exp(-z))).otherwise(F.log1p(F.exp(z)) - z)
+        # of the loss: its value, both slopes, and the second derivatives
+        d, w = t - p, p * (1 - p)
+        return rows.agg(F.sum(loss), F.sum(d * F.col("f")), F.sum(d), F.sum(w * F.col("f") * F.col("f")), F.sum(w * F.col("f")), F.sum(w)).first()
+
+    now = sums(a, b)
+    for _ in range(most):
+        value, ga, gb, haa, hab, hbb = now
+        if max(abs(ga), abs(gb)) <= tolerance * n:
+            break
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+        step = 1.0
+        while (then := sums(a + step * da, b + step * db))[0] > value + 1e-4 * step * (ga * da + gb * db) and step > 1e-10:
+            step /= 2
+        a, b, now = a + step * da, b + step * db, then
+    return a, b

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import defaultdict
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time, log
@@ -74,13 +76,54 @@ def irregular_gaps(df: DataFrame, seconds: int) -> DataFrame:
     return seen.withColumn("_s", step).groupBy("symbol").agg(F.count_if(F.col("_s") != seconds * 1_000_000).alias("irregular"))
 
 
+#: Steps of the grid that are looked at together, and that one row lists at most.
+GRID_CHUNK = 4096
+
+
+def gaps(df: DataFrame, seconds: int, chunk: int = GRID_CHUNK) -> DataFrame:
+    """(symbol, first, n, step): runs of n times, step microseconds apart from `first` on, that the grid of a symbol has between its
+    first bar and its last, and that no bar has. Bars off the grid fill nothing.
+
+    Times are compared with the next one within chunks of the grid; the last of each chunk with the first of the next that has
+    any. No row lists a grid, and no task holds a symbol.
+    """
+    step = seconds * 1_000_000
+    t = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    rows = staged(df.where("timestamp IS NOT NULL").select("symbol", t.alias("t")), "times")
+    spans = rows.groupBy("symbol").agg(F.min("t").alias("a"), F.max("t").alias("b")).withColumnRenamed("symbol", "s")
+    met = rows.join(spans, F.col("symbol").eqNullSafe(F.col("s"))).drop("s")
+    grid = met.where((F.col("t") - F.col("a")) % step == 0).withColumn("c", F.floor((F.col("t") - F.col("a")) / (step * chunk)))
+    inner = grid.withColumn("after", F.lead("t").over(Window.partitionBy("symbol", "c").orderBy("t"))).select("symbol", "t", "after")
+    ends = grid.groupBy("symbol", "c").agg(F.min("t").alias("low"), F.max("t").alias("t"), F.first("a").alias("a"), F.first("b").alias("b"))
+    last = F.col("a") + F.floor((F.col("b") - F.col("a")) / step) * step  # of the grid
+    following = F.lead("low").over(Window.partitionBy("symbol").orderBy("c"))  # a row per chunk
+    outer = ends.withColumn("after", F.coalesce(following, last + step)).select("symbol", "t", "after")
+    holes = inner.unionByName(outer).where(F.col("after") - F.col("t") > step)
+    return holes.select("symbol", (F.col("t") + step).alias("first"), F.expr(f"(after - t) div {step} - 1").alias("n"), F.lit(step).cast("long").alias("step"))
+
+
+def listed(holes: DataFrame, kind: str, most: int | None = None, chunk: int = GRID_CHUNK) -> DataFrame:
+    """(symbol, missing_timestamp) of gaps, or of the first `most` times of each gap; a long gap is first cut into parts."""
+    n = F.col("n") if most is None else F.least("n", F.lit(most))
+    parts = holes.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
+    each = F.sequence(F.col("_k"), F.least(F.col("_k") + chunk, F.col("_n")) - 1)
+    return parts.select("symbol", "first", "step", F.explode(each).alias("_i")).select("symbol", F.timestamp_micros(F.col("first") + F.col("_i") * F.col("step")).cast(kind).alias("missing_timestamp"))
+
+
 def missing_bars(df: DataFrame, seconds: int) -> DataFrame:
     """(symbol, missing_timestamp): the grid from each symbol's first bar to its last, without the bars that are there."""
-    step = F.make_dt_interval(secs=F.lit(float(seconds)))
-    spans = df.groupBy("symbol").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
-    grid = spans.where("a IS NOT NULL").select("symbol", F.explode(F.sequence("a", "b", step)).alias("missing_timestamp"))
-    seen = df.select(F.col("symbol").alias("_s"), F.col("timestamp").alias("_t"))
-    return grid.join(seen, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("missing_timestamp") == F.col("_t")), "left_anti")
+    return listed(gaps(df, seconds), df.schema["timestamp"].dataType.simpleString())
+
+
+def first_missing(holes: DataFrame, kind: str, most: int) -> DataFrame:
+    """(symbol, m, missing_preview): how many bars are missing, and the first `most` of them in order. Tasks keep that many gaps of a
+    symbol, then that many times."""
+    sums = holes.groupBy("symbol").agg(F.sum("n").alias("m")).withColumnRenamed("symbol", "s")
+    turn = lambda by: F.row_number().over(Window.partitionBy("symbol").orderBy(by))
+    few = holes.withColumn("_k", turn("first")).where(F.col("_k") <= most).drop("_k")
+    times = listed(few, kind, most).withColumn("_k", turn("missing_timestamp")).where(F.col("_k") <= most)
+    shown = times.groupBy("symbol").agg(F.sort_array(F.collect_list("missing_timestamp")).alias("missing_preview"))
+    return sums.join(shown, F.col("s").eqNullSafe(F.col("symbol"))).select("symbol", "m", "missing_preview")
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
@@ -145,25 +188,43 @@ def _time_counts(df: DataFrame, seconds: int, extreme: float) -> dict[str, int]:
     return sums.crossJoin(F.broadcast(moves)).first().asDict()  # one row each
 
 
-def validate(df: DataFrame, seconds: int, extreme: float = 0.10) -> DataFrame:
+def _time_counts_chunked(df: DataFrame, seconds: int, extreme: float, chunk_rows: int) -> dict[str, int]:
+    """_time_counts() without a task for each symbol: by chunks of rows, and of the grid."""
+    key = ["symbol", "timestamp"]
+    timed = df.where("timestamp IS NOT NULL")
+    total = lambda rows, c: rows.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]
+    close = df.withColumn("close", F.col("close").cast("double")).select(*key, "close") if "close" in df.columns else None
+    return {
+        "repeated": total(timed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "n"),
+        "uneven": total(irregular_gaps_chunked(timed.select(*key), seconds, chunk_rows), "irregular"),
+        "grid": total(gaps(timed.select(*key), seconds), "n"),
+        "on_grid": 0,
+        "extreme": extreme_returns_chunked(close, chunk_rows, extreme).count() if close is not None else 0,
+    }
+
+
+def validate(df: DataFrame, seconds: int, extreme: float = 0.10, chunk_rows: int | None = None) -> DataFrame:
     """All issues of a table of bars. Columns that a check needs and that are missing give an issue in its place; where some times are
     null the other checks of time are skipped.
 
-    The table is written once and read by one aggregate (nulls and rules), one window by time, one by arrival, and one count of
-    equal rows. Each hands one row to the driver.
+    The table is written once; nulls and rules are counted while it is. One window by time, one by arrival, and one count of equal
+    rows read it. Each hands one row to the driver. chunk_rows: for few symbols with very many rows, the checks of time by chunks of
+    that many rows instead of a window for each symbol.
     """
-    df = staged(df, "checked")
     plain = [c for c in df.columns if not c.startswith("_")]
     prices = [c for c in ("open", "high", "low", "close", "volume") if c not in df.columns]
     rules = {} if prices else RULES
-    sums = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{k}") for k, c in enumerate(plain)], *[F.count_if(F.expr(r)).alias(k) for k, r in rules.items()]).first()
+    seen = Observation()
+    df = staged(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{k}") for k, c in enumerate(plain)], *[F.count_if(F.expr(r)).alias(k) for k, r in rules.items()]), "checked")
+    sums = defaultdict(int, seen.get)
     nulls = {c: sums[f"null_{k}"] for k, c in enumerate(plain)}
     rows = [
         ("core_null_values", "ERROR", None, sum(n for c, n in nulls.items() if c in CORE)),
         ("total_null_values_counted", "INFO", True, sum(nulls.values())),
     ]
     keyed = not {"symbol", "timestamp"} - set(df.columns)
-    times = _time_counts(df, seconds, extreme) if keyed else {}
+    counted = (lambda d, s, e: _time_counts_chunked(d, s, e, chunk_rows)) if chunk_rows else _time_counts
+    times = counted(df, seconds, extreme) if keyed else {}
     if not keyed:
         rows += [(f"{c}_column_exists", "ERROR", False, 1) for c in ("timestamp", "symbol") if c not in df.columns][:1]
     else:

@@ -32,10 +32,10 @@ def prepared(df: DataFrame, h: int) -> DataFrame:
     return _checked(_typed(df, h))
 
 
-def build(df: DataFrame, h: int, train: float, validation: float, test: float, gap: int, q: float) -> DataFrame:
+def build(df: DataFrame, h: int, train: float, validation: float, test: float, gap: int, q: float, placed: bool = False) -> DataFrame:
     """split and y_high_vol_h_split_safe of labelled rows, checked as prepared() does. The splits are written once: the checks, the
-    threshold and the labels read them."""
-    made = _checked(staged(assign(_typed(df, h), train, validation, test, gap), "splits"))
+    threshold and the labels read them. placed: for few symbols with very many rows, by places from counts, without a task for each symbol."""
+    made = _checked(staged((assign_placed if placed else assign)(_typed(df, h), train, validation, test, gap), "splits"))
     return safe_label(made, h, train_threshold(made, h, q))
 
 

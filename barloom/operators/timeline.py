@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.staging import run_folder
 from barloom.sources.tables import artifacts, get_text, read_or_empty, with_times
 
 
@@ -28,6 +30,21 @@ def join_predictions(left: DataFrame, right: DataFrame | None, key: tuple[str, .
     return left.join(right, list(key), "left")
 
 
+def write_buckets(df: DataFrame, name: str, buckets: int, path: str | None = None, key: tuple[str, str] = ("symbol", "timestamp")) -> None:
+    """df as a table in buckets by its key, each sorted by it: at path, in the folder of this run unless given. The time is part of the
+    key, so a symbol of many rows is in all buckets; a bucket is one file."""
+    place = path or f"{run_folder(df.sparkSession)}/buckets-{uuid.uuid4().hex}"
+    df.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key).option("path", place).mode("overwrite").saveAsTable(name)
+
+
+def join_buckets(spark: SparkSession, left: str, right: str, key: tuple[str, str] = ("symbol", "timestamp")) -> DataFrame:
+    """join_predictions() of two tables of write_buckets() with as many buckets: neither side is dealt again, and repeated keys are
+    counted within their bucket. Rows with a null symbol or time stay, and meet none."""
+    a, b = spark.table(left), spark.table(right)
+    b = b.drop(*[c for c in b.columns if c in a.columns and c not in key])
+    return _unique(a, key, "left").join(_unique(b, key, "right").hint("merge"), list(key), "left").select(*a.columns, *[c for c in b.columns if c not in key])
+
+
 def load_artifacts(spark: SparkSession, paths: dict[str, str], columns: dict[str, str] | None = None) -> dict:
     """Everything that a view of a run reads, missing files tolerated: split_df, prediction_df, timeline_df (both joined), metrics_df, side
     files as they are, and which paths are there."""

@@ -5,13 +5,16 @@ Bars are events by event_type and hour. Doubles are rounded on both sides: sums
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import by_time, trailing
+from barloom.functions.ranged import quantiles
 from barloom.operators import bars as B
+from barloom.operators import boosting as BT
 from barloom.operators import drift as D
 from barloom.operators import features as X
 from barloom.operators import labels as L
@@ -346,6 +349,11 @@ def labeled_table(spark, sf_dir):
     return L.labeled(labeled(spark, sf_dir), H).select("symbol", "timestamp", "close", f"future_rv_{H}", f"y_high_vol_{H}")
 
 
+@query(ctes(BARS, FUTURE, MASK, LIMIT, LABEL) + pick(f"symbol timestamp ~close ~future_rv_{H} y_high_vol_{H}", f"lab WHERE y_high_vol_{H} IS NOT NULL"))
+def labeled_table_chunked(spark, sf_dir):
+    return L.labeled(L.build(hourly(spark, sf_dir), H, TRAIN, QUANTILE, chunk_rows=200), H).select("symbol", "timestamp", "close", f"future_rv_{H}", f"y_high_vol_{H}")
+
+
 @query(ctes(BARS, FUTURE, MASK, LIMIT, LABEL, f"""s AS (SELECT count(y_high_vol_{H}) AS labeled_rows, count(*) - count(y_high_vol_{H}) AS unlabeled_rows, count(*) FILTER (y_high_vol_{H} = 0) AS low_rows,
  count(*) FILTER (y_high_vol_{H} = 1) AS high_rows, avg(y_high_vol_{H}) AS positive_rate, avg(y_high_vol_{H}) FILTER (used_for_label_threshold) AS masked_positive_rate, min(future_rv_{H}) AS rv_min,
  quantile_cont(future_rv_{H}, 0.5) AS rv_median, avg(future_rv_{H}) AS rv_mean, max(future_rv_{H}) AS rv_max FROM lab)""") + pick("labeled_rows unlabeled_rows low_rows high_rows ~positive_rate ~masked_positive_rate ~rv_min ~rv_median ~rv_mean ~rv_max", "s"))
@@ -444,6 +452,12 @@ def split_safe_label(spark, sf_dir):
 _NAMES = "names(position, split) AS (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(S.SPLITS)) + ")"
 
 
+@query(_SAFE + f"SELECT symbol, timestamp, split, y_high_vol_{H}_split_safe FROM safe")
+def split_table_placed(spark, sf_dir):
+    made = S.build(labeled(spark, sf_dir).where(F.col(f"y_high_vol_{H}").isNotNull()), H, TRAIN, VALIDATION, TEST, GAP, QUANTILE, placed=True)
+    return made.select("symbol", "timestamp", "split", f"y_high_vol_{H}_split_safe")
+
+
 @query(_SAFE.rstrip() + ", " + _NAMES + f""" SELECT position, names.split AS split, count(symbol) AS n_rows, min(timestamp) AS start_time, max(timestamp) AS end_time, round(avg(y_high_vol_{H}_split_safe), 6) AS positive_rate
  FROM names LEFT JOIN safe ON names.split = safe.split GROUP BY 1, 2""")
 def split_summary(spark, sf_dir):
@@ -630,6 +644,11 @@ def validation_issues(spark, sf_dir):
     return Q.validate(arrived(spark, sf_dir), HOUR).drop("message")
 
 
+@query(_CHECKED + "SELECT check_name, severity, severity = 'INFO' OR count = 0 AS passed, CAST(count AS BIGINT) AS count FROM iss")
+def validation_issues_chunked(spark, sf_dir):
+    return Q.validate(arrived(spark, sf_dir), HOUR, chunk_rows=150).drop("message")
+
+
 @query(_CHECKED + """SELECT count(*) AS total_checks, count(*) FILTER (severity <> 'INFO' AND count > 0) AS failed_checks, count(*) FILTER (severity = 'ERROR' AND count > 0) AS failed_errors,
  count(*) FILTER (severity = 'WARNING' AND count > 0) AS failed_warnings, count(*) FILTER (severity = 'ERROR' AND count > 0) = 0 AS can_continue FROM iss""")
 def validation_summary(spark, sf_dir):
@@ -698,6 +717,14 @@ def top_k_precision(spark, sf_dir):
     return E.at_top(scored(spark, sf_dir), [0.05, 0.1, 0.4])
 
 
+@query(_SCORES.rstrip() + """, o AS (SELECT split, y_true, row_number() OVER (PARTITION BY split ORDER BY y_score DESC, symbol, timestamp) AS i, count(*) OVER (PARTITION BY split) AS n, sum(y_true) OVER (PARTITION BY split) AS pos FROM sc),
+ f AS (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.4::DOUBLE]) AS fraction), t AS (SELECT split, fraction, CAST(greatest(1, ceil(n * fraction)) AS BIGINT) AS k, i, y_true, pos FROM o, f),
+ m AS (SELECT split, fraction, k, sum(y_true) / k AS precision, sum(y_true) / nullif(max(pos), 0) AS recall FROM t WHERE i <= k GROUP BY 1, 2, 3) """ + pick("split ~fraction k ~precision ~recall", "m"))
+def top_k_by_split(spark, sf_dir):
+    """All splits in one plan, each with its own cut."""
+    return E.at_top(scored(spark, sf_dir), [0.05, 0.1, 0.4], by=("split",))
+
+
 CLASSES = "cl AS (SELECT quality + toxic AS y_true, CASE WHEN doc_id % 5 = 0 THEN toxic ELSE quality END AS y_pred FROM labels)"
 _PER_CLASS = """pc AS (SELECT label, count(*) FILTER (y_true = label) AS support, count(*) FILTER (y_pred = label) AS predicted_rows, count(*) FILTER (y_true = label AND y_pred = label) AS hits
  FROM cl, (SELECT DISTINCT y_true AS label FROM cl UNION SELECT DISTINCT y_pred FROM cl) GROUP BY label),
@@ -742,6 +769,18 @@ def timeline_left_join(spark, sf_dir):
     return T.join_predictions(left, right)
 
 
+@query(_SCORES + pick(f"symbol timestamp ~close split ~future_rv_{H} y_high_vol_{H}_split_safe ~y_score", f"(SELECT safe.*, y_score FROM safe LEFT JOIN sc ON safe.symbol = sc.symbol AND safe.timestamp = sc.timestamp AND sc.split = 'test')"))  # noqa: F541
+def timeline_of_buckets(spark, sf_dir):
+    """The same from tables in buckets by symbol and time: the join deals neither side again."""
+    rows = staged(safe(spark, sf_dir), "safe")
+    right = scored(spark, sf_dir, rows).where("split = 'test'").select("symbol", "timestamp", "y_score", "close")
+    left = rows.select("symbol", "timestamp", "close", "split", f"future_rv_{H}", f"y_high_vol_{H}_split_safe")
+    names = [f"barloom_{side}_{uuid.uuid4().hex}" for side in ("rows", "scores")]
+    for df, name in zip((left, right), names, strict=True):
+        T.write_buckets(df, name, 8)
+    return T.join_buckets(spark, *names)
+
+
 @query(_SCORES + pick("symbol timestamp ~close", f"safe WHERE y_high_vol_{H}_split_safe = 1"))
 def high_vol_overlay(spark, sf_dir):
     return T.overlay(safe(spark, sf_dir), f"y_high_vol_{H}_split_safe").select("symbol", "timestamp", "close")
@@ -884,3 +923,39 @@ def batch_predict(spark, sf_dir):
     data = _dataset(spark, sf_dir)
     model = M.fit({"estimator": "logistic", "scale": True, "params": {"max_iter": 50}}, data)
     return M.batch_predict(hourly(spark, sf_dir), model, data.features, [12])
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    data = _dataset(spark, sf_dir)
+    return M.fit({"estimator": "boosted", "params": {"max_iter": 5}}, data).transform(data.test).select("symbol", "timestamp", "y_score", "y_pred")
+
+
+_STUMP = """d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_extendedprice AS DOUBLE) AS c FROM lineitem),
+ base AS (SELECT avg(y) AS p FROM d), lg AS (SELECT 0 AS f, a AS v, y FROM d UNION ALL SELECT 1, b, y FROM d UNION ALL SELECT 2, c, y FROM d),
+ hist AS (SELECT f, v, count(*) AS n, sum(y) AS s FROM lg GROUP BY f, v), wide AS (SELECT f, count(*) > 63 AS many FROM hist GROUP BY f),
+ edges AS (SELECT f, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS edge FROM hist JOIN wide USING (f) WHERE NOT many
+   UNION ALL SELECT f, unnest(list_distinct(quantile_cont(v, [k / 63.0 FOR k IN range(1, 63)]))) FROM lg JOIN wide USING (f) WHERE many GROUP BY f),
+ cut AS (SELECT e.f, e.edge, sum(n) AS nl, sum(s) AS sl FROM edges e JOIN hist h ON h.f = e.f AND h.v <= e.edge WHERE edge IS NOT NULL GROUP BY 1, 2),
+ whole AS (SELECT count(*) AS n, sum(y) AS s FROM d),
+ gains AS (SELECT cut.*, nl * p - sl AS gl, nl * p * (1 - p) AS hl, (n - nl) * p - (s - sl) AS gr, (n - nl) * p * (1 - p) AS hr, p, n - nl AS nr, s - sl AS sr FROM cut, base, whole WHERE nl >= 20 AND n - nl >= 20),
+ best AS (SELECT * FROM gains ORDER BY gl * gl / hl + gr * gr / hr DESC, f, edge LIMIT 1),
+ leaves AS (SELECT nl AS n, sl AS ones, -gl / hl AS x, p FROM best UNION ALL SELECT nr, sr, -gr / hr, p FROM best)"""
+
+
+@query(ctes(_STUMP) + "SELECT round(1 / (1 + exp(-(ln(p / (1 - p)) + 0.05 * x))), 6) AS y_score, CAST(n AS BIGINT) AS n, CAST(ones AS BIGINT) AS ones FROM leaves")
+def boosted_stump(spark, sf_dir):
+    """One split of all line items: the best of three features' bins, by sums of gradients."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), *[F.col(x).cast("double").alias(c) for c, x in (("a", "l_quantity"), ("b", "l_discount"), ("c", "l_extendedprice"))])
+    model = BT.boost(rows, ["a", "b", "c"], "y", iterations=1, max_bins=63, rules=BT.Rules(max_leaf_nodes=2))
+    return model.scored(rows).groupBy("y_score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
+
+
+_QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+
+
+@query(f"WITH w AS (SELECT l_returnflag AS k, quantile_cont(CAST(l_extendedprice AS DOUBLE), {_QS}) AS v FROM lineitem GROUP BY 1) SELECT k, unnest({_QS}) AS q, round(unnest(v), 6) AS value FROM w")
+def quantiles_by_radix(spark, sf_dir):
+    """All quantiles of all groups by four histograms of the bits, whatever the number of rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_extendedprice").cast("double").alias("v"))
+    return quantiles(rows, "v", _QS, ("k",), small=0)

@@ -13,7 +13,7 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clean, interval_seconds
@@ -168,15 +168,30 @@ def canonical(raw: DataFrame, symbol: str, per_row_unit: bool = False) -> DataFr
     return keep_first(made, ("symbol", "timestamp"), [F.col("_ingest_order")]).drop("_ingest_order")
 
 
+def check_sums(columns: list[str]) -> dict[str, Column]:
+    """What ingestion_checks() adds up, as aggregates: they can be observed while rows are written."""
+    if missing := [c for c in (*CORE, *OPTIONAL) if c not in columns]:
+        raise ValueError(f"missing columns: {missing}")
+    prices = F.least("open", "high", "low", "close")
+    return {
+        "n": F.count(F.lit(1)),
+        "nulls": F.count_if(F.greatest(*[F.col(c).isNull().cast("int") for c in CORE]) == 1),
+        "low": F.count_if(prices <= 0),
+        "negative": F.count_if(F.col("volume") < 0),
+        "first": F.min("timestamp"),
+        "last": F.max("timestamp"),
+    }
+
+
+def raise_unless_sound(sums: dict) -> None:
+    if not sums.get("n") or sums["nulls"] or sums["low"] or sums["negative"]:
+        raise ValueError(f"{sums.get('n', 0)} rows, {sums.get('nulls', 0)} with nulls, {sums.get('low', 0)} with prices at or below 0, {sums.get('negative', 0)} with negative volumes")
+
+
 def ingestion_checks(bars: DataFrame, order: str | None = None) -> None:
     """Raises on missing columns, an empty table, nulls in core columns, prices at or below 0, negative volumes, repeated keys, and
     where a column of order is named on a row that is earlier than the one before it."""
-    if missing := [c for c in (*CORE, *OPTIONAL) if c not in bars.columns]:
-        raise ValueError(f"missing columns: {missing}")
-    prices = F.least("open", "high", "low", "close")
-    row = bars.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.greatest(*[F.col(c).isNull().cast("int") for c in CORE]) == 1).alias("nulls"), F.count_if(prices <= 0).alias("low"), F.count_if(F.col("volume") < 0).alias("negative")).first()
-    if not row.n or row.nulls or row.low or row.negative:
-        raise ValueError(f"{row.n} rows, {row.nulls} with nulls, {row.low} with prices at or below 0, {row.negative} with negative volumes")
+    raise_unless_sound(bars.agg(*[c.alias(k) for k, c in check_sums(bars.columns).items()]).first().asDict())
     if not bars.groupBy("symbol", "timestamp").count().where("count > 1").isEmpty():
         raise ValueError("repeated keys")
     if order is not None and not globally_sorted(bars, order).first()[0]:
@@ -220,11 +235,13 @@ def run_ingestion(spark: SparkSession, config: dict, fetch=None) -> dict:
     tables.write(raw, raw_path)
     # what was written is read: archives and pages are opened once
     kept = tables.read(spark, raw_path, RAW_SCHEMA + ", symbol string", header=True)
-    bars = staged(canonical(kept, symbol), "canonical")
-    ingestion_checks(bars)
+    # the checks are added up while the canonical rows are written; their keys differ, as the first of each key is kept
+    made, seen = canonical(kept, symbol), Observation()
+    bars = staged(made.observe(seen, *[c.alias(k) for k, c in check_sums(made.columns).items()]), "canonical")
+    row = seen.get
+    raise_unless_sound(row)
     tables.write(bars.repartitionByRange("timestamp").sortWithinPartitions("timestamp"), processed)
-    row = bars.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
     return {
         "data_source": source, "symbol": symbol, "interval": interval, "raw_path": raw_path, "processed_path": processed,
-        "num_rows": row.n, "start_timestamp": str(row.a), "end_timestamp": str(row.b), "columns": bars.columns,
+        "num_rows": row["n"], "start_timestamp": str(row["first"]), "end_timestamp": str(row["last"]), "columns": bars.columns,
     }

@@ -108,9 +108,19 @@ def write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
         raise ValueError(f"neither .parquet nor .csv: {path}")
 
 
+def _side_text(path: str | None) -> str | None:
+    """A small file on the file system that the path names; without a session, on the local disk."""
+    spark = SparkSession.getActiveSession()
+    if not path:
+        return None
+    return get_text(spark, str(path)) if spark else Path(path).read_text() if Path(path).is_file() else None
+
+
 def read_config(path: str) -> dict:
-    """A JSON or YAML mapping."""
-    text = Path(path).read_text()
+    """A JSON or YAML mapping, on any file system."""
+    text = _side_text(path)
+    if text is None:
+        raise FileNotFoundError(path)
     if str(path).endswith(".json"):
         found = json.loads(text)
     else:
@@ -123,18 +133,23 @@ def read_config(path: str) -> dict:
 
 
 def read_json(path: str | None, missing: object = None) -> object:
-    if not path or not Path(path).is_file():
-        return missing
-    return json.loads(Path(path).read_text())
+    text = _side_text(path)
+    return missing if text is None else json.loads(text)
 
 
 def read_text(path: str | None, missing: str | None = None) -> str | None:
-    return Path(path).read_text() if path and Path(path).is_file() else missing
+    text = _side_text(path)
+    return missing if text is None else text
 
 
 def write_json(path: str, value: object) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(value), indent=2, default=str))
+    """With the folders that it needs, on any file system; without a session on the local disk."""
+    text, spark = json.dumps(plain(value), indent=2, default=str), SparkSession.getActiveSession()
+    if spark:
+        put_text(spark, str(path), text)
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text)
 
 
 def plain(value: object) -> object:

@@ -1,9 +1,14 @@
 """Exact small cases and invariants of the operators that SQL over the sample tables doesn't reach."""
 
 import io
+import math
+import random
+import re
+import struct
 import subprocess
 import sys
 import zipfile
+from datetime import datetime
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -12,7 +17,8 @@ from pyspark.errors import PySparkException
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from barloom.functions import ranged
+from barloom.functions import frames, ranged
+from barloom.functions.columns import trailing
 from barloom.operators import bars as B
 from barloom.operators import drift as D
 from barloom.operators import features as X
@@ -428,3 +434,185 @@ def test_a_cluster_needs_a_shared_folder():
 def test_without_the_text_operators():
     code = "import sys; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert e.queries() and set(e.oracle_sql()) <= set(e.queries()) and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
+
+
+def test_bits_keep_the_order_of_doubles(spark):
+    values = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.2250738585072009e-308, 1.0, 1.0000000000000002, 0.9999999999999999, 2.0, 1.9999999999999998, 3.0, 1e-5, 1e300, 1.7976931348623157e308, float("inf")]
+    values += [2.0**k for k in range(-1074, 1024, 7)] + [math.nextafter(2.0**k, s) for k in range(-1070, 1023, 13) for s in (0.0, math.inf)]
+    values += [-v for v in values] + [float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = df.select("k", "v", ranged.bits_of(F.col("v")).alias("b")).withColumn("back", ranged.double_of(F.col("b"))).collect()
+    for r in got:
+        v = values[r.k]
+        if math.isnan(v):
+            assert math.isnan(r.back) and r.b == max(x.b for x in got)
+        else:
+            assert r.back == v and abs(r.b) == int.from_bytes(struct.pack(">d", abs(v)), "big") and (r.b < 0) == (v < 0)
+
+
+def test_quantiles_by_radix_equal_percentile(spark):
+    odd = "CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN -0.0D WHEN 2 THEN 0.0D WHEN 3 THEN 7.25D WHEN 4 THEN -1e-310D WHEN 5 THEN double('inf') WHEN 6 THEN -1e300D ELSE (rand(3) - 0.5) * pow(10, id % 40 - 20) END"
+    rows = ranged.staged(spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('s', id % 5) END AS k", f"{odd} AS v"), "test")
+    qs = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.75, 0.999, 1.0]
+    for by in ((), ("k",)):
+        want = {tuple(r[b] for b in by): r.q for r in rows.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect()}
+        for chosen in (0, 10_000):
+            ranged.CHOSEN, held = chosen, ranged.CHOSEN
+            got = {tuple(r[b] for b in by): r.q for r in ranged.quantile_arrays(rows, "v", qs, by, 0).collect()}
+            ranged.CHOSEN = held
+            assert got.keys() == want.keys()
+            for k in got:
+                assert got[k] == pytest.approx(want[k], rel=1e-14, abs=0), k
+    assert ranged.quantiles(rows.where("false"), "v", qs, small=0).collect() == []
+
+
+def test_only_histograms_are_shuffled(spark, monkeypatch):
+    sizes = []
+    write = ranged.staged
+    monkeypatch.setattr(ranged, "staged", lambda df, name: (made := write(df, name), sizes.append((name, made.count())))[0])
+    rows = spark.range(60_000).selectExpr("sin(id) AS v")  # all distinct, mostly of few exponents
+    got = ranged.quantiles(rows, "v", [0.5], small=0).first().value
+    assert got == pytest.approx(rows.agg(F.percentile("v", F.lit(0.5))).first()[0])
+    digits = [n for name, n in sizes if name == "digits"]
+    assert len(digits) == 4 and digits[0] < 2000 and all(n <= 1 << 16 for n in digits)
+
+
+def test_linear_frames_equal_moving_ones(spark):
+    rows = bars(spark, 90, 3).withColumn("x", F.expr("CASE WHEN hash(timestamp) % 4 = 0 THEN NULL ELSE close + hash(timestamp) % 7 END"))
+    w = X.by_time()
+    for n in (1, 2, 5, 30, 200):
+        kinds = [(f"{how}_{least}", how, least) for how in ("mean", "std", "max", "min", "sum", "energy") for least in sorted({1, n})]
+        made = frames.with_trailing(rows, {name: (F.col("x"), how, n, least) for name, how, least in kinds})
+        assert made.columns == [*rows.columns, *[name for name, _, _ in kinds]]
+        both = made.withColumns({f"w_{name}": trailing(F.col("x"), n, how, w, least) for name, how, least in kinds}).collect()
+        for r in both:
+            for name, _, _ in kinds:
+                assert (r[name] is None) == (r[f"w_{name}"] is None) and (r[name] is None or r[name] == pytest.approx(r[f"w_{name}"], abs=1e-9)), (n, name)
+    plan = frames.with_trailing(rows, {"m": (F.col("x"), "max", 50, 1)})._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"specifiedwindowframe\(RowFrame, ([^,]*),", plan)) <= {"unboundedpreceding$()", "-49"} and plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        frames.with_trailing(rows, {"m": (F.col("x"), "max", 0, 1)})
+    with pytest.raises(ValueError):
+        frames.with_trailing(rows, {"m": (F.col("x"), "median", 3, 1)})
+
+
+def test_gaps_by_chunks_of_the_grid(spark):
+    rows = []
+    rng = random.Random(3)
+    for symbol, n in (("long", 4000), ("short", 5), ("one", 1), (None, 40)):
+        for k in range(n):
+            if rng.random() < 0.8 or k in (0, n - 1):
+                rows.append((symbol, 300 * k + (7 if rng.random() < 0.05 and k else 0)))
+    rows += rows[:20] + [("hole", 0), ("hole", 300 * 100_000), ("none", None), ("off", 0), ("off", 950)]
+    df = spark.createDataFrame(rows, "symbol string, s long").select("symbol", F.timestamp_seconds("s").cast("timestamp_ntz").alias("timestamp"))
+    want = set()
+    for symbol in {s for s, _ in rows}:
+        mine = {t for s, t in rows if s == symbol and t is not None}
+        if mine:
+            want |= {(symbol, t) for t in range(min(mine), max(mine) + 1, 300)} - {(symbol, t) for t in mine}
+    for chunk in (1, 7, 4096):
+        holes = Q.gaps(df, 300, chunk)
+        got = [(r.symbol, int((r.missing_timestamp - datetime(1970, 1, 1)).total_seconds())) for r in Q.listed(holes, "timestamp_ntz", chunk=chunk).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert holes.agg(F.sum("n")).first()[0] == len(want)
+    few = {r.symbol: (r.m, [x.timestamp() for x in r.missing_preview]) for r in Q.first_missing(Q.gaps(df, 300), "timestamp", 4).collect()}
+    for symbol, (m, shown) in few.items():
+        mine = sorted(t for s, t in want if s == symbol)
+        assert m == len(mine) and shown == mine[:4]
+
+
+def test_buckets_join_without_an_exchange(spark):
+    left = bars(spark, 1500, 3).select("symbol", "timestamp", "close")
+    right = left.where("hash(timestamp) % 3 = 0").select("symbol", "timestamp", F.lit(0.5).alias("y_score"), F.lit(1.0).alias("close"))
+    odd = left.limit(2).withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    T.write_buckets(left.unionByName(odd.limit(1)), "t_left", 4)
+    T.write_buckets(right, "t_right", 4)
+    joined = T.join_buckets(spark, "t_left", "t_right")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    want = T.join_predictions(left.unionByName(odd.limit(1)), right)
+    assert joined.columns == want.columns and sorted(map(str, joined.collect())) == sorted(map(str, want.collect()))
+    T.write_buckets(right.unionByName(right.limit(1)), "t_twice", 4)
+    for a, b in (("t_left", "t_twice"), ("t_twice", "t_left")):
+        with pytest.raises(PySparkException):
+            T.join_buckets(spark, a, b).collect()
+    for name in ("t_left", "t_right", "t_twice"):
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_metrics_of_a_grid(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('m', id % 3) AS model_name", "CASE WHEN id % 2 = 0 THEN 'test' ELSE 'validation' END AS split", "'s' AS symbol", "id AS timestamp", "cast(hash(id) % 3 = 0 AS int) AS y_true", "abs(hash(id, 1) % 40) / 40.0D AS y_score")
+    got = E.grid(rows, thresholds=(0.3, 0.5), fractions=(0.1, 1.0))
+    assert [(r["model_name"], r["split"]) for r in got] == [(f"m{k}", s) for k in range(3) for s in ("test", "validation")]
+    for r in got:
+        want = E.compute(rows.where((F.col("model_name") == r["model_name"]) & (F.col("split") == r["split"])), "binary", (0.3, 0.5), (0.1, 1.0))
+        for a, b in ((E.flatten(r), E.flatten(want)),):
+            assert {k: pytest.approx(v) for k, v in b.items()} == {k: v for k, v in a.items() if k not in ("model_name", "split")}
+    for bad in (0.0, -0.1, 1.5):
+        with pytest.raises(ValueError):
+            E.at_top(rows, [0.5, bad])
+
+
+def test_evaluation_is_written(spark, tmp_path):
+    rows = spark.range(240).selectExpr("cast(id % 17 AS double) AS a", "'s' AS symbol", "timestamp_seconds(id) AS timestamp", "cast(id % 17 > 8 AS int) AS y", "CASE WHEN id < 160 THEN 'train' WHEN id < 200 THEN 'validation' ELSE 'test' END AS split")
+    data = M.dataset(rows, ["a"], "y")
+    M.train_all({"most": {"estimator": "majority"}, "line": {"estimator": "logistic", "params": {"max_iter": 20}}}, data, f"{tmp_path}/models", "7")
+    summary = R.read_json(f"{tmp_path}/models/training_summary.json")
+    assert summary["model_version"] == "7" and (summary["num_train_rows"], summary["num_validation_rows"], summary["num_test_rows"]) == (160, 40, 40) and set(summary["models"]) == {"line", "most"}
+    flat = M.evaluate(f"{tmp_path}/models", data, out=f"file:{tmp_path}/out")
+    plain = M.evaluate(f"{tmp_path}/models", data)
+    assert [{k: pytest.approx(v) if isinstance(v, float) else v for k, v in r.items()} for r in plain] == flat
+    written = R.read_json(f"{tmp_path}/out/evaluation_summary.json")
+    assert written["num_models"] == 2 and written["num_results"] == 4 and written["results"][0]["top_fraction_metrics"]["0.1"]["k"] == 4
+    table = spark.read.option("header", True).csv(f"{tmp_path}/out/metrics_table.csv")
+    assert table.count() == 4 and "threshold_metrics.0.5.f1" in table.columns
+    kept = spark.read.parquet(f"{tmp_path}/out/predictions")
+    assert kept.where("model_name = 'line' AND split = 'test'").count() == 40 and {"y_true", "y_score", "y_pred_at_0_5"} <= set(kept.columns)
+    assert "line" in R.read_text(f"{tmp_path}/out/evaluation_report.md")
+    with pytest.raises(FileNotFoundError):
+        M.evaluate(f"{tmp_path}/nothing", data)
+
+
+def test_sigmoid_calibration(spark):
+    rng = random.Random(1)
+    held = [(s := rng.random(), int(rng.random() < 1 / (1 + math.exp(-6 * s + 2)))) for _ in range(800)]
+    df = spark.createDataFrame([*held, (None, 1), (0.5, None)], "y_score double, y_true int")
+    a, b = M.sigmoid(df)
+    n1 = sum(y for _, y in held)
+    low, high = 1 / (len(held) - n1 + 2), (n1 + 1) / (n1 + 2)
+
+    def loss(a, b):
+        total = 0.0
+        for s, y in held:
+            t, p = (high if y else low), 1 / (1 + math.exp(a * s + b))
+            total -= t * math.log(p) + (1 - t) * math.log(1 - p)
+        return total
+
+    best = loss(a, b)
+    assert -8 < a < -4 and all(loss(a + da, b + db) > best for da, db in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+    parted = spark.createDataFrame([(0.0, 0), (0.1, 0), (0.9, 1), (1.0, 1)], "y_score double, y_true int")
+    made = M.calibrate(parted, method="sigmoid")(parted).orderBy("y_score").collect()
+    assert all(x.y_calibrated < y.y_calibrated for x, y in zip(made, made[1:], strict=False)) and 0 < made[0].y_calibrated < 0.5 < made[-1].y_calibrated < 1
+    with pytest.raises(ValueError):
+        M.calibrate(df, method="other")
+    with pytest.raises(ValueError):
+        M.sigmoid(df.where("false"))
+
+
+def test_builders_by_chunks(spark):
+    rows = bars(spark, 400, 2)
+    plain, chunked = (sorted(map(str, L.build(rows, 5, 0.7, 0.8, n).collect())) for n in (None, 60))
+    assert plain == chunked
+    made = L.build(rows, 5, 0.7, 0.8).where("y_high_vol_5 IS NOT NULL")
+    assert sorted(map(str, S.build(made, 5, 0.7, 0.15, 0.15, 3, 0.8).collect())) == sorted(map(str, S.build(made, 5, 0.7, 0.15, 0.15, 3, 0.8, placed=True).collect()))
+    odd = rows.where("hash(timestamp) % 9 <> 0").unionByName(rows.limit(5)).withColumn("close", F.expr("CASE WHEN hash(timestamp) % 7 = 0 THEN close * 2 ELSE close END"))
+    a, b = (sorted(map(str, Q.validate(odd, 300, 0.1, n).collect())) for n in (None, 50))
+    assert a == b
+
+
+def test_side_files_on_any_file_system(spark, tmp_path):
+    R.write_json(f"file:{tmp_path}/deep/er/x.json", {"a": 1})
+    assert R.read_json(f"file:{tmp_path}/deep/er/x.json") == {"a": 1} == R.read_config(f"file:{tmp_path}/deep/er/x.json")
+    assert R.read_text(f"file:{tmp_path}/none", "n") == "n"
+    with pytest.raises(FileNotFoundError):
+        R.read_config(f"file:{tmp_path}/none.json")
