@@ -6,12 +6,12 @@ them and of their checks. Sketches of two versions are subtracted cell by cell.
 rest back: a cell with one digest names it, taking it away from its other cells leaves further cells with one.
 
 The fingerprint is such a sketch with WIDTHS[0] cells in a block. It tells small differences. Where peeling stops early, the sketch is made
-larger: digests are dealt to as many sketches as needed for LOAD of them in each, and those of them that still fail are made
-wider, up to WIDTHS[-1]; if the widest failed too, the two sets would be compared as they are.
+larger: digests are dealt to as many sketches as needed for LOAD of them in each; of those that still fail wider ones count, of WIDTHS[1]
+cells in a block; if one of these failed too, the digests that differ would be counted as they are.
 
 Rows are dealt once, to ranges of doc_id, and the first row of each range is also sent to the range before: so each meets the next
-document. Cells are sums by range, row and cell, and need no further exchange. Peeling is done by higher-order functions on the
-cells of one sketch.
+document. The cells of all sketches are sums by range, row and cell, made in one pass and without a further exchange; what else
+belongs to a row goes with them as cells of its own. Peeling is done by higher-order functions on the cells of one sketch.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import partitions
 
 #: Code points after which a sentence is cut; cells in a block, at first and at each retry; digests in a sketch of a larger set, at most about.
-PIECE, WIDTHS, LOAD = 200, (8, 16, 32, 128), 12
+PIECE, WIDTHS, LOAD = 200, (8, 128), 12
 #: Ranges per shuffle partition, and bounds that are looked at together.
 RANGES, STEP = 4, 32
 
@@ -127,69 +127,81 @@ def _part(key: Column, mask: Column) -> Column:
     return F.shiftrightunsigned(key, 48).bitwiseAND(mask)
 
 
-#: Sketches of a row: those of the text, of the edited text and of the next one, and the differences that are dealt to several.
-OWN, OTHER, AFTER, EDITED, NEXT = range(5)
+#: What a row has: whole sketches of its text, of the edited and of the next one; the differences, dealt to several sketches; these again,
+#: wider; the digests that differ, as they are; and numbers that go with it.
+OWN, OTHER, AFTER, EDITED, NEXT, EDITED_WIDE, NEXT_WIDE, EDITED_ALL, NEXT_ALL, HEAD = range(10)
 
 
-def with_sketches(rows: DataFrame, keys: tuple[str, str, str], by: tuple[str, str]) -> DataFrame:
-    """(by, sketches) of rows with three arrays of digests, named by columns `by`, the first of which rows are dealt by: an array of
-    (kind, part, cells), where OWN, OTHER and AFTER are whole sketches without empty cells, and EDITED and NEXT the parts of the
-    differences between the first and each of the others."""
+def with_sketches(rows: DataFrame, keys: tuple[str, str, str], head: list[Column], by: tuple[str, ...]) -> DataFrame:
+    """(by, sketches, head) of rows with three arrays of digests, named by columns `by`, the first of which rows are dealt by. sketches: an
+    array of (kind, part, cells without the empty ones, found, gone, new). head: whole numbers that stay with the row, as an array."""
     own, other, after = keys
-    sides = rows.select(*by, _mask(own, other).alias("_e"), _mask(own, after).alias("_n"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(k).alias("keys")) for side, k in enumerate(keys)])).alias("x"))
-    each = sides.select(*by, "_e", "_n", F.col("x.side").alias("side"), F.explode("x.keys").alias("k"))
-    width = WIDTHS[0]
-    into = lambda kind, part, n: [F.struct((F.lit(kind).cast("long") * (1 << 40) + part * (1 << 16) + block * width + _place(F.col("k"), block, width)).alias("at"), F.lit(n).alias("n")) for block in range(3)]
+    held = [*[F.col(k) for k in keys], F.array(*head)]
+    sides = rows.select(*by, _mask(own, other).alias("_e"), _mask(own, after).alias("_n"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), x.alias("keys")) for side, x in enumerate(held)])).alias("x"))
+    each = sides.select(*by, "_e", "_n", F.col("x.side").alias("side"), F.posexplode("x.keys").alias("j", "k"))
     zero, edited, later = F.lit(0).cast("long"), _part(F.col("k"), F.col("_e")), _part(F.col("k"), F.col("_n"))
+    at = lambda kind, part, cell: F.lit(kind).cast("long") * (1 << 40) + part * (1 << 24) + cell
+    place = lambda kind, part, cell, n, all_=zero: F.struct(at(kind, part, cell).alias("at"), all_.alias("g"), F.lit(n).alias("n"))
+    into = lambda kind, part, n, width: [place(kind, part, block * width + _place(F.col("k"), block, width), n) for block in range(3)]
+    narrow, wide = WIDTHS
+
+    def pair(kinds: tuple[int, int, int], part: Column, n: int) -> list[Column]:
+        return [*into(kinds[0], part, n, narrow), *into(kinds[1], part, n, wide), place(kinds[2], zero, zero, n, F.col("k"))]
+
+    e, x = (EDITED, EDITED_WIDE, EDITED_ALL), (NEXT, NEXT_WIDE, NEXT_ALL)
     places = (
-        F.when(F.col("side") == OWN, F.array(*into(OWN, zero, 1), *into(EDITED, edited, 1), *into(NEXT, later, 1)))
-        .when(F.col("side") == OTHER, F.array(*into(OTHER, zero, 1), *into(EDITED, edited, -1)))
-        .otherwise(F.array(*into(AFTER, zero, 1), *into(NEXT, later, -1)))
+        F.when(F.col("side") == OWN, F.array(*into(OWN, zero, 1, narrow), *pair(e, edited, 1), *pair(x, later, 1)))
+        .when(F.col("side") == OTHER, F.array(*into(OTHER, zero, 1, narrow), *pair(e, edited, -1)))
+        .when(F.col("side") == AFTER, F.array(*into(AFTER, zero, 1, narrow), *pair(x, later, -1)))
+        .otherwise(F.array(place(HEAD, zero, F.col("j").cast("long"), 1)))
     )
-    put = each.select(*by, "k", F.explode(places).alias("p")).select(*by, F.col("p.at").alias("at"), F.col("p.n").alias("n"), "k", F.xxhash64("k").alias("h"))
-    cells = put.groupBy(*by, "at").agg(F.sum("n").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 OR k <> 0 OR h <> 0")
-    index = F.col("at") % (1 << 16)
-    cell = _cell((F.floor(index / width) * 16).cast("int"), index % width, F.col("c"), F.col("k"), F.col("h"))
-    grouped = cells.groupBy(*by, F.shiftright("at", 16).alias("sketch")).agg(F.collect_list(cell).alias("cells"))
-    named = F.struct(F.shiftright("sketch", 24).cast("int").alias("kind"), (F.col("sketch") % (1 << 24)).alias("part"), "cells", F.when(F.col("sketch") >= EDITED << 24, peeled(F.col("cells"), width)).alias("found"))
-    return grouped.groupBy(*by).agg(F.collect_list(named).alias("sketches"))
-
-
-def with_differences(rows: DataFrame, name: str, kind: int, a: str, b: str, base_b: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Adds `name`, an array of (ok, gone, new) whose digests together are those that only column a has, and those that only b has.
-
-    From the sketches of a row: the difference of OWN and base_b where that peels, else the parts of `kind`; those that don't peel
-    are made again from their digests, wider each time."""
-    first, failed, tried = (f"_{name}_{x}" for x in ("first", "failed", "tried"))
-    of = lambda k: F.filter("sketches", lambda x: x["kind"] == k)
-    whole = lambda k: F.flatten(F.transform(of(k), lambda x: x["cells"]))
-    rows = rows.withColumn(first, peeled(subtracted(whole(OWN), whole(base_b)), widths[0]))
-    parts = F.when(F.col(f"{first}.ok"), F.slice(of(kind), 1, 0)).otherwise(of(kind))
-    rows = rows.withColumn(tried, parts)
-    found = [F.filter(F.array(F.col(first)), lambda x: x["ok"]), F.transform(F.filter(tried, lambda x: x["found"]["ok"]), lambda x: x["found"])]
-    mask = f"_{name}_mask"
-    rows = rows.withColumn(mask, _mask(a, b))
-    again = F.transform(F.filter(tried, lambda x: ~x["found"]["ok"]), lambda x: F.struct(*[F.filter(c, lambda k: _part(k, F.col(mask)) == x["part"]).alias(s) for c, s in ((a, "a"), (b, "b"))]))
-    rows = rows.withColumn(failed, again)
-    for width in widths[1:]:
-        rows = rows.withColumn(f"{tried}{width}", F.transform(F.col(failed), _between(width)))
-        paired = F.arrays_zip(F.col(failed).alias("x"), F.col(f"{tried}{width}").alias("r"))
-        rows = rows.withColumn(failed, F.transform(F.filter(paired, lambda z: ~z["r"]["ok"]), lambda z: z["x"]))
-        found.append(F.filter(F.col(f"{tried}{width}"), lambda x: x["ok"]))
-    exact = F.transform(F.col(failed), lambda x: F.struct(F.lit(True).alias("ok"), F.array_except(x["a"], x["b"]).alias("gone"), F.array_except(x["b"], x["a"]).alias("new")))
-    rows = rows.withColumn(name, F.concat(*found, exact))
-    return rows.drop(first, mask, failed, tried, *[f"{tried}{w}" for w in widths])
-
-
-def _between(width: int):
-    return lambda x: peeled(sketch(x["a"], width, x["b"]), width)
-
-
-def _likeness(a: Column, found: Column) -> Column:
-    """What both have in common over what either has, from the sizes and the digests that were got back; 1 where neither has any."""
-    gone = F.aggregate(found, F.lit(0), lambda s, x: s + F.size(x["gone"]))
-    new = F.aggregate(found, F.lit(0), lambda s, x: s + F.size(x["new"]))
-    return F.coalesce(F.try_divide((F.size(a) - gone).cast("double"), (F.size(a) + new).cast("double")), F.lit(1.0))
+    put = each.select(*by, "k", F.explode(places).alias("p")).select(*by, F.col("p.at").alias("at"), F.col("p.g").alias("g"), F.col("p.n").alias("n"), "k", F.xxhash64("k").alias("h"))
+    cells = put.groupBy(*by, "at", "g").agg(F.sum("n").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 OR k <> 0 OR h <> 0")
+    kind, index = F.shiftright("at", 40).cast("int"), (F.col("at") % (1 << 24)).cast("int")
+    width = F.when(kind.isin(EDITED_WIDE, NEXT_WIDE), wide).otherwise(narrow)
+    block = F.when(kind == HEAD, 0).otherwise(F.floor(index / width)).cast("int")
+    cell = _cell(block * 16, (index - block * width).cast("long"), F.col("c"), F.col("k"), F.col("h"))
+    grouped = cells.withColumns({"kind": kind, "part": F.shiftright("at", 24) % (1 << 16)}).groupBy(*by, "kind", "part").agg(
+        F.collect_list(F.when(~F.col("kind").isin(EDITED_ALL, NEXT_ALL), cell)).alias("cells"), F.count_if(F.col("c") > 0).alias("gone"), F.count_if(F.col("c") < 0).alias("new")
+    )
+    found = F.when(F.col("kind").isin(EDITED, NEXT), peeled(F.col("cells"), narrow)).when(F.col("kind").isin(EDITED_WIDE, NEXT_WIDE), peeled(F.col("cells"), wide))
+    size = lambda side: F.size(F.col(f"found.{side}")).cast("long")
+    counted = grouped.withColumn("found", found)
+    of_found = {c: F.when(F.col("found").isNull(), F.col(c)).otherwise(size(c)) for c in ("gone", "new")}
+    kept = F.when(F.col("kind").isin(OWN, OTHER, AFTER, HEAD), F.col("cells"))
+    named = F.struct("kind", "part", kept.alias("cells"), F.col("found.ok").alias("ok"), of_found["gone"].alias("gone"), of_found["new"].alias("new"))
+    made = counted.groupBy(*by).agg(F.collect_list(named).alias("sketches"))
+    return made.withColumn("head", F.transform(F.array_sort(_cells_of(HEAD)), lambda c: c["k"]))
+
+
+def _of(kind: int) -> Column:
+    return F.filter("sketches", lambda x: x["kind"] == kind)
+
+
+def _cells_of(kind: int) -> Column:
+    return F.flatten(F.transform(_of(kind), lambda x: x["cells"]))
+
+
+def with_counts(rows: DataFrame, name: str, kinds: tuple[int, int, int, int]) -> DataFrame:
+    """Adds `name`, (ok, gone, new): how many digests only the text has, and how many only the other. kinds: the other's whole sketch, the
+    difference in parts, these wider, and as it is. The first that peels counts: the difference of both fingerprints, the parts, of
+    each part that fails the wider one; and where one of those failed too, the digests themselves."""
+    base, narrow, wide, plain = kinds
+    first, parts = f"_{name}_first", f"_{name}_parts"
+    sized = lambda ok, x: F.struct(ok.alias("ok"), x["gone"].alias("gone"), x["new"].alias("new"))
+    rows = rows.withColumn(first, peeled(subtracted(_cells_of(OWN), _cells_of(base)), WIDTHS[0]))
+    wider = lambda x: _let(F.get(F.filter(_of(wide), lambda y: y["part"] == x["part"]), F.lit(0)), lambda y: sized(y["ok"], y))
+    rows = rows.withColumn(parts, F.transform(_of(narrow), lambda x: F.when(x["ok"], sized(x["ok"], x)).otherwise(wider(x))))
+    total = lambda array, side: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x[side])
+    sums = lambda array: F.struct(F.lit(True).alias("ok"), total(array, "gone").alias("gone"), total(array, "new").alias("new"))
+    whole = F.struct(F.lit(True).alias("ok"), F.size(F.col(f"{first}.gone")).cast("long").alias("gone"), F.size(F.col(f"{first}.new")).cast("long").alias("new"))
+    counts = F.when(F.col(f"{first}.ok"), whole).when(F.forall(parts, lambda x: F.coalesce(x["ok"], F.lit(False))), sums(F.col(parts))).otherwise(sums(_of(plain)))
+    return rows.withColumn(name, counts).drop(first, parts)
+
+
+def _likeness(n: Column, found: str) -> Column:
+    """What both have in common over what either has, from the first's size and the digests that differ; 1 where neither has any."""
+    return F.coalesce(F.try_divide((n - F.col(f"{found}.gone")).cast("double"), (n + F.col(f"{found}.new")).cast("double")), F.lit(1.0))
 
 
 def _written(cells: Column) -> Column:
@@ -232,7 +244,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = rows.withColumn("_range", F.col("_from") + F.size(F.filter(F.slice(bounds, F.col("_from") + 1, STEP), reached)) - 1)
     first = F.element_at(bounds, F.col("_range") + 1) == F.struct("s", "h")
     to = F.when(first, F.array("_range", F.pmod(F.col("_range") - 1, F.lit(len(firsts))))).otherwise(F.array("_range"))
-    sent = rows.select("doc_id", "text", "s", "h", F.posexplode(to).alias("_copy", "_to")).repartition("_to")
+    sent = rows.select("doc_id", "text", "s", "h", F.posexplode(to).alias("_copy", "_to")).repartition(partitions(spark) * RANGES, "_to")
     columns = made(F.col("text")) if made else {}
     held, names = (sent.withColumns(columns) if made else sent), list(columns)
     after = Window.partitionBy("_to").orderBy("_copy", "s", "h", F.col("doc_id").isNotNull())
@@ -253,15 +265,14 @@ def contract(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("_to", "_turn", "doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
-    rows = rows.select("_to", "_turn", "doc_id", "n_chars", "keys", "next_keys", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), paragraphs(F.col("edited")).alias("edited_keys"))
-    made = with_sketches(rows, ("keys", "edited_keys", "next_keys"), ("_to", "_turn")).select(F.col("_to").alias("_r"), F.col("_turn").alias("_t"), "sketches")
-    # both sides are dealt by range already
-    rows = rows.join(made, (F.col("_to") == F.col("_r")) & (F.col("_turn") == F.col("_t")), "left")
-    rows = rows.withColumn("sketches", F.coalesce("sketches", F.array().cast(rows.schema["sketches"].dataType)))
-    found = with_differences(with_differences(rows, "_e", EDITED, "keys", "edited_keys", OTHER), "_n", NEXT, "keys", "next_keys", AFTER)
-    cells = lambda kind: F.flatten(F.transform(F.filter("sketches", lambda x: x["kind"] == kind), lambda x: x["cells"]))
-    count = lambda side: F.aggregate("_e", F.lit(0).cast("long"), lambda s, x: s + F.size(x[side]))
+    rows = rows.select("_to", "_turn", "doc_id", "n_chars", "keys", "next_keys", F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"), paragraphs(F.col("edited")).alias("edited_keys"))
+    digest = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)]
+    head = [F.col("doc_id"), F.col("n_chars"), F.size("keys").cast("long"), *digest]
+    made = with_sketches(rows, ("keys", "edited_keys", "next_keys"), head, ("_to", "_turn"))
+    found = with_counts(with_counts(made, "_e", (OTHER, EDITED, EDITED_WIDE, EDITED_ALL)), "_n", (AFTER, NEXT, NEXT_WIDE, NEXT_ALL))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(F.col("head")[3 + k]), 16, "0") for k in range(4)]))
+    size = F.col("head")[2]
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", _written(cells(OWN)).alias("fingerprint"), _written(cells(OTHER)).alias("edited_fingerprint"),
-        _likeness(F.col("keys"), F.col("_e")).alias("near_edited"), _likeness(F.col("keys"), F.col("_n")).alias("near_next"), count("gone").alias("n_gone"), count("new").alias("n_new"),
+        F.col("head")[0].alias("doc_id"), F.col("head")[1].alias("n_chars"), sha.alias("edited_sha256"), _written(_cells_of(OWN)).alias("fingerprint"), _written(_cells_of(OTHER)).alias("edited_fingerprint"),
+        _likeness(size, "_e").alias("near_edited"), _likeness(size, "_n").alias("near_next"), F.col("_e.gone").alias("n_gone"), F.col("_e.new").alias("n_new"),
     )
