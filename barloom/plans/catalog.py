@@ -809,8 +809,8 @@ _DRIFTED = ["open_close_return", "high_low_range_pct", "volume_change", "log_ret
 _LONG = "lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(f1.{c} AS DOUBLE) AS value, CASE WHEN split = 'train' THEN 'reference' ELSE 'current' END AS side FROM f1 JOIN safe ON f1.symbol = safe.symbol AND f1.timestamp = safe.timestamp WHERE split IN ('train', 'test') AND f1.{c} IS NOT NULL" for c in _DRIFTED) + ")"
 
 
-def _psi_sql(source: str) -> str:
-    return f"""qs AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [{", ".join(f"{k / 10}" for k in range(11))}]))) AS q FROM {source} WHERE side = 'reference' GROUP BY feature),
+def _psi_sql(source: str, quantile: str = "quantile_cont") -> str:
+    return f"""qs AS (SELECT feature, list_sort(list_distinct({quantile}(value, [{", ".join(f"{k / 10}" for k in range(11))}]))) AS q FROM {source} WHERE side = 'reference' GROUP BY feature),
  eg AS (SELECT feature, CASE WHEN len(q) > 2 THEN q[2:len(q) - 1] ELSE [] END AS edges FROM qs),
  bn AS (SELECT {source}.feature, side, len([e FOR e IN edges IF e <= value]) AS bin FROM {source} JOIN eg ON {source}.feature = eg.feature),
  ct AS (SELECT feature, bin, count(*) FILTER (side = 'reference') AS r, count(*) FILTER (side = 'current') AS c FROM bn GROUP BY 1, 2),
@@ -838,6 +838,13 @@ def _long(spark, sf_dir):
     return D.long_form(a, _DRIFTED, "reference").unionByName(D.long_form(b, _DRIFTED, "current"))
 
 
+@query(ctes(BARS, FEATURES_1, FUTURE, MASK, LIMIT, LABEL, SPLIT, _LONG, _psi_sql("lg", "quantile_disc")) + pick("feature ~psi", "ps"))
+def psi_from_sketches(spark, sf_dir):
+    """From a sketch of each feature and day: as large as they come, so that they hold all values of these tables."""
+    stored = [staged(D.day_sketches(side, _DRIFTED, 65535), "sketches") for side in sides(spark, sf_dir)]
+    return D.sketched_stability(*[D.of_period(s) for s in stored])
+
+
 @query(_DRIFT.rstrip() + f", s AS (SELECT feature, side, {_SUMMARY} FROM lg GROUP BY 1, 2) " + pick("feature side " + _SUMMED, "s"))
 def numeric_summary(spark, sf_dir):
     return D.numeric_summary(_long(spark, sf_dir), ("feature", "side"))
@@ -954,7 +961,7 @@ def boosted_stump(spark, sf_dir):
 _QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
 
-@query(f"WITH w AS (SELECT l_returnflag AS k, quantile_cont(CAST(l_extendedprice AS DOUBLE), {_QS}) AS v FROM lineitem GROUP BY 1) SELECT k, unnest({_QS}) AS q, round(unnest(v), 6) AS value FROM w")
+@query(f"WITH w AS (SELECT l_returnflag AS k, quantile_cont(CAST(l_extendedprice AS DOUBLE), {_QS}) AS v FROM lineitem GROUP BY 1) SELECT k, unnest(CAST({_QS} AS DOUBLE[])) AS q, round(unnest(v), 6) AS value FROM w")
 def quantiles_by_radix(spark, sf_dir):
     """All quantiles of all groups by four histograms of the bits, whatever the number of rows."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_extendedprice").cast("double").alias("v"))

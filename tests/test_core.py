@@ -616,3 +616,24 @@ def test_side_files_on_any_file_system(spark, tmp_path):
     assert R.read_text(f"file:{tmp_path}/none", "n") == "n"
     with pytest.raises(FileNotFoundError):
         R.read_config(f"file:{tmp_path}/none.json")
+
+
+def test_drift_from_sketches(spark):
+    made = "cast(date_add(DATE '2024-01-01', cast(id % 20 AS int)) AS timestamp_ntz) AS timestamp"
+    rows = ranged.staged(spark.range(40_000).selectExpr(made, "rand(1) + (id % 20) / 40.0D AS x", "cast(id % 4 AS double) AS few", "CASE WHEN id % 20 < 10 THEN 1.0D END AS early"), "days")
+    features = ["x", "few", "early"]
+    early, late = rows.where("timestamp < '2024-01-11'"), rows.where("timestamp >= '2024-01-11'")
+    exact = {r.feature: r.psi for r in D.stability(D.long_form(early, features, "reference").unionByName(D.long_form(late, features, "current")), 10).collect()}
+    for k in (500, 8000):
+        stored = ranged.staged(D.day_sketches(rows, features, k), "sketches")
+        assert stored.count() == 50 and stored.agg(F.sum("n")).first()[0] == 100_000
+        got = {r.feature: r.psi for r in D.sketched_stability(D.of_period(stored, None, "2024-01-10"), D.of_period(stored, "2024-01-11")).collect()}
+        # each share may be off by the error: as much as that changes (b - a) ln(b / a) of ten bins
+        off = D.rank_error(k, True)
+        assert got["x"] == pytest.approx(exact["x"], abs=10 * off * (abs(math.log(1e-6)) if k < 1000 else 8)) and abs(got["few"]) < 0.05 and got["early"] is None and exact.get("early") is None
+    stored = D.day_sketches(rows.where("timestamp <= '2024-01-02'"), ["few"], 8000)  # few enough values to hold them all
+    one, two = D.of_period(stored, "2024-01-01", "2024-01-01"), D.of_period(stored, "2024-01-02", "2024-01-02")
+    assert D.sketched_stability(one, one).first().psi == 0
+    # all of the first day is 0, all of the second 1: no inner edge, so one bin
+    assert D.sketched_stability(one, two).first().psi == 0
+    assert D.sketched_stability(D.of_period(stored, "2030-01-01"), one).first().psi is None
