@@ -99,21 +99,21 @@ def peeled(cells: Column, width: int) -> Column:
     second has."""
 
     def state(cells: Column, gone: Column, new: Column) -> Column:
-        """Cells that name no digest, and the digests that the others name, each once."""
-        pure = lambda c: F.array_distinct(F.transform(F.filter(c, _names_one), lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
-        return _let(cells, lambda c: F.struct(F.filter(c, lambda x: ~_names_one(x)).alias("cells"), pure(c).alias("pure"), gone.alias("gone"), new.alias("new")))
-
-    def of(s: Column, side: int) -> Column:
-        return F.transform(F.filter(s["pure"], lambda p: p["c"] == side), lambda p: p["k"])
+        """Cells that name no digest, and the digests that the others name on either side, each once."""
+        named = lambda c, side: F.array_distinct(F.transform(F.filter(c, lambda x: (x["c"] == side) & (x["h"] == F.xxhash64(x["k"]))), lambda x: x["k"]))
+        return _let(cells, lambda c: F.struct(F.filter(c, lambda x: ~_names_one(x)).alias("cells"), named(c, 1).alias("p"), named(c, -1).alias("m"), gone.alias("gone"), new.alias("new")))
 
     def step(s: Column, _) -> Column:
-        less = lambda cell: F.aggregate(s["pure"], cell, lambda x, p: F.when(_holds(x, p["k"], width), _with(x, -p["c"], p["k"])).otherwise(x))
+        def less(cell: Column) -> Column:
+            done = F.aggregate(s["p"], cell, lambda x, k: F.when(_holds(x, k, width), _with(x, F.lit(-1), k)).otherwise(x))
+            return F.aggregate(s["m"], done, lambda x, k: F.when(_holds(x, k, width), _with(x, F.lit(1), k)).otherwise(x))
+
         left = F.filter(F.transform(s["cells"], less), _some)
-        return F.when(F.size(s["pure"]) > 0, state(left, F.concat(s["gone"], of(s, 1)), F.concat(s["new"], of(s, -1)))).otherwise(s)
+        return F.when((F.size(s["p"]) > 0) | (F.size(s["m"]) > 0), state(left, F.concat(s["gone"], s["p"]), F.concat(s["new"], s["m"]))).otherwise(s)
 
     none = F.array().cast(_NONE)
     last = F.aggregate(F.sequence(F.lit(1), F.lit(2 * width)), state(cells, none, none), step)
-    return _let(last, lambda s: F.struct(((F.size(s["cells"]) == 0) & (F.size(s["pure"]) == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
+    return _let(last, lambda s: F.struct(((F.size(s["cells"]) == 0) & (F.size(s["p"]) == 0) & (F.size(s["m"]) == 0)).alias("ok"), s["gone"].alias("gone"), s["new"].alias("new")))
 
 
 def _mask(a: str, b: str) -> Column:
@@ -164,11 +164,11 @@ def with_sketches(rows: DataFrame, keys: tuple[str, str, str], head: list[Column
     grouped = cells.withColumns({"kind": kind, "part": F.shiftright("at", 24) % (1 << 16)}).groupBy(*by, "kind", "part").agg(
         F.collect_list(F.when(~F.col("kind").isin(EDITED_ALL, NEXT_ALL), cell)).alias("cells"), F.count_if(F.col("c") > 0).alias("gone"), F.count_if(F.col("c") < 0).alias("new")
     )
-    found = F.when(F.col("kind").isin(EDITED, NEXT), peeled(F.col("cells"), narrow)).when(F.col("kind").isin(EDITED_WIDE, NEXT_WIDE), peeled(F.col("cells"), wide))
+    found = F.when(F.col("kind").isin(EDITED, NEXT), peeled(F.col("cells"), narrow))
     size = lambda side: F.size(F.col(f"found.{side}")).cast("long")
     counted = grouped.withColumn("found", found)
     of_found = {c: F.when(F.col("found").isNull(), F.col(c)).otherwise(size(c)) for c in ("gone", "new")}
-    kept = F.when(F.col("kind").isin(OWN, OTHER, AFTER, HEAD), F.col("cells"))
+    kept = F.when(~F.col("kind").isin(EDITED, NEXT), F.col("cells"))
     named = F.struct("kind", "part", kept.alias("cells"), F.col("found.ok").alias("ok"), of_found["gone"].alias("gone"), of_found["new"].alias("new"))
     made = counted.groupBy(*by).agg(F.collect_list(named).alias("sketches"))
     return made.withColumn("head", F.transform(F.array_sort(_cells_of(HEAD)), lambda c: c["k"]))
@@ -190,7 +190,8 @@ def with_counts(rows: DataFrame, name: str, kinds: tuple[int, int, int, int]) ->
     first, parts = f"_{name}_first", f"_{name}_parts"
     sized = lambda ok, x: F.struct(ok.alias("ok"), x["gone"].alias("gone"), x["new"].alias("new"))
     rows = rows.withColumn(first, peeled(subtracted(_cells_of(OWN), _cells_of(base)), WIDTHS[0]))
-    wider = lambda x: _let(F.get(F.filter(_of(wide), lambda y: y["part"] == x["part"]), F.lit(0)), lambda y: sized(y["ok"], y))
+    counted = lambda y: F.struct(y["ok"].alias("ok"), F.size(y["gone"]).cast("long").alias("gone"), F.size(y["new"]).cast("long").alias("new"))
+    wider = lambda x: _let(peeled(F.get(F.filter(_of(wide), lambda y: y["part"] == x["part"]), F.lit(0))["cells"], WIDTHS[1]), counted)
     rows = rows.withColumn(parts, F.transform(_of(narrow), lambda x: F.when(x["ok"], sized(x["ok"], x)).otherwise(wider(x))))
     total = lambda array, side: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x[side])
     sums = lambda array: F.struct(F.lit(True).alias("ok"), total(array, "gone").alias("gone"), total(array, "new").alias("new"))
