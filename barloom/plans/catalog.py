@@ -958,11 +958,11 @@ def boosted_stump(spark, sf_dir):
     return model.scored(rows).groupBy("y_score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
 
 
-_QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+_RADIX_QS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 
 
-@query(f"WITH w AS (SELECT l_returnflag AS k, quantile_cont(CAST(l_extendedprice AS DOUBLE), {_QS}) AS v FROM lineitem GROUP BY 1) SELECT k, unnest(CAST({_QS} AS DOUBLE[])) AS q, round(unnest(v), 6) AS value FROM w")
+@query(f"WITH w AS (SELECT l_returnflag AS k, quantile_cont(CAST(l_extendedprice AS DOUBLE), {_RADIX_QS}) AS v FROM lineitem GROUP BY 1) SELECT k, unnest(CAST({_RADIX_QS} AS DOUBLE[])) AS q, round(unnest(v), 6) AS value FROM w")
 def quantiles_by_radix(spark, sf_dir):
     """All quantiles of all groups by four histograms of the bits, whatever the number of rows."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_extendedprice").cast("double").alias("v"))
-    return quantiles(rows, "v", _QS, ("k",), small=0)
+    return quantiles(rows, "v", _RADIX_QS, ("k",), small=0)

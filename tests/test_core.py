@@ -29,6 +29,7 @@ from barloom.operators import models as M
 from barloom.operators import quality as Q
 from barloom.operators import splits as S
 from barloom.operators import timeline as T
+from barloom.plans import catalog
 from barloom.sources import klines as K
 from barloom.sources import tables as R
 from barloom.sources.staging import shared_folder
@@ -637,3 +638,8 @@ def test_drift_from_sketches(spark):
     # all of the first day is 0, all of the second 1: no inner edge, so one bin
     assert D.sketched_stability(one, two).first().psi == 0
     assert D.sketched_stability(D.of_period(stored, "2030-01-01"), one).first().psi is None
+
+
+def test_sensitivity_query_asks_for_its_own_quantiles(spark):
+    got = catalog.QUERIES["quantile_sensitivity"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.quantile for r in got) == [0.7, 0.8, 0.9, 0.95]
