@@ -2,8 +2,8 @@
 
 Running sums: rows are dealt by ranges of the ordered column, each range adds up its own rows, and starts from the totals of the
 ranges before it (one row per range and group). Quantiles: by radix selection. A double's bits as a whole number are in the order of
-doubles; four histograms, of 16 bits each, lead to the value at every asked place. Rows are read and counted where they are; only
-histograms are shuffled. Up to SMALL rows, which are counted first, one task takes either; both ways give the same rows.
+doubles; four histograms, of 16 bits each, lead to the value at every asked place. The bits are made once and written; they are read
+and counted where they are, and only histograms are shuffled. Up to SMALL rows, which are counted first, one task takes either; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -44,18 +44,42 @@ def running(df: DataFrame, order: str, sums: tuple[str, ...], by: tuple[str, ...
 _UNIT = 1 << 52  # a double's exponent counts these
 
 
-def bits_of(value: Column) -> Column:
-    """The bits of a double as a long that is in the order of doubles: equal for both zeros, with NaN above all."""
-    a, two = F.abs(value), F.lit(2.0)
-    near = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022))  # of a logarithm that may round up or down
-    part = a * F.pow(two, -near)
-    e = near + F.when(part >= 2, 1).when((part < 1) & (near > -1022), -1).otherwise(0)
-    m = a * F.pow(two, -e)  # exact, as a power of two is; below 1 for subnormal numbers alone
+def _near(a: Column) -> Column:
+    """The exponent of a number above 0, by a logarithm that may round up or down."""
+    return F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022))
+
+
+def _scaled(a: Column, e: Column) -> Column:
+    return a * F.pow(F.lit(2.0), -e)  # exact, as a power of two is
+
+
+def _exponent(near: Column, part: Column) -> Column:
+    return near + F.when(part >= 2, 1).when((part < 1) & (near > -1022), -1).otherwise(0)
+
+
+def _joined(value: Column, a: Column, e: Column, m: Column) -> Column:
+    """The bits from a number, its size, exponent and mantissa, which is below 1 for subnormal numbers alone."""
     size = F.when(m >= 1, (e + 1023) * F.lit(_UNIT) + ((m - 1) * _UNIT).cast("long")).otherwise((m * _UNIT).cast("long"))
     whole = F.when(F.isnan(value), F.lit(2047 * _UNIT + _UNIT // 2)).when(a == float("inf"), F.lit(2047 * _UNIT)).when(a == 0, F.lit(0).cast("long")).otherwise(size)
     return F.when(value < 0, -whole).otherwise(whole)
 
 
+def bits_of(value: Column) -> Column:
+    """The bits of a double as a long that is in the order of doubles: equal for both zeros, with NaN above all."""
+    a = F.abs(value)
+    near = _near(a)
+    e = _exponent(near, _scaled(a, near))
+    return _joined(value, a, e, _scaled(a, e))
+
+
+def with_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with bits_of() a column. Each step is a column, worked out once a row; as one expression the first step stands in it many times."""
+    v, a, e = F.col(value), F.col("_size"), F.col("_e")
+    df = df.withColumn("_size", F.abs(v)).withColumn("_near", _near(a)).withColumn("_part", _scaled(a, F.col("_near")))
+    df = df.withColumn("_e", _exponent(F.col("_near"), F.col("_part"))).withColumn("_m", _scaled(a, e))
+    return df.withColumn(name, _joined(v, a, e, F.col("_m"))).drop("_size", "_near", "_part", "_e", "_m")
+
+
 def double_of(bits: Column) -> Column:
     """The double that bits_of() made a long of."""
     size = F.abs(bits)
@@ -106,7 +130,7 @@ def quantiles(df: DataFrame, column: str, qs: list[float], by: tuple[str, ...] =
         return found.select(*by, F.explode(F.arrays_zip(asked.alias("q"), F.col("_p").alias("value"))).alias("_z")).select(*by, "_z.*")
     at = (F.col("_n") - 1) * F.col("_q")
     value = double_of(F.col("_bits"))
-    near = _at_places(rows.select(*by, bits_of(F.col("_v")).alias("_b")), qs, by)
+    near = _at_places(staged(with_bits(rows, "_v", "_b").select(*by, "_b"), "bits"), qs, by)
     got = near.groupBy(*by, F.col("_q").alias("q")).agg(
         F.max(F.when(F.col("_r") == F.floor(at), value)).alias("_low"), F.max(F.when(F.col("_r") == F.ceil(at), value)).alias("_high"), F.max(at - F.floor(at)).alias("_part")
     )

@@ -643,3 +643,14 @@ def test_drift_from_sketches(spark):
 def test_sensitivity_query_asks_for_its_own_quantiles(spark):
     got = catalog.QUERIES["quantile_sensitivity"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(r.quantile for r in got) == [0.7, 0.8, 0.9, 0.95]
+
+
+def test_bits_of_rows_are_made_once(spark, monkeypatch):
+    plans, write = {}, ranged.staged
+    monkeypatch.setattr(ranged, "staged", lambda df, name: (plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString().upper()), write(df, name))[1])
+    rows = spark.range(5000).selectExpr("id % 3 AS k", "sin(id) * pow(10, id % 9) AS v")
+    got = {(r.k, r.q): r.value for r in ranged.quantiles(rows, "v", [0.1, 0.5], ("k",), small=0).collect()}
+    want = {r.k: r.q for r in rows.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
+    assert got == {(k, q): pytest.approx(v) for k, two in want.items() for q, v in zip((0.1, 0.5), two, strict=True)}
+    # one logarithm a row, and none in the four passes over the bits
+    assert sum(p.count("LOG2(") for p in plans.get("bits", [])) == 1 and not any("LOG2(" in p for p in plans["digits"])
