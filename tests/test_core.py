@@ -654,3 +654,13 @@ def test_bits_of_rows_are_made_once(spark, monkeypatch):
     assert got == {(k, q): pytest.approx(v) for k, two in want.items() for q, v in zip((0.1, 0.5), two, strict=True)}
     # one logarithm a row, and none in the four passes over the bits
     assert sum(p.count("LOG2(") for p in plans.get("bits", [])) == 1 and not any("LOG2(" in p for p in plans["digits"])
+
+
+def test_regression_makes_the_bits_of_errors_once(spark, monkeypatch):
+    plans, write = [], ranged.staged
+    monkeypatch.setattr(ranged, "staged", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString().upper()), write(df, name))[1])
+    monkeypatch.setattr(E, "quantiles", lambda df, column, qs: ranged.quantiles(df, column, qs, small=0))
+    rows = spark.range(4001).selectExpr("sin(id) + 2 AS y_true", "2.0D AS y_pred")
+    got = E.regression(rows).first()
+    assert got.median_ae == pytest.approx(rows.agg(F.expr("percentile(abs(y_true - y_pred), 0.5)")).first()[0]) and got.n_rows == 4001
+    assert sum(p.count("LOG2(") for p in plans) == 1
