@@ -100,18 +100,20 @@ class Rules:
 
 def bin_edges(df: DataFrame, features: list[str], max_bins: int = 255) -> dict[str, list[float]]:
     """Of each feature the bounds of its bins: midpoints of its values where it has at most max_bins, else inner quantiles."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    long = staged(df.select(F.explode(pairs).alias("p")).select("p.*"), "long")
-    some = long.groupBy("feature").agg(F.approx_count_distinct("value").alias("n")).collect()
+    names = {f: f"_f{k}" for k, f in enumerate(features)}
+    table = staged(df.select(*[F.col(f).cast("double").alias(c) for f, c in names.items()]), "features")
+    some = table.agg(*[F.approx_count_distinct(c).alias(c) for c in names.values()]).first()
     # up to max_bins values, counted exactly where the estimate is near
-    few = [r.feature for r in some if r.n <= 2 * max_bins]
-    values = long.where(F.col("feature").isin(few)).groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("v")).collect()
-    edges = {r.feature: [(a + b) / 2 for a, b in zip(r.v, r.v[1:])] for r in values if len(r.v) <= max_bins}  # noqa: B905
+    few = [f for f, c in names.items() if some[c] <= 2 * max_bins]
+    values = table.agg(*[F.array_sort(F.collect_set(names[f])).alias(names[f]) for f in few]).first() if few else {}
+    edges = {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f in few if len(v := values[names[f]]) <= max_bins}  # noqa: B905
     rest = [f for f in features if f not in edges]
     if rest:
         at = [k / max_bins for k in range(1, max_bins)]
-        for r in quantiles(long.where(F.col("feature").isin(rest)), "value", at, ("feature",)).groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("v")).collect():
-            edges[r.feature] = list(r.v)
+        pairs = F.array(*[F.struct(F.lit(features.index(f)).alias("feature"), F.col(names[f]).alias("value")) for f in rest])
+        long = table.select(F.explode(pairs).alias("p")).select("p.*")
+        for r in quantiles(long, "value", at, ("feature",)).groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("v")).collect():
+            edges[features[r.feature]] = list(r.v)
     return {f: edges.get(f, []) for f in features}
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions import ranged
 from barloom.operators import boosting, models
 
 
@@ -114,3 +115,14 @@ def test_bad_input(spark, table):
         boosting.boost(table.where("false"), ["a"], "y", 1)
     with pytest.raises(ValueError):
         boosting.boost(table, ["a"], "y", 0)
+
+
+def test_edges_stage_no_row_per_feature(spark, monkeypatch):
+    sizes = []
+    for module in (boosting, ranged):
+        write = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, name, write=write: (made := write(df, name), sizes.append(made.count()))[0])
+    rows = spark.range(3000).selectExpr("id % 5 AS a", "id % 3 AS b", "CAST(id AS double) AS c", "1 AS d")
+    got = boosting.bin_edges(rows, ["a", "b", "c", "d"], 4)
+    assert got == {"a": pytest.approx([1, 2, 3]), "b": [0.5, 1.5], "c": pytest.approx([749.75, 1499.5, 2249.25]), "d": []}
+    assert max(sizes) <= 6000  # the rows once, and a value of each of the two features with more than four
