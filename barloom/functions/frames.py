@@ -22,7 +22,7 @@ def _running(value: Column, how: str) -> dict[str, Column]:
     kinds = {
         "mean": {"n": F.count(value), "sum": F.sum(value)},
         "sum": {"n": F.count(value), "sum": F.sum(value)},
-        "std": {"n": F.count(value), "sum": F.sum(value), "variance": F.var_pop(value)},
+        "std": {"n": F.count(value), "sum": F.sum(value), "variance": F.var_pop(value), "least": F.min(value), "most": F.max(value)},
         "energy": {"n": F.count(value), "squares": F.sum(value * value)},
         "max": {"n": F.count(value), "max": F.max(value)},
         "min": {"n": F.count(value), "min": F.min(value)},
@@ -48,7 +48,9 @@ def _merged(how: str, a: dict[str, Column], b: dict[str, Column]) -> tuple[Colum
         return both, ratio(total, both)
     apart = F.coalesce(ratio(a["sum"], n) - ratio(b["sum"], m), F.lit(0.0))
     spread = zero(a["variance"]) * n + zero(b["variance"]) * m + F.coalesce(ratio(apart * apart * n * m, both), F.lit(0.0))
-    return both, F.sqrt(ratio(spread, both - 1))
+    # equal values have no spread, though a sum of them over their number may miss them by a last digit
+    equal = F.least(a["least"], b["least"]) == F.greatest(a["most"], b["most"])
+    return both, F.sqrt(ratio(F.when(equal, F.lit(0.0)).otherwise(spread), both - 1))
 
 
 def with_trailing(df: DataFrame, wanted: Wanted, symbol: str = "symbol", timestamp: str = "timestamp") -> DataFrame:

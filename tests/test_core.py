@@ -664,3 +664,9 @@ def test_regression_makes_the_bits_of_errors_once(spark, monkeypatch):
     got = E.regression(rows).first()
     assert got.median_ae == pytest.approx(rows.agg(F.expr("percentile(abs(y_true - y_pred), 0.5)")).first()[0]) and got.n_rows == 4001
     assert sum(p.count("LOG2(") for p in plans) == 1
+
+
+def test_equal_values_have_no_spread_in_long_frames(spark):
+    rows = spark.range(40).selectExpr("concat('s', id % 2) AS symbol", "timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(id AS int)) AS timestamp", "CASE WHEN id % 2 = 0 THEN 0.1D ELSE 29.27D END AS v")
+    got = frames.with_trailing(rows, {"s": (F.col("v"), "std", 4, 1)}).collect()
+    assert sorted(str(r.s) for r in got) == ["0.0"] * 38 + ["None"] * 2
