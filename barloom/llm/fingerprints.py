@@ -5,9 +5,9 @@ a sketch: three blocks of cells, in each of which every digest falls into one; a
 them and of their checks. Sketches of two versions are subtracted cell by cell. What both have cancels out, and peeling gets the
 rest back: a cell with one digest names it, taking it away from its other cells leaves further cells with one.
 
-The fingerprint is such a sketch with WIDTHS[0] cells in a block. It tells small differences. Where peeling stops early, the sketch is made
-larger: digests are dealt to as many sketches as needed for LOAD of them in each; of those that still fail wider ones count, of WIDTHS[1]
-cells in a block; if one of these failed too, the digests that differ would be counted as they are.
+The fingerprint is such a sketch with WIDTHS[0] cells in a block. Where both sets fit it, the difference of two fingerprints is peeled.
+For larger sets the sketch is made larger: digests are dealt to as many sketches as needed for LOAD of them in each; of those that fail
+wider ones count, of WIDTHS[1] cells in a block; if one of these failed too, the digests that differ would be counted as they are.
 
 Rows are dealt once, to ranges of doc_id, and the first row of each range is also sent to the range before: so each meets the next
 document. The cells of all sketches are sums by range, row and cell, made in one pass and without a further exchange; what else
@@ -35,10 +35,6 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _place(key: Column, block: int, width: int) -> Column:
-    return F.shiftrightunsigned(key, 16 * block).bitwiseAND(F.lit(width - 1).cast("long"))
-
-
 def _cell(s: Column, w: Column, c: Column, k: Column, h: Column) -> Column:
     """A cell: which bits of a digest count for it and what they must be, how many it got, and what they and their checks add up to."""
     return F.struct(s.alias("s"), w.alias("w"), c.alias("c"), k.alias("k"), h.alias("h"))
@@ -139,23 +135,31 @@ def with_sketches(rows: DataFrame, keys: tuple[str, str, str], head: list[Column
     held = [*[F.col(k) for k in keys], F.array(*head)]
     sides = rows.select(*by, _mask(own, other).alias("_e"), _mask(own, after).alias("_n"), F.explode(F.array(*[F.struct(F.lit(side).alias("side"), x.alias("keys")) for side, x in enumerate(held)])).alias("x"))
     each = sides.select(*by, "_e", "_n", F.col("x.side").alias("side"), F.posexplode("x.keys").alias("j", "k"))
-    zero, edited, later = F.lit(0).cast("long"), _part(F.col("k"), F.col("_e")), _part(F.col("k"), F.col("_n"))
-    at = lambda kind, part, cell: F.lit(kind).cast("long") * (1 << 40) + part * (1 << 24) + cell
-    place = lambda kind, part, cell, n, all_=zero: F.struct(at(kind, part, cell).alias("at"), all_.alias("g"), F.lit(n).alias("n"))
-    into = lambda kind, part, n, width: [place(kind, part, block * width + _place(F.col("k"), block, width), n) for block in range(3)]
     narrow, wide = WIDTHS
 
-    def pair(kinds: tuple[int, int, int], part: Column, n: int) -> list[Column]:
-        return [*into(kinds[0], part, n, narrow), *into(kinds[1], part, n, wide), place(kinds[2], zero, zero, n, F.col("k"))]
+    def place(kind: int, whose: int, n: int, block: int = 0, width: int = 1, plain: bool = False) -> Column:
+        """Where a digest goes: as constants, since an expression for each place makes code too long for Java to compile."""
+        named = {"kind": F.lit(kind).cast("long"), "whose": F.lit(whose), "n": F.lit(n), "shift": F.lit(16 * block), "start": F.lit(block * width).cast("long"), "mask": F.lit(width - 1).cast("long"), "plain": F.lit(plain)}
+        return F.struct(*[c.alias(name) for name, c in named.items()])
+
+    def into(kind: int, whose: int, n: int, width: int) -> list[Column]:
+        return [place(kind, whose, n, block, width) for block in range(3)]
+
+    def pair(kinds: tuple[int, int, int], whose: int, n: int) -> list[Column]:
+        return [*into(kinds[0], whose, n, narrow), *into(kinds[1], whose, n, wide), place(kinds[2], 0, n, plain=True)]
 
     e, x = (EDITED, EDITED_WIDE, EDITED_ALL), (NEXT, NEXT_WIDE, NEXT_ALL)
     places = (
-        F.when(F.col("side") == OWN, F.array(*into(OWN, zero, 1, narrow), *pair(e, edited, 1), *pair(x, later, 1)))
-        .when(F.col("side") == OTHER, F.array(*into(OTHER, zero, 1, narrow), *pair(e, edited, -1)))
-        .when(F.col("side") == AFTER, F.array(*into(AFTER, zero, 1, narrow), *pair(x, later, -1)))
-        .otherwise(F.array(place(HEAD, zero, F.col("j").cast("long"), 1)))
+        F.when(F.col("side") == OWN, F.array(*into(OWN, 0, 1, narrow), *pair(e, 1, 1), *pair(x, 2, 1)))
+        .when(F.col("side") == OTHER, F.array(*into(OTHER, 0, 1, narrow), *pair(e, 1, -1)))
+        .when(F.col("side") == AFTER, F.array(*into(AFTER, 0, 1, narrow), *pair(x, 2, -1)))
+        .otherwise(F.array(place(HEAD, 0, 1)))
     )
-    put = each.select(*by, "k", F.explode(places).alias("p")).select(*by, F.col("p.at").alias("at"), F.col("p.g").alias("g"), F.col("p.n").alias("n"), "k", F.xxhash64("k").alias("h"))
+    zero = F.lit(0).cast("long")
+    part = F.when(F.col("p.whose") == 1, _part(F.col("k"), F.col("_e"))).when(F.col("p.whose") == 2, _part(F.col("k"), F.col("_n"))).otherwise(zero)
+    cell = F.when(F.col("p.kind") == HEAD, F.col("j").cast("long")).otherwise(F.col("p.start") + F.call_function("shiftrightunsigned", F.col("k"), F.col("p.shift")).bitwiseAND(F.col("p.mask")))
+    at = F.col("p.kind") * (1 << 40) + part * (1 << 24) + cell
+    put = each.select(*by, "_e", "_n", "j", "k", F.explode(places).alias("p")).select(*by, at.alias("at"), F.when(F.col("p.plain"), F.col("k")).otherwise(zero).alias("g"), F.col("p.n").alias("n"), "k", F.xxhash64("k").alias("h"))
     cells = put.groupBy(*by, "at", "g").agg(F.sum("n").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where("c <> 0 OR k <> 0 OR h <> 0")
     kind, index = F.shiftright("at", 40).cast("int"), (F.col("at") % (1 << 24)).cast("int")
     width = F.when(kind.isin(EDITED_WIDE, NEXT_WIDE), wide).otherwise(narrow)
@@ -184,20 +188,18 @@ def _cells_of(kind: int) -> Column:
 
 def with_counts(rows: DataFrame, name: str, kinds: tuple[int, int, int, int]) -> DataFrame:
     """Adds `name`, (ok, gone, new): how many digests only the text has, and how many only the other. kinds: the other's whole sketch, the
-    difference in parts, these wider, and as it is. The first that peels counts: the difference of both fingerprints, the parts, of
-    each part that fails the wider one; and where one of those failed too, the digests themselves."""
-    base, narrow, wide, plain = kinds
-    first, parts = f"_{name}_first", f"_{name}_parts"
+    difference in parts, these wider, and as it is. The first that peels counts: the parts (one of them is the difference of both
+    fingerprints), of each part that fails the wider one; and where one of those failed too, the digests themselves."""
+    _, narrow, wide, plain = kinds
+    parts = f"_{name}_parts"
     sized = lambda ok, x: F.struct(ok.alias("ok"), x["gone"].alias("gone"), x["new"].alias("new"))
-    rows = rows.withColumn(first, peeled(subtracted(_cells_of(OWN), _cells_of(base)), WIDTHS[0]))
     counted = lambda y: F.struct(y["ok"].alias("ok"), F.size(y["gone"]).cast("long").alias("gone"), F.size(y["new"]).cast("long").alias("new"))
     wider = lambda x: _let(peeled(F.get(F.filter(_of(wide), lambda y: y["part"] == x["part"]), F.lit(0))["cells"], WIDTHS[1]), counted)
     rows = rows.withColumn(parts, F.transform(_of(narrow), lambda x: F.when(x["ok"], sized(x["ok"], x)).otherwise(wider(x))))
     total = lambda array, side: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x[side])
     sums = lambda array: F.struct(F.lit(True).alias("ok"), total(array, "gone").alias("gone"), total(array, "new").alias("new"))
-    whole = F.struct(F.lit(True).alias("ok"), F.size(F.col(f"{first}.gone")).cast("long").alias("gone"), F.size(F.col(f"{first}.new")).cast("long").alias("new"))
-    counts = F.when(F.col(f"{first}.ok"), whole).when(F.forall(parts, lambda x: F.coalesce(x["ok"], F.lit(False))), sums(F.col(parts))).otherwise(sums(_of(plain)))
-    return rows.withColumn(name, counts).drop(first, parts)
+    counts = F.when(F.forall(parts, lambda x: F.coalesce(x["ok"], F.lit(False))), sums(F.col(parts))).otherwise(sums(_of(plain)))
+    return rows.withColumn(name, counts).drop(parts)
 
 
 def _likeness(n: Column, found: str) -> Column:
@@ -271,7 +273,7 @@ def contract(docs: DataFrame) -> DataFrame:
     head = [F.col("doc_id"), F.col("n_chars"), F.size("keys").cast("long"), *digest]
     made = with_sketches(rows, ("keys", "edited_keys", "next_keys"), head, ("_to", "_turn"))
     found = with_counts(with_counts(made, "_e", (OTHER, EDITED, EDITED_WIDE, EDITED_ALL)), "_n", (AFTER, NEXT, NEXT_WIDE, NEXT_ALL))
-    sha = F.lower(F.concat(*[F.lpad(F.hex(F.col("head")[3 + k]), 16, "0") for k in range(4)]))
+    sha = F.translate(F.concat(*[F.lpad(F.hex(F.col("head")[3 + k]), 16, "0") for k in range(4)]), "ABCDEF", "abcdef")
     size = F.col("head")[2]
     return found.select(
         F.col("head")[0].alias("doc_id"), F.col("head")[1].alias("n_chars"), sha.alias("edited_sha256"), _written(_cells_of(OWN)).alias("fingerprint"), _written(_cells_of(OTHER)).alias("edited_fingerprint"),

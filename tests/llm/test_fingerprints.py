@@ -108,3 +108,10 @@ def test_no_python_in_the_plan(spark, sf):
     plan = fingerprints.contract(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # the texts are dealt once
+
+
+def test_places_are_constants(spark):
+    """An expression for each of a digest's places made code that Java doesn't compile."""
+    df = spark.createDataFrame([(1, 1, [5], [6], [7])], "r int, t int, a array<long>, b array<long>, c array<long>")
+    plan = fingerprints.with_sketches(df, ("a", "b", "c"), [F.col("r").cast("long")], ("r", "t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("shiftrightunsigned(k") <= 5
